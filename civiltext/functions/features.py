@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from civiltext.functions.text import (
-    NOT_WORD, WORD_CHARS, col, count, has, is_blank, sentences, whitespace_words,
+    NOT_SPACE, WORD_CHARS, col, count, count_chars, has, sentences, whitespace_words,
 )
 from civiltext.values import rules
 
@@ -46,7 +46,7 @@ def _feature(groups: list[list[tuple[Column, float, str]]], **extra: Column) ->
 def caps_features(text: Column | str) -> Column:
     """Capitals: share among letters and runs of four or more (F1)."""
     text = col(text)
-    letters, capitals = count(text, r"\p{L}"), count(text, r"\p{Lu}")
+    letters, capitals = count_chars(text, r"\p{L}"), count_chars(text, r"\p{Lu}")
     ratio = F.coalesce(F.try_divide(capitals, letters), F.lit(0.0))
     runs = F.when(letters > 0, count(text, "[A-Z]{4,}")).otherwise(0)
     return _feature(
@@ -121,7 +121,7 @@ def emphasis_features(text: Column | str) -> Column:
         words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b")
     )
     repeated = F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) & (F.length(p["a"]) > 2)))
-    chars = count(text, r"(.)\1{3,}")
+    chars = count(text, r"([^\n])\1{3,}")
     spaced = has(text, rf"(?<!{WORD_CHARS}){WORD_CHARS}\s+{WORD_CHARS}\s+{WORD_CHARS}(?!{WORD_CHARS})")
     return _feature(
         [
@@ -140,7 +140,7 @@ def structure_features(text: Column | str, n_words: Column | None = None) -> Col
     n_words = F.size(words) if n_words is None else n_words
     parts = sentences(text)
     shout = F.exists(words, lambda w: (F.upper(w) == w) & (F.length(w) > 2))
-    short = F.forall(parts, lambda s: count(s, r"\S+") <= 2)
+    short = F.forall(parts, lambda s: count(s, NOT_SPACE + "+") <= 2)
     caps = count(text, rf"(?<!{WORD_CHARS})[A-Z]{{3,}}(?!{WORD_CHARS})")
     ratio = F.try_divide(caps, n_words)
     return _feature(
@@ -186,7 +186,7 @@ def dominant_intent(intent: Column) -> Column:
 def context_config(text: Column | str, tokens: Column) -> Column:
     """Aggression, targeting and command scores by the configured rules (F8)."""
     text = col(text)
-    caps = F.coalesce(F.try_divide(count(text, r"\p{Lu}"), F.length(text)), F.lit(0.0))
+    caps = F.coalesce(F.try_divide(count_chars(text, r"\p{Lu}"), F.length(text)), F.lit(0.0))
     rules_hit = [(has(text, p), w, n) for n, p, w in rules.CONTEXT_PUNCTUATION]
     rules_hit += [(caps >= low, w, n) for n, low, w in rules.CONTEXT_CAPS]
     aggression = _sum(*[F.when(c, F.lit(w)).otherwise(F.lit(0.0)) for c, w, _ in rules_hit])

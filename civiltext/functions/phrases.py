@@ -101,11 +101,9 @@ def _adaptive_matches(tokens: Column, words: list[str], base_gap: int) -> Column
     state = F.transform(
         starts, lambda p: F.struct(p.alias("start"), p.alias("end"), F.lit(0).alias("gaps"), F.lit(0.0).alias("pen"))
     )
-    for place in range(1, n):
-        def step(s: Column, place: int = place) -> Column:
-            offset = F.array_position(
-                F.slice(tokens, s["end"] + 2, window(place) + 1), words[place]
-            ).cast("int")
+    def step_to(place: int):
+        def step(s: Column) -> Column:
+            offset = F.array_position(F.slice(tokens, s["end"] + 2, window(place) + 1), words[place]).cast("int")
             return F.when(
                 offset > 0,
                 F.struct(
@@ -115,7 +113,11 @@ def _adaptive_matches(tokens: Column, words: list[str], base_gap: int) -> Column
                     (s["pen"] + penalty(offset - 1, weights[place])).alias("pen"),
                 ),
             )
-        state = F.filter(F.transform(state, step), lambda s: s.isNotNull())
+
+        return step
+
+    for place in range(1, n):
+        state = F.filter(F.transform(state, step_to(place)), lambda s: s.isNotNull())
 
     importance = sum(weights) / n
 

@@ -17,6 +17,9 @@ from civiltext.values import rules
 WORD_CHARS = r"[\p{L}\p{N}_]"
 WORD = WORD_CHARS + "+"
 NOT_WORD = r"[^\p{L}\p{N}_]"
+# whitespace as Unicode knows it, not only the ASCII part
+SPACES = r"\s\x0B\x1C-\x1F\x85\p{Z}"
+SPACE, NOT_SPACE = f"[{SPACES}]", f"[^{SPACES}]"
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -32,21 +35,26 @@ def count(text: Column, regex: str) -> Column:
     return F.regexp_count(text, F.lit(regex))
 
 
+def count_chars(text: Column, char_class: str) -> Column:
+    """Characters of a class such as ``\\p{L}``, counted without an array of matches."""
+    return F.length(F.regexp_replace(text, char_class.replace(r"\p", r"\P") + "+", ""))
+
+
 def extract(text: Column, regex: str) -> Column:
     return F.regexp_extract_all(text, F.lit(regex), F.lit(0))
 
 
 def is_blank(text: Column | str) -> Column:
     text = col(text)
-    return text.isNull() | ~has(text, r"\S")
+    return text.isNull() | ~has(text, NOT_SPACE)
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), r"^\s+|\s+$", "")
+    return F.regexp_replace(col(text), rf"^{SPACE}+|{SPACE}+\z", "")
 
 
 def whitespace_words(text: Column | str) -> Column:
-    return extract(col(text), r"\S+")
+    return extract(col(text), NOT_SPACE + "+")
 
 
 def word_tokens(text: Column | str, lower: bool = True) -> Column:
@@ -72,7 +80,7 @@ def sentences(text: Column | str) -> Column:
 
 def squeeze_repeats(text: Column | str, keep: int = 2, vowels: bool = True) -> Column:
     """Shorten runs of three or more equal characters to ``keep``; optionally collapse vowels."""
-    out = F.regexp_replace(col(text), r"(.)\1{2,}", "$1" * keep)
+    out = F.regexp_replace(col(text), r"([^\n])\1{2,}", "$1" * keep)
     return F.regexp_replace(out, r"([aeiou])\1+", "$1") if vowels else out
 
 
