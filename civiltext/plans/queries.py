@@ -181,9 +181,8 @@ def lexicon_merge(spark, d):
 
 def _raw_suggestions(spark, d):
     """Suggested terms as users type them: raw case, outer spaces, repeats."""
-    return planted.toxic_documents(spark, d).select(
-        F.concat(F.lit(" "), F.explode(tx.whitespace_words("text"))).alias("term")
-    )
+    words = planted.toxic_documents(spark, d).select(F.explode(tx.whitespace_words("text")).alias("term"))
+    return words.select(F.concat(F.lit(" "), "term").alias("term"))
 
 
 CTES["c_sugg"] = f"SELECT unnest(regexp_extract_all(text, '{NSP}+')) AS term FROM c_toxic"
@@ -206,7 +205,7 @@ def lexicon_upsert(spark, d):
     WHERE term NOT IN (SELECT lower(term) FROM c_sugg) GROUP BY lang""",
 )
 def lexicon_remove(spark, d):
-    left = lx.remove_terms(planted.vocabulary_table(spark, d), _raw_suggestions(spark, d).withColumn("term", F.upper("term")))
+    left = lx.remove_terms(planted.vocabulary_table(spark, d), _raw_suggestions(spark, d))
     return left.groupBy("lang").agg(
         F.count("*").alias("n"), F.sum(F.length("term")).alias("chars"), F.min("term").alias("first_term")
     )
@@ -260,9 +259,6 @@ def lexicon_phrase_words(spark, d):
 )
 def phrase_key_lookup(spark, d):
     w = msgs(spark, d).select("msg_id", tx.word_tokens("text").alias("w"))
-    grams = F.concat(
-        F.transform("w", lambda t, i: F.slice("w", i + 1, F.lit(2))), F.transform("w", lambda t, i: F.slice("w", i + 1, F.lit(3)))
-    )
     # a slice at the end of the text is shorter: keep complete pairs once and complete triples once
     grams = F.concat(
         F.filter(F.transform("w", lambda t, i: F.slice("w", i + 1, F.lit(2))), lambda g: F.size(g) == 2),

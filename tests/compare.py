@@ -75,15 +75,24 @@ if __name__ == "__main__":
     )
     spark.sparkContext.setLogLevel("ERROR")
     connection = connect(sf)
+    import threading
+
+    def stop(key: str) -> None:
+        print("!!! stopped", key, flush=True)
+        spark.sparkContext.cancelAllJobs()
+
     wanted = sys.argv[2:]
     sqls, bad = oracle_sql(), 0
     for k, q in queries().items():
         if wanted and k not in wanted:
             continue
+        guard = threading.Timer(90, stop, [k])
+        guard.start()
         try:
             ok, msg = compare(spark, connection, k, q, sqls.get(k), sf)
         except Exception as e:  # a failing query must not hide the others
             ok, msg = False, f"{k}: {type(e).__name__} {str(e)[:700]}"
+        guard.cancel()
         bad += not ok
         print("   " if ok else "!!!", msg, flush=True)
     print("failed:", bad)
