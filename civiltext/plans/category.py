@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 from civiltext.functions import features as feat
 from civiltext.functions.phrases import adaptive_matches, keep_strongest
 from civiltext.functions.severity import explain, sev_name, sev_rank
+from civiltext.functions.staging import computed, members
 from civiltext.functions.text import WORD, extract, has, is_blank, is_polite, normalise, whitespace_words
 from civiltext.operators.lexicon import LanguageRules
-from civiltext.plans.multilingual import keep_terms
 from civiltext.values import rules, terms
 
 ADDRESSED = ["you", "your", "yourself"]
@@ -83,8 +83,11 @@ def packaged_categories() -> list[Category]:
     )
 
 
+FEATURES = ("caps", "punct", "targeting", "commands", "emphasis", "structure")
+
+
 def add_features(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds the six style features, ``context`` and ``intent``."""
+    """Adds the six style features, ``context`` and ``intent`` as structs."""
     raw = F.coalesce(F.col(text), F.lit(""))
     df = df.withColumn("_n_ws", F.size(whitespace_words(raw)))
     n = F.col("_n_ws")
@@ -99,14 +102,25 @@ def add_features(df: DataFrame, text: str = "text") -> DataFrame:
             "intent": feat.intent_scores(raw),
         }
     )
-    names = ("caps", "punct", "targeting", "commands", "emphasis", "structure")
-    return df.withColumn("context", feat.context_score([F.col(n) for n in names]))
+    return df.withColumn("context", feat.context_score([F.col(n) for n in FEATURES]))
+
+
+def flat_features(df: DataFrame, text: str = "text") -> DataFrame:
+    """Context and intent of ``add_features`` as flat columns, computed once."""
+    out = add_features(df, text)
+    flat = {"_n_ws": F.col("_n_ws"), "_ctx": F.col("context.score"), "_names": F.col("context.indicators")}
+    flat |= {f"_i_{n}": F.col(f"intent.{n}") for n in rules.INTENT_ORDER}
+    return computed(out, flat, drop=(*FEATURES, "context", "intent"))
+
+
+def intent_struct() -> Column:
+    return F.struct(*[F.col(f"_i_{n}").alias(n) for n in rules.INTENT_ORDER])
 
 
 def category_hits(c: Category, single: Column, n_words: Column, polite: Column, compound: Column, ctx: Column) -> Column:
     """Words of one category that count, as an array (filters of A1)."""
     words = c.words
-    hits = F.filter("_hits", lambda w: w.isin(words))
+    hits = members("_hits", words)
     hits = F.when(single, F.filter(hits, lambda w: ~w.isin(rules.NEVER_ALONE))).otherwise(hits)
     if c.name == "social_exclusion":
         harsh = (compound <= -0.2) | (ctx >= 0.2)
@@ -117,33 +131,42 @@ def category_hits(c: Category, single: Column, n_words: Column, polite: Column,
     return hits
 
 
-def category_scores(
+def _scored_categories(
     df: DataFrame, categories: list[Category] | None = None, compound: Column | None = None, text: str = "text",
 ) -> DataFrame:
-    """Adds ``categories``: array of (category, items, score, severity) (A1), plus features and word counts."""
     categories = categories or packaged_categories()
     compound = F.lit(0.0) if compound is None else F.coalesce(compound, F.lit(0.0))
     raw = F.coalesce(F.col(text), F.lit(""))
-    out = add_features(df.withColumn("_compound", compound), text)
+    out = flat_features(df.withColumn("_compound", compound), text)
     out = out.withColumn("_words", extract(normalise(raw, "category"), WORD))
-    out = out.withColumns(
+    out = computed(
+        out,
         {
             "n_words": F.size("_words"),
             "_polite": is_polite(F.lower(raw), F.col("_words")),
-            "_hits": keep_terms(F.col("_words"), sorted({w for c in categories for w in c.words})),
+            "_hits": members("_words", sorted({w for c in categories for w in c.words})),
             **{
                 f"_p{i}_{j}": keep_strongest(adaptive_matches(F.col("_words"), p))
                 for i, c in enumerate(categories) for j, (p, _) in enumerate(c.phrases)
             },
-        }
+        },
+        drop=("_words",),
     )
     low = F.lower(raw)
     single = F.col("n_words") == 1
     structs = []
     item_type = "array<struct<category:string,items:array<string>,score:double,severity:string>>"
+    out = computed(
+        out,
+        {
+            f"_w{i}": category_hits(
+                c, single, F.col("n_words"), F.col("_polite"), F.col("_compound"), F.col("_ctx")
+            )
+            for i, c in enumerate(categories)
+        },
+        drop=("_hits", "_polite"),
+    )
     for i, c in enumerate(categories):
-        hits = category_hits(c, single, F.col("n_words"), F.col("_polite"), F.col("_compound"), F.col("context.score"))
-        out = out.withColumn(f"_w{i}", hits)
         score = F.size(f"_w{i}") * F.lit(c.boost * 1.5 if c.name == "direct_insults" else c.boost)
         items = [F.col(f"_w{i}")]
         for j, (phrase, boost) in enumerate(c.phrases):
@@ -161,26 +184,34 @@ def category_scores(
             )
         )
     found = F.filter(F.array(*structs).cast(item_type), lambda s: F.size(s["items"]) > 0)
-    out = out.withColumn("categories", F.when(is_blank(text), F.array().cast(item_type)).otherwise(found))
-    drop = ["_words", "_hits", "_polite"] + [c for c in out.columns if c.startswith(("_p", "_w"))]
-    return out.drop(*drop)
+    drop = tuple(c for c in out.columns if c[:3] in ("_p0", "_p1", "_p2", "_p3") or c[:2] == "_w")
+    found = F.when(is_blank(text), F.array().cast(item_type)).otherwise(found)
+    return computed(out, {"categories": found}, drop=drop)
+
+
+def category_scores(
+    df: DataFrame, categories: list[Category] | None = None, compound: Column | None = None, text: str = "text",
+) -> DataFrame:
+    """Adds ``categories``: array of (category, items, score, severity) (A1) and ``n_words``."""
+    out = _scored_categories(df, categories, compound, text)
+    return out.drop("_compound", "_n_ws", "_ctx", "_names", *[f"_i_{n}" for n in rules.INTENT_ORDER])
 
 
 def score_category(
     df: DataFrame, categories: list[Category] | None = None, compound: Column | None = None, text: str = "text",
-    details: bool = False,
 ) -> DataFrame:
-    """Adds categories, risk_indicators, confidence, is_bullying, severity and explanation."""
-    out = category_scores(df, categories, compound, text)
-    cats, ctx, sent = F.col("categories"), F.col("context.score"), F.col("_compound")
-    out = out.withColumns(
+    """Adds categories, context, intent, risk_indicators, confidence, is_bullying, severity, explanation."""
+    out = _scored_categories(df, categories, compound, text)
+    cats, ctx, sent = F.col("categories"), F.col("_ctx"), F.col("_compound")
+    out = computed(
+        out,
         {
-            "max_intent": feat.max_intent(F.col("intent")),
+            "max_intent": F.greatest(*[F.col(f"_i_{n}") for n in rules.INTENT_ORDER]),
             "n_categories": F.size("categories"),
             "_sum": F.aggregate(cats, F.lit(0.0), lambda a, c: a + c["score"]),
             "_squares": F.aggregate(cats, F.lit(0.0), lambda a, c: a + c["score"] * c["score"]),
             "_rank": F.coalesce(F.array_max(F.transform(cats, lambda c: sev_rank(c["severity"]))), F.lit(0)),
-        }
+        },
     )
     n, intent = F.col("n_categories"), F.col("max_intent")
     single = F.col("n_words") == 1
@@ -194,7 +225,7 @@ def score_category(
     )
     evidence = (n > 0) | (sent < -0.5) | (ctx > 0.3) | (intent > 0.3)
     penalty = F.when(single & (n > 0), F.lit(0.7)).when(single, F.lit(0.3)).otherwise(F.lit(1.0))
-    out = out.withColumn("_raw", F.least((base + context) * penalty, F.lit(1.0)))
+    out = computed(out, {"_raw": F.least((base + context) * penalty, F.lit(1.0))})
     raw = F.col("_raw")
     calibrated = (
         F.when(raw < 0.1, raw)
@@ -204,11 +235,12 @@ def score_category(
         .otherwise(F.least(raw * 0.85, F.lit(0.8)))
     )
     blank = is_blank(text)
-    out = out.withColumn("_conf", F.when(evidence & ~blank, calibrated).otherwise(F.lit(0.0)))
+    out = computed(out, {"_conf": F.when(evidence & ~blank, calibrated).otherwise(F.lit(0.0))})
     flag = ~blank & ((n > 0) | (~single & ((F.col("_conf") >= 0.3) | (intent > 0.3))))
-    critical = (F.col("intent.threat") > 0.5) | (F.col("intent.encouragement_of_harm") > 0.5)
+    critical = (F.col("_i_threat") > 0.5) | (F.col("_i_encouragement_of_harm") > 0.5)
     rank = F.when(n == 0, 0).when(critical, rules.SEVERITIES.index("critical")).otherwise(F.col("_rank"))
-    out = out.withColumns(
+    out = computed(
+        out,
         {
             "is_bullying": flag,
             "severity": F.when(flag, sev_name(rank)).otherwise("none"),
@@ -217,15 +249,21 @@ def score_category(
             "risk_indicators": F.array_compact(
                 F.concat(
                     F.array(F.when(sent < -0.5, "negative_sentiment")),
-                    F.when(ctx > 0.3, F.col("context.indicators")).otherwise(F.array().cast("array<string>")),
-                    F.array(F.when(intent > 0.3, F.concat(F.lit("intent_"), feat.dominant_intent(F.col("intent"))))),
+                    F.when(ctx > 0.3, F.col("_names")).otherwise(F.array().cast("array<string>")),
+                    F.array(F.when(intent > 0.3, F.concat(F.lit("intent_"), feat.dominant_intent(intent_struct())))),
                 )
             ),
-        }
+        },
     )
     names = F.transform("categories", lambda c: c["category"])
     out = out.withColumn(
         "explanation", explain(F.col("is_bullying"), F.col("severity"), F.col("confidence"), names, F.lit("warn"))
     )
-    extra = [] if details else ["caps", "punct", "targeting", "commands", "emphasis", "structure"]
-    return out.drop("_compound", "_n_ws", "_sum", "_squares", "_rank", "_raw", "_conf", *extra)
+    out = out.withColumns(
+        {
+            "context": F.struct(F.col("_ctx").alias("score"), F.col("_names").alias("indicators")),
+            "intent": intent_struct(),
+        }
+    )
+    hidden = ("_compound", "_n_ws", "_ctx", "_names", "_sum", "_squares", "_rank", "_raw", "_conf")
+    return out.drop(*hidden, *[f"_i_{n}" for n in rules.INTENT_ORDER])

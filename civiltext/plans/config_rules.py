@@ -8,12 +8,16 @@ from pyspark.sql import functions as F
 from civiltext.functions.features import context_config
 from civiltext.functions.phrases import gap_span
 from civiltext.functions.severity import sev_name, sev_rank, severity_of
+from civiltext.functions.staging import computed, members
 from civiltext.functions.text import WORD, bounded_tokens, extract, has, is_blank, normalise, whitespace_words
 from civiltext.operators.lexicon import LanguageRules, inline_rules
-from civiltext.plans.multilingual import DETECTIONS, detection, keep_terms, total_confidence, vocabulary
+from civiltext.plans.multilingual import DETECTIONS, detection, total_confidence, vocabulary
 from civiltext.values import rules, terms
 
 
+CONTEXT_FIELDS = ("aggression", "targeting", "command", "indicators")
+
+
 def packaged_config_rules() -> dict[str, LanguageRules]:
     """The shipped list alone, nothing left out."""
     return {
@@ -27,6 +31,7 @@ def indicator_languages(text: Column, indicators: dict | None = None, min_words:
     indicators = indicators or rules.LANGUAGE_INDICATORS
     low = F.lower(text)
     words = whitespace_words(low)
+    # counted on one array of indicator words per text; the number of languages is small
     found = []
     for lang, spec in indicators.items():
         hit = F.size(F.filter(words, lambda w: w.isin(spec["words"]))) >= min_words
@@ -44,14 +49,14 @@ def gap_score(gaps: Column) -> Column:
     return F.when(gaps == 0, F.lit(exact)).when(gaps == 1, F.lit(one)).otherwise(F.lit(more))
 
 
-def config_detections(lang: str, r: LanguageRules, norm: Column, words: Column) -> Column:
+def config_detections(lang: str, r: LanguageRules, norm: Column) -> Column:
     weight = rules.CONFIG_WEIGHTS
     empty = F.array().cast(DETECTIONS)
     parts = []
     if r.words:
         parts.append(
             F.transform(
-                F.filter(words, lambda t: t.isin(r.words)),
+                members("_hits", r.words),
                 lambda t: detection(
                     "single_word", t, lang,
                     severity_of(t, {k: v for k, v in r.severity.items() if k in r.words}, "medium"),
@@ -87,14 +92,16 @@ def score_config(
     # length bounds apply before phrases are matched, so phrases see the bounded tokens only
     base = base.withColumn("_words", bounded_tokens(extract(F.col("_norm"), WORD)))
     base = base.withColumn("_line", F.array_join("_words", " "))
-    base = base.withColumns(
+    context = context_config(raw, F.col("_words"))
+    base = computed(
+        base,
         {
             "languages": F.when(is_blank(text), F.array().cast("array<string>")).otherwise(
                 indicator_languages(raw, indicators)
             ),
-            "context": context_config(raw, F.col("_words")),
-            "_hits": keep_terms(F.col("_words"), vocabulary(languages)),
-        }
+            **{f"_c_{f}": context[f] for f in CONTEXT_FIELDS},
+            "_hits": members("_words", vocabulary(languages)),
+        },
     )
     empty = F.array().cast(DETECTIONS)
     norm, line = F.col("_norm"), F.col("_line")
@@ -102,39 +109,39 @@ def score_config(
     def of(lang: str, r: LanguageRules) -> Column:
         only_text = LanguageRules(patterns=r.patterns)
         only_terms = LanguageRules(r.words, r.phrases, [], r.severity)
-        found = F.concat(config_detections(lang, only_terms, line, F.col("_hits")), config_detections(lang, only_text, norm, F.col("_hits")))
+        found = F.concat(config_detections(lang, only_terms, line), config_detections(lang, only_text, norm))
         return F.when(F.array_contains("languages", lang), found).otherwise(empty)
 
-    aggression = F.col("context.aggression")
+    aggression = F.col("_c_aggression")
     style = detection("context", F.lit("aggressive_context"), "neutral", F.lit("medium"), aggression)
-    base = base.withColumn(
-        "detections",
-        F.concat(
-            *[of(l, r) for l, r in languages.items()],
-            F.when(~is_blank(text) & (aggression > rules.CONFIG_AGGRESSION_MIN), F.array(style).cast(DETECTIONS)).otherwise(empty),
-        ),
+    found = F.concat(
+        *[of(l, r) for l, r in languages.items()],
+        F.when(~is_blank(text) & (aggression > rules.CONFIG_AGGRESSION_MIN), F.array(style).cast(DETECTIONS)).otherwise(empty),
     )
-    out = base.withColumns(
+    base = computed(base, {"detections": found}, drop=("_norm", "_words", "_line", "_hits"))
+    out = computed(
+        base,
         {
             "_total": total_confidence(F.col("detections")),
             "n_detections": F.size("detections"),
             "n_languages": F.size(F.array_distinct(F.transform("detections", lambda d: d["lang"]))),
             "_rank": F.coalesce(F.array_max(F.transform("detections", lambda d: sev_rank(d["severity"]))), F.lit(0)),
-        }
+        },
     )
     n = F.col("n_detections")
     boost = F.lit(1.0)
     for least, factor in rules.CONFIG_COUNT_BOOST.items():
         boost = F.when(n >= least, F.lit(factor)).otherwise(boost)
     ctx = F.least(
-        F.col("context.aggression") + F.col("context.targeting") + F.col("context.command"),
+        F.col("_c_aggression") + F.col("_c_targeting") + F.col("_c_command"),
         F.lit(rules.CONFIG_CONTEXT_MAX),
     )
     conf = F.when(n > 0, F.least(F.col("_total") * boost + ctx, F.lit(1.0))).otherwise(F.lit(0.0))
     limit = F.lit(0.3)
     for level, threshold in rules.CONFIG_SEVERITY_THRESHOLDS.items():
         limit = F.when(F.col("_rank") == rules.SEVERITIES.index(level), F.lit(threshold)).otherwise(limit)
-    out = out.withColumn("confidence", conf)
+    out = computed(out, {"confidence": conf})
     out = out.withColumn("is_bullying", (n > 0) & (F.col("confidence") >= limit))
     out = out.withColumn("severity", F.when(F.col("is_bullying"), sev_name(F.col("_rank"))).otherwise("none"))
-    return out.drop("_norm", "_words", "_line", "_hits", "_total", "_rank")
+    out = out.withColumn("context", F.struct(*[F.col(f"_c_{f}").alias(f) for f in CONTEXT_FIELDS]))
+    return out.drop("_total", "_rank", *[f"_c_{f}" for f in CONTEXT_FIELDS])

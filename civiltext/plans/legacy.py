@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiltext.functions.severity import sev_name, sev_rank, severity_of
+from civiltext.functions.staging import computed, members
 from civiltext.functions.text import has, is_blank, normalise, strip, strip_punct_tokens
 from civiltext.values import terms
 
@@ -44,16 +45,18 @@ def score_legacy(
     out = out.withColumn("_words", strip_punct_tokens("_norm"))
     norm, words = F.col("_norm"), F.col("_words")
     as_array = lambda items: F.array(*items).cast("array<string>")
-    out = out.withColumns(
+    out = computed(
+        out,
         {
-            "found_words": F.filter(words, lambda w: w.isin([x.lower() for x in t.words])),
+            "found_words": members("_words", [x.lower() for x in t.words]),
             "found_phrases": F.array_compact(
                 as_array([F.when(F.contains(norm, F.lit(p.lower())), p.lower()) for p in t.phrases])
             ),
             "found_patterns": F.array_compact(as_array([F.when(has(norm, "(?i)" + p), p) for p, _ in t.patterns])),
             "intent_score": intent_score(norm, words, t.intents),
             "word_count": F.size(words),
-        }
+        },
+        drop=("_norm", "_words"),
     )
     n_words, n_phrases, n_patterns = (F.size(c) for c in ("found_words", "found_phrases", "found_patterns"))
     pattern_levels = dict(t.patterns)
@@ -62,19 +65,20 @@ def score_legacy(
         F.transform("found_phrases", lambda p: sev_rank(severity_of(p, t.severity, "high"))),
         F.transform("found_patterns", lambda p: sev_rank(severity_of(p, pattern_levels, "medium"))),
     )
-    out = out.withColumns(
+    out = computed(
+        out,
         {
             "total_indicators": n_words + n_phrases + n_patterns,
             "confidence": F.when(is_blank(text), 0.0).otherwise(
                 F.least(n_words * 0.3 + n_phrases * 0.5 + n_patterns * 0.4 + F.col("intent_score"), F.lit(1.0))
             ),
             "_rank": F.coalesce(F.array_max(ranks), F.lit(0)),
-        }
+        },
     )
     out = out.withColumn(
         "is_bullying", ~is_blank(text) & ((F.col("total_indicators") > 0) | (F.col("confidence") >= 0.3))
     )
     out = out.withColumn("severity", F.when(F.col("is_bullying"), sev_name(F.col("_rank"))).otherwise("none"))
     out = out.withColumn("detection_method", F.when(is_blank(text), "empty_text").otherwise("local_database"))
-    out = out.drop("_norm", "_words", "_rank")
+    out = out.drop("_rank")
     return out if details else out.drop("found_words", "found_phrases", "found_patterns", "total_indicators", "word_count")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from civiltext.functions.phrases import gap_span
 from civiltext.functions.severity import sev_name, sev_rank, severity_of
-from civiltext.functions.text import count, extract, has, is_blank, word_tokens
+from civiltext.functions.staging import any_member, computed, members
+from civiltext.functions.text import extract, has, is_blank, word_tokens
 from civiltext.operators import matching
 from civiltext.operators.lexicon import LanguageRules, inline_rules, packaged_rules
 
@@ -42,18 +43,13 @@ def vocabulary(languages: dict[str, LanguageRules]) -> list[str]:
     return sorted({w for r in languages.values() for w in r.words})
 
 
-def keep_terms(tokens: Column, terms: list[str]) -> Column:
-    """Tokens that are terms, every occurrence kept; one hash look-up per token."""
-    return F.filter(tokens, lambda t: t.isin(terms)) if terms else F.array().cast("array<string>")
-
-
-def language_present(lang: str, r: LanguageRules, raw: Column, low: Column, hits: Column) -> Column:
+def language_present(lang: str, r: LanguageRules, raw: Column, low: Column) -> Column:
     """A word, phrase or pattern of the language occurs, or its script does."""
     found = F.lit(lang == "english")
     if lang in NATIVE_SCRIPT:
         found = found | has(raw, NATIVE_SCRIPT[lang])
     if r.words:
-        found = found | F.exists(hits, lambda t: t.isin(r.words))
+        found = found | any_member("_hits", r.words)
     for phrase in r.phrases:
         found = found | F.contains(low, F.lit(phrase))
     for pattern in r.patterns:
@@ -61,7 +57,7 @@ def language_present(lang: str, r: LanguageRules, raw: Column, low: Column, hits
     return found
 
 
-def language_detections(lang: str, r: LanguageRules, raw: Column, low: Column, hits: Column) -> Column:
+def language_detections(lang: str, r: LanguageRules, raw: Column, low: Column) -> Column:
     """All detections of one language, in the order native, words, phrases, patterns."""
     parts = []
     for phrase, level in r.natives.items():
@@ -71,7 +67,7 @@ def language_detections(lang: str, r: LanguageRules, raw: Column, low: Column, h
         def word(t: Column) -> Column:
             level = severity_of(t, {k: v for k, v in r.severity.items() if k in r.words}, "medium")
             return detection("single_word", t, lang, level, word_confidence(level))
-        parts.append(F.transform(F.filter(hits, lambda t: t.isin(r.words)), word))
+        parts.append(F.transform(members("_hits", r.words), word))
     for phrase in r.phrases:
         words = phrase.split()
         span = gap_span(low, words)
@@ -96,37 +92,35 @@ def with_tokens(df: DataFrame, text: str = "text") -> DataFrame:
 def detect_languages(df: DataFrame, languages: dict[str, LanguageRules] | None = None, text: str = "text") -> DataFrame:
     """Adds ``languages``: the languages whose terms or script occur, English always."""
     languages = languages or packaged_rules()
-    df = with_tokens(df, text).withColumn("_hits", keep_terms(F.col("_tokens"), vocabulary(languages)))
+    df = with_tokens(df, text).withColumn("_hits", members("_tokens", vocabulary(languages)))
     raw = F.coalesce(F.col(text), F.lit(""))
-    present = [
-        F.when(language_present(l, r, raw, F.col("_low"), F.col("_hits")), l) for l, r in languages.items()
-    ]
+    present = [F.when(language_present(l, r, raw, F.col("_low")), l) for l, r in languages.items()]
     found = F.when(is_blank(text), F.array().cast("array<string>")).otherwise(F.array_compact(F.array(*present)))
-    return df.withColumn("languages", found).drop("_low", "_tokens", "_hits")
+    return computed(df, {"languages": found}, drop=("_low", "_tokens", "_hits"))
 
 
 def add_detections(
     df: DataFrame, languages: dict[str, LanguageRules], gate: bool = True, text: str = "text"
 ) -> DataFrame:
     """Adds ``word_count``, ``languages`` and ``detections`` in one pass over the row."""
-    df = with_tokens(df, text).withColumn("_hits", keep_terms(F.col("_tokens"), vocabulary(languages)))
-    raw, low, hits = F.coalesce(F.col(text), F.lit("")), F.col("_low"), F.col("_hits")
+    df = with_tokens(df, text).withColumn("_hits", members("_tokens", vocabulary(languages)))
+    raw, low = F.coalesce(F.col(text), F.lit("")), F.col("_low")
     empty = F.array().cast(DETECTIONS)
     flags = {l: f"_is_{l}" for l in languages}
     df = df.select(
         *[c for c in df.columns if c not in ("_tokens",)],
         F.size("_tokens").alias("word_count"),
-        *[
-            (~is_blank(text) & language_present(l, r, raw, low, hits)).alias(flags[l])
-            for l, r in languages.items()
-        ],
+        *[(~is_blank(text) & language_present(l, r, raw, low)).alias(flags[l]) for l, r in languages.items()],
     )
     names = F.array_compact(F.array(*[F.when(F.col(flags[l]), l) for l in languages]))
     open_to = (lambda l: F.col(flags[l])) if gate else (lambda l: ~is_blank(text))
     found = F.concat(
-        *[F.when(open_to(l), language_detections(l, r, raw, low, hits)).otherwise(empty) for l, r in languages.items()]
+        *[F.when(open_to(l), language_detections(l, r, raw, low)).otherwise(empty) for l, r in languages.items()]
+    )
+    return computed(
+        df, {"word_count": F.col("word_count"), "languages": names, "detections": found},
+        drop=("_low", "_hits", *flags.values()),
     )
-    return df.withColumn("languages", names).withColumn("detections", found).drop("_low", "_hits", *flags.values())
 
 
 def total_confidence(detections: Column) -> Column:
@@ -158,10 +152,13 @@ def score_multilingual(
         return score_multilingual_joined(df, lex, threshold, gate, text, key)
     df = add_detections(df, languages, gate, text)
     ranks = F.array_max(F.transform("detections", lambda d: sev_rank(d["severity"])))
-    df = (
-        df.withColumn("_total", total_confidence(F.col("detections")))
-        .withColumn("n_detections", F.size("detections"))
-        .withColumn("_rank", F.coalesce(ranks, F.lit(0)))
+    df = computed(
+        df,
+        {
+            "_total": total_confidence(F.col("detections")),
+            "n_detections": F.size("detections"),
+            "_rank": F.coalesce(ranks, F.lit(0)),
+        },
     )
     return combine(df, threshold, text).drop("_total", "_rank")
 

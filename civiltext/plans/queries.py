@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from civiltext.functions import features as feat
 from civiltext.functions import text as tx
 from civiltext.functions.phrases import adaptive_matches, keep_strongest
 from civiltext.functions.severity import sev_name, sev_rank
@@ -571,25 +572,26 @@ def _features(spark, d):
     return add_features(msgs(spark, d).select("msg_id", "text"))
 
 
-def _feature(column: str, extra: list[str], rounded: tuple[str, ...] = ()) -> Query:
+def _feature(feature: Callable[[str], Column], extra: list[str], rounded: tuple[str, ...] = ()) -> Query:
     def run(spark, d):
-        return _features(spark, d).select(
-            "msg_id", r6(f"{column}.score").alias("score"), F.array_join(f"{column}.indicators", ",").alias("indicators"),
-            *[(r6(f"{column}.{e}") if e in rounded else F.col(f"{column}.{e}")).alias(e) for e in extra],
+        f = msgs(spark, d).select("msg_id", feature("text").alias("f"))
+        return f.select(
+            "msg_id", r6("f.score").alias("score"), F.array_join("f.indicators", ",").alias("indicators"),
+            *[(r6(f"f.{e}") if e in rounded else F.col(f"f.{e}")).alias(e) for e in extra],
         )
 
     return run
 
 
-for _key, _col, _cte, _extra, _r in (
-    ("feat_caps", "caps", "c_fcaps", ["caps_ratio", "caps_sequences"], ("caps_ratio",)),
-    ("feat_punct", "punct", "c_fpunct", ["excessive_exclamation", "excessive_question", "mixed_punct"], ()),
-    ("feat_targeting", "targeting", "c_ftarget", ["targeting_density", "second_person_count", "possessive_attacks"], ("targeting_density",)),
-    ("feat_commands", "commands", "c_fcmd", ["aggressive_commands", "demands", "threats"], ()),
-    ("feat_emphasis", "emphasis", "c_femph", ["word_repetition", "char_repetition"], ()),
-    ("feat_structure", "structure", "c_fstruct", ["word_count", "caps_words"], ()),
+for _key, _fn, _cte, _extra, _r in (
+    ("feat_caps", feat.caps_features, "c_fcaps", ["caps_ratio", "caps_sequences"], ("caps_ratio",)),
+    ("feat_punct", feat.punct_features, "c_fpunct", ["excessive_exclamation", "excessive_question", "mixed_punct"], ()),
+    ("feat_targeting", feat.targeting_features, "c_ftarget", ["targeting_density", "second_person_count", "possessive_attacks"], ("targeting_density",)),
+    ("feat_commands", feat.command_features, "c_fcmd", ["aggressive_commands", "demands", "threats"], ()),
+    ("feat_emphasis", feat.emphasis_features, "c_femph", ["word_repetition", "char_repetition"], ()),
+    ("feat_structure", feat.structure_features, "c_fstruct", ["word_count", "caps_words"], ()),
 ):
-    register(_key, f"SELECT msg_id, round(score, 6) AS score, indicators, {', '.join(_extra)} FROM {_cte}")(_feature(_col, _extra, _r))
+    register(_key, f"SELECT msg_id, round(score, 6) AS score, indicators, {', '.join(_extra)} FROM {_cte}")(_feature(_fn, _extra, _r))
 
 
 @register("context_score", "SELECT msg_id, round(score, 6) AS score, indicators FROM c_ctx")
@@ -612,9 +614,8 @@ def context_config(spark, d):
     " CASE WHEN threat >= insult AND threat >= exclusion THEN 'threat' WHEN insult >= exclusion THEN 'insult' ELSE 'exclusion' END AS dominant FROM c_intent",
 )
 def intent_scores(spark, d):
-    from civiltext.functions.features import dominant_intent
-    out = _features(spark, d)
-    return out.select("msg_id", *[r6(f"intent.{c}").alias(c) for c in ("threat", "insult", "exclusion")], dominant_intent(F.col("intent")).alias("dominant"))
+    out = msgs(spark, d).select("msg_id", feat.intent_scores("text").alias("i"))
+    return out.select("msg_id", *[r6(f"i.{c}").alias(c) for c in ("threat", "insult", "exclusion")], feat.dominant_intent(F.col("i")).alias("dominant"))
 
 
 @register(
