@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from civiltext.functions.staging import guarded, let
 from civiltext.functions.text import (
     NOT_SPACE, WORD_CHARS, col, count, count_chars, has, sentences, whitespace_words,
 )
@@ -43,94 +44,144 @@ def _feature(groups: list[list[tuple[Column, float, str]]], **extra: Column) ->
     return F.struct(score.alias("score"), names.alias("indicators"), *[v.alias(k) for k, v in extra.items()])
 
 
+def _counted(counts: dict[str, Column], body) -> Column:
+    """Count once per row, then score the counts."""
+    return let(F.struct(*[c.alias(n) for n, c in counts.items()]), body)
+
+
 def caps_features(text: Column | str) -> Column:
     """Capitals: share among letters and runs of four or more (F1)."""
     text = col(text)
-    letters, capitals = count_chars(text, r"\p{L}"), count_chars(text, r"\p{Lu}")
-    ratio = F.coalesce(F.try_divide(capitals, letters), F.lit(0.0))
-    runs = F.when(letters > 0, count(text, "[A-Z]{4,}")).otherwise(0)
-    return _feature(
-        [
-            [(ratio > 0.7, 0.25, "excessive_caps"), (ratio > 0.5, 0.15, "high_caps"), (ratio > 0.3, 0.1, "moderate_caps")],
-            [(runs > 2, 0.15, "multiple_caps_sequences"), (runs > 0, 0.1, "caps_sequence")],
-        ],
-        caps_ratio=ratio, caps_sequences=runs,
-    )
+    capitals = count_chars(text, r"\p{Lu}")
+    counts = {
+        "capitals": capitals,
+        "letters": count_chars(text, r"\p{L}"),
+        "runs": F.when(has(text, "[A-Z]{4}"), count(text, "[A-Z]{4,}")).otherwise(0),
+    }
+
+    def body(c: Column) -> Column:
+        ratio, runs = F.coalesce(F.try_divide(c["capitals"], c["letters"]), F.lit(0.0)), c["runs"]
+        return _feature(
+            [
+                [(ratio > 0.7, 0.25, "excessive_caps"), (ratio > 0.5, 0.15, "high_caps"), (ratio > 0.3, 0.1, "moderate_caps")],
+                [(runs > 2, 0.15, "multiple_caps_sequences"), (runs > 0, 0.1, "caps_sequence")],
+            ],
+            caps_ratio=ratio, caps_sequences=runs,
+        )
+
+    return _counted(counts, body)
 
 
 def punct_features(text: Column | str, n_words: Column | None = None) -> Column:
     """Punctuation: runs of marks, mixed runs, long dots and density in short texts (F2)."""
     text = col(text)
-    bangs, asks = count(text, "!{2,}"), count(text, r"\?{2,}")
-    mixed, dots = count(text, "[?!]{3,}"), count(text, r"\.{4,}")
-    n_words = F.size(whitespace_words(text)) if n_words is None else n_words
-    density = (bangs + asks + mixed) / F.greatest(n_words, F.lit(1))
-    return _feature(
-        [
-            [(bangs > 2, 0.2, "very_excessive_exclamation"), (bangs > 0, 0.1, "excessive_exclamation")],
-            [(mixed > 0, 0.15, "mixed_aggressive_punctuation")],
-            [(dots > 0, 0.05, "ellipsis_abuse")],
-            [((n_words < 10) & (density > 0.5), 0.1, "high_punctuation_density")],
-        ],
-        excessive_exclamation=bangs, excessive_question=asks, mixed_punct=mixed,
-    )
+    none = F.lit(0)
+    counts = {
+        "bangs": guarded(text, ["!!"], count(text, "!{2,}"), none),
+        "asks": guarded(text, ["??"], count(text, r"\?{2,}"), none),
+        "mixed": guarded(text, ["!!", "??", "!?", "?!"], count(text, "[?!]{3,}"), none),
+        "dots": guarded(text, ["...."], count(text, r"\.{4,}"), none),
+        "n": F.size(whitespace_words(text)) if n_words is None else n_words,
+    }
+
+    def body(c: Column) -> Column:
+        density = (c["bangs"] + c["asks"] + c["mixed"]) / F.greatest(c["n"], F.lit(1))
+        return _feature(
+            [
+                [(c["bangs"] > 2, 0.2, "very_excessive_exclamation"), (c["bangs"] > 0, 0.1, "excessive_exclamation")],
+                [(c["mixed"] > 0, 0.15, "mixed_aggressive_punctuation")],
+                [(c["dots"] > 0, 0.05, "ellipsis_abuse")],
+                [((c["n"] < 10) & (density > 0.5), 0.1, "high_punctuation_density")],
+            ],
+            excessive_exclamation=c["bangs"], excessive_question=c["asks"], mixed_punct=c["mixed"],
+        )
+
+    return _counted(counts, body)
 
 
 def targeting_features(text: Column | str, n_words: Column | None = None) -> Column:
     """Second person: density, direct address, possessive attacks."""
     text = col(text)
     low = F.lower(text)
-    second = count(low, rules.SECOND_PERSON)
-    n_words = F.size(whitespace_words(text)) if n_words is None else n_words
-    density = second / F.greatest(n_words, F.lit(1))
-    high = F.when(n_words < 10, 0.4).otherwise(0.3)
-    medium = F.when(n_words < 10, 0.2).otherwise(0.15)
-    attacks = count(low, rules.POSSESSIVE_ATTACK)
-    return _feature(
-        [
-            [(density > high, 0.25, "high_personal_targeting"), (density > medium, 0.15, "moderate_personal_targeting")],
-            [(has(low, rules.DIRECT_ADDRESS), 0.2, "direct_aggressive_address")],
-            [(attacks > 0, 0.3, "possessive_attack_pattern")],
-            [((second > 3) & (F.size(sentences(text)) <= 2), 0.1, "concentrated_targeting")],
-        ],
-        targeting_density=density, second_person_count=second, possessive_attacks=attacks,
-    )
+    counts = {
+        "second": guarded(low, ["you"], count(low, rules.SECOND_PERSON), F.lit(0)),
+        "direct": guarded(low, ["you"], has(low, rules.DIRECT_ADDRESS), F.lit(False)),
+        "attacks": guarded(low, ["your"], count(low, rules.POSSESSIVE_ATTACK), F.lit(0)),
+        "parts": guarded(low, ["you"], F.size(sentences(text)), F.lit(0)),
+        "n": F.size(whitespace_words(text)) if n_words is None else n_words,
+    }
+
+    def body(c: Column) -> Column:
+        density = c["second"] / F.greatest(c["n"], F.lit(1))
+        high = F.when(c["n"] < 10, 0.4).otherwise(0.3)
+        medium = F.when(c["n"] < 10, 0.2).otherwise(0.15)
+        return _feature(
+            [
+                [(density > high, 0.25, "high_personal_targeting"), (density > medium, 0.15, "moderate_personal_targeting")],
+                [(c["direct"], 0.2, "direct_aggressive_address")],
+                [(c["attacks"] > 0, 0.3, "possessive_attack_pattern")],
+                [((c["second"] > 3) & (c["parts"] <= 2), 0.1, "concentrated_targeting")],
+            ],
+            targeting_density=density, second_person_count=c["second"], possessive_attacks=c["attacks"],
+        )
+
+    return _counted(counts, body)
 
 
 def command_features(text: Column | str) -> Column:
     """Imperatives: aggressive commands, demands and threats."""
     low = F.lower(col(text))
-    commands, demands = count(low, rules.AGGRESSIVE_COMMANDS), count(low, rules.DEMANDS)
-    threats = count(low, rules.THREAT_IMPERATIVES)
-    return _feature(
-        [
-            [(commands > 0, 0.4, "aggressive_commands")],
-            [(demands > 0, 0.2, "demanding_language")],
-            [(threats > 0, 0.5, "threatening_imperatives")],
-        ],
-        aggressive_commands=commands, demands=demands, threats=threats,
-    )
+    commands = ["shut up", "go away", "get lost", "leave me", "stop it", "quit it", "go die", "kill yourself"]
+    acts = ["hurt", "kill", "destroy", "get", "beat"]
+    threats = F.when(has(low, r"will|i'll|gonna|going to"), count(low, rules.THREAT_IMPERATIVES)).otherwise(0)
+    counts = {
+        "commands": guarded(low, commands, count(low, rules.AGGRESSIVE_COMMANDS), F.lit(0)),
+        "demands": guarded(low, ["you "], count(low, rules.DEMANDS), F.lit(0)),
+        "threats": guarded(low, acts, threats, F.lit(0)),
+    }
+
+    def body(c: Column) -> Column:
+        return _feature(
+            [
+                [(c["commands"] > 0, 0.4, "aggressive_commands")],
+                [(c["demands"] > 0, 0.2, "demanding_language")],
+                [(c["threats"] > 0, 0.5, "threatening_imperatives")],
+            ],
+            aggressive_commands=c["commands"], demands=c["demands"], threats=c["threats"],
+        )
+
+    return _counted(counts, body)
 
 
 def emphasis_features(text: Column | str) -> Column:
     """Emphasis: repeated words, repeated characters, spaced letters."""
     text = col(text)
-    words = whitespace_words(F.lower(text))
-    # zip the words with themselves shifted by one: linear in the message length
-    pairs = F.arrays_zip(
-        words.alias("a"), F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))).alias("b")
-    )
-    repeated = F.size(F.filter(pairs, lambda p: (p["a"] == p["b"]) & (F.length(p["a"]) > 2)))
-    chars = count(text, r"([^\n])\1{3,}")
-    spaced = has(text, rf"(?<!{WORD_CHARS}){WORD_CHARS}\s+{WORD_CHARS}\s+{WORD_CHARS}(?!{WORD_CHARS})")
-    return _feature(
-        [
-            [(repeated > 1, 0.1, "word_repetition")],
-            [(chars > 2, 0.15, "excessive_character_repetition"), (chars > 0, 0.05, "character_repetition")],
-            [(spaced, 0.1, "spaced_emphasis")],
-        ],
-        word_repetition=repeated, char_repetition=chars,
-    )
+
+    def repeats(words: Column) -> Column:
+        # the next word by index: linear in the message length
+        return F.size(
+            F.filter(words, lambda w, i: (F.length(w) > 2) & (w == F.get(words, i + 1)))
+        )
+
+    middle = rf"\s{WORD_CHARS}\s"
+    spaced = rf"(?<!{WORD_CHARS}){WORD_CHARS}\s+{WORD_CHARS}\s+{WORD_CHARS}(?!{WORD_CHARS})"
+    counts = {
+        "words": let(whitespace_words(F.lower(text)), repeats),
+        "chars": count(text, r"([^\n])\1{3,}"),
+        "spaced": F.when(has(text, middle), has(text, spaced)).otherwise(False),
+    }
+
+    def body(c: Column) -> Column:
+        return _feature(
+            [
+                [(c["words"] > 1, 0.1, "word_repetition")],
+                [(c["chars"] > 2, 0.15, "excessive_character_repetition"), (c["chars"] > 0, 0.05, "character_repetition")],
+                [(c["spaced"], 0.1, "spaced_emphasis")],
+            ],
+            word_repetition=c["words"], char_repetition=c["chars"],
+        )
+
+    return _counted(counts, body)
 
 
 def structure_features(text: Column | str, n_words: Column | None = None) -> Column:
@@ -138,19 +189,28 @@ def structure_features(text: Column | str, n_words: Column | None = None) -> Col
     text = col(text)
     words = whitespace_words(text)
     n_words = F.size(words) if n_words is None else n_words
-    parts = sentences(text)
     shout = F.exists(words, lambda w: (F.upper(w) == w) & (F.length(w) > 2))
-    short = F.forall(parts, lambda s: count(s, NOT_SPACE + "+") <= 2)
+    fragments = lambda parts: (F.size(parts) > 3) & F.forall(parts, lambda s: count(s, NOT_SPACE + "+") <= 2)
     caps = count(text, rf"(?<!{WORD_CHARS})[A-Z]{{3,}}(?!{WORD_CHARS})")
-    ratio = F.try_divide(caps, n_words)
-    return _feature(
-        [
-            [((n_words <= 3) & shout, 0.1, "short_caps_message")],
-            [((F.size(parts) > 3) & short, 0.05, "fragmented_aggressive_structure")],
-            [((caps > 0) & (caps < n_words) & ratio.between(0.2, 0.6), 0.1, "selective_caps_emphasis")],
-        ],
-        word_count=n_words, caps_words=caps,
-    )
+    counts = {
+        "n": n_words,
+        "shout": F.when(n_words <= 3, shout).otherwise(False),
+        "fragments": let(sentences(text), fragments),
+        "caps": F.when(has(text, "[A-Z]{3}"), caps).otherwise(0),
+    }
+
+    def body(c: Column) -> Column:
+        ratio = F.try_divide(c["caps"], c["n"])
+        return _feature(
+            [
+                [(c["shout"], 0.1, "short_caps_message")],
+                [(c["fragments"], 0.05, "fragmented_aggressive_structure")],
+                [((c["caps"] > 0) & (c["caps"] < c["n"]) & ratio.between(0.2, 0.6), 0.1, "selective_caps_emphasis")],
+            ],
+            word_count=c["n"], caps_words=c["caps"],
+        )
+
+    return _counted(counts, body)
 
 
 def context_score(features: list[Column]) -> Column:
@@ -161,12 +221,17 @@ def context_score(features: list[Column]) -> Column:
     )
 
 
+# every intent pattern needs one of these
+INTENT_NEEDLES = ["you", "will", "watch", "such"]
+
+
 def intent_scores(text: Column | str) -> Column:
     """Struct of the five intent scores."""
     low = F.lower(col(text))
     scores = {name: F.lit(0.0) for name in rules.INTENT_ORDER}
     for intent, pattern, weight in rules.INTENT_RULES:
-        scores[intent] = scores[intent] + F.when(has(low, pattern), F.lit(weight)).otherwise(F.lit(0.0))
+        hit = guarded(low, INTENT_NEEDLES, has(low, pattern), F.lit(False))
+        scores[intent] = scores[intent] + F.when(hit, F.lit(weight)).otherwise(F.lit(0.0))
     return F.struct(*[v.alias(k) for k, v in scores.items()])
 
 

@@ -13,6 +13,7 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from civiltext.functions.staging import let
 from civiltext.functions.text import NOT_WORD, WORD, WORD_CHARS, count
 from civiltext.values import rules
 
@@ -20,11 +21,6 @@ from civiltext.values import rules
 MATCHES = "array<struct<start:int,end:int,gaps:int,strength:double>>"
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate ``value`` once and bind it, so that lambdas inside ``body`` do not repeat it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def gap_regex(words: list[str], max_gap: int = 2) -> str:
     out = f"(?<!{WORD_CHARS}){re.escape(words[0])}(?!{WORD_CHARS})"
     for word in words[1:]:

@@ -8,6 +8,8 @@ instead; filters on its output stay above it, and the row is computed once.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +27,46 @@ def computed(df: DataFrame, columns: dict[str, Column], drop: tuple[str, ...] =
     return out.select(*kept, F.inline(F.array(row)))
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate ``value`` once and bind it, so that ``body`` may use it several times."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def guarded(text: Column, needles: list[str], value: Column, otherwise: Column) -> Column:
+    """``value`` only for texts that contain one of ``needles``; a byte scan instead of a regular expression."""
+    possible = F.lit(False)
+    for needle in needles:
+        possible = possible | F.contains(text, F.lit(needle))
+    return F.when(possible, value).otherwise(otherwise)
+
+
+def required_literal(pattern: str) -> str | None:
+    """A text every match of ``pattern`` must contain, or ``None`` when none is certain."""
+    if re.search(r"\\[^bBsSwWdD.!?*+$^-]", pattern):
+        return None
+    rest, before = re.sub(r"\\.", "\0", pattern), None
+    while rest != before:  # groups may be optional or alternatives, so nothing inside them is certain
+        before, rest = rest, re.sub(r"\([^()]*\)", "\0", rest)
+    if re.search(r"[|\[\]()]", rest):
+        return None
+    runs = re.findall(r"[^\0.^$*+?{}\s]+(?![?*{])", rest)
+    best = max(runs, key=len, default="")
+    return best.lower() if len(best) >= 2 else None
+
+
+def pattern_hits(low: Column, pattern: str) -> Column:
+    """All matches of a pattern in lower-cased text; texts without its required literal are skipped."""
+    found = F.regexp_extract_all(low, F.lit("(?i)" + pattern), F.lit(0))
+    literal = required_literal(pattern)
+    return found if literal is None else guarded(low, [literal], found, F.array().cast("array<string>"))
+
+
+def pattern_found(low: Column, pattern: str) -> Column:
+    found = F.regexp_like(low, F.lit("(?i)" + pattern))
+    literal = required_literal(pattern)
+    return found if literal is None else guarded(low, [literal], found, F.lit(False))
+
+
 def quoted(term: str) -> str:
     return "'" + term.replace("\\", "\\\\").replace("'", "\\'") + "'"
 

@@ -12,6 +12,7 @@ from itertools import groupby
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from civiltext.functions.staging import let
 from civiltext.values import rules
 
 WORD_CHARS = r"[\p{L}\p{N}_]"
@@ -20,6 +21,9 @@ NOT_WORD = r"[^\p{L}\p{N}_]"
 # whitespace as Unicode knows it, not only the ASCII part
 SPACES = r"\s\x0B\x1C-\x1F\x85\p{Z}"
 SPACE, NOT_SPACE = f"[{SPACES}]", f"[^{SPACES}]"
+SPACE_CHARS = " \t\n\v\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    map(chr, range(0x2000, 0x200B))
+)
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -50,7 +54,7 @@ def is_blank(text: Column | str) -> Column:
 
 
 def strip(text: Column | str) -> Column:
-    return F.regexp_replace(col(text), rf"^{SPACE}+|{SPACE}+\z", "")
+    return F.btrim(col(text), F.lit(SPACE_CHARS))
 
 
 def whitespace_words(text: Column | str) -> Column:
@@ -90,12 +94,23 @@ def variant_patterns(variants: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return [(r"\b(?:%s)\b" % "|".join(re.escape(v) for v, _ in run), target) for target, run in runs]
 
 
+def variant_guard(variants: list[tuple[str, str]]) -> str:
+    """One expression that finds any variant, its alternatives grouped by first character."""
+    heads = groupby(sorted({v for v, _ in variants}), key=lambda v: v[0])
+    return r"\b(?:%s)\b" % "|".join(
+        f"{re.escape(head)}(?:{'|'.join(re.escape(v[1:]) for v in group)})" for head, group in heads
+    )
+
+
 def rewrite_variants(text: Column | str, variants: list[tuple[str, str]]) -> Column:
-    """Ordered dictionary rewrite at word boundaries."""
-    out = col(text)
-    for pattern, target in variant_patterns(variants):
-        out = F.regexp_replace(out, pattern, target)
-    return out
+    """Ordered dictionary rewrite at word boundaries (N2); texts without any variant are left after one scan."""
+    def chain(t: Column) -> Column:
+        out = t
+        for pattern, target in variant_patterns(variants):
+            out = F.regexp_replace(out, pattern, target)
+        return F.when(has(t, variant_guard(variants)), out).otherwise(t)
+
+    return let(col(text), chain)
 
 
 def deleet(text: Column | str, profile: str) -> Column:
@@ -153,6 +168,14 @@ def normalise(text: Column | str, profile: str) -> Column:
     raise ValueError(f"unknown profile {profile!r}")
 
 
+def category_tokens(text: Column | str) -> Column:
+    """Tokens of the category normaliser, without the steps that cannot change tokens."""
+    out = rewrite_variants(squeeze_repeats(F.lower(col(text))), rules.CATEGORY_VARIANTS)
+    out = deleet_shapes(deleet(out, "category"), "category")
+    out = F.regexp_replace(out, r"([-*])\1+", "$1")
+    return extract(join_separators(out), WORD)
+
+
 def mixed_case_words(text: Column | str) -> Column:
     """Number of words over three characters whose case flips more than length/3 times."""
     flips = lambda w: F.regexp_count(w, F.lit(r"\p{Lu}(?=\P{Lu})|\P{Lu}(?=\p{Lu})"))

@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from civiltext.functions import features as feat
 from civiltext.functions.phrases import adaptive_matches, keep_strongest
 from civiltext.functions.severity import explain, sev_name, sev_rank
-from civiltext.functions.staging import computed, members
-from civiltext.functions.text import WORD, extract, has, is_blank, is_polite, normalise, whitespace_words
+from civiltext.functions.staging import computed, members, pattern_hits
+from civiltext.functions.text import category_tokens, is_blank, is_polite, whitespace_words
 from civiltext.operators.lexicon import LanguageRules
 from civiltext.values import rules, terms
 
@@ -138,7 +138,7 @@ def _scored_categories(
     compound = F.lit(0.0) if compound is None else F.coalesce(compound, F.lit(0.0))
     raw = F.coalesce(F.col(text), F.lit(""))
     out = flat_features(df.withColumn("_compound", compound), text)
-    out = out.withColumn("_words", extract(normalise(raw, "category"), WORD))
+    out = out.withColumn("_words", category_tokens(raw))
     out = computed(
         out,
         {
@@ -166,6 +166,13 @@ def _scored_categories(
         },
         drop=("_hits", "_polite"),
     )
+    out = out.withColumn("_low", low)
+    out = out.withColumns(
+        {
+            f"_w_{i}_{j}": pattern_hits(F.col("_low"), p)
+            for i, c in enumerate(categories) for j, p in enumerate(c.patterns)
+        }
+    )
     for i, c in enumerate(categories):
         score = F.size(f"_w{i}") * F.lit(c.boost * 1.5 if c.name == "direct_insults" else c.boost)
         items = [F.col(f"_w{i}")]
@@ -173,8 +180,8 @@ def _scored_categories(
             m = F.col(f"_p{i}_{j}")
             score = score + F.aggregate(m, F.lit(0.0), lambda a, x: a + x["strength"]) * F.lit(boost)
             items.append(F.array_repeat(F.lit(phrase), F.size(m)))
-        for pattern in c.patterns:
-            found = extract(low, "(?i)" + pattern)
+        for j in range(len(c.patterns)):
+            found = F.col(f"_w_{i}_{j}")
             score = score + F.when(F.size(found) > 0, F.lit(c.boost * 2.0)).otherwise(F.lit(0.0))
             items.append(found)
         structs.append(
@@ -184,7 +191,7 @@ def _scored_categories(
             )
         )
     found = F.filter(F.array(*structs).cast(item_type), lambda s: F.size(s["items"]) > 0)
-    drop = tuple(c for c in out.columns if c[:3] in ("_p0", "_p1", "_p2", "_p3") or c[:2] == "_w")
+    drop = ("_low",) + tuple(c for c in out.columns if c[:3] in ("_p0", "_p1", "_p2", "_p3") or c[:2] == "_w")
     found = F.when(is_blank(text), F.array().cast(item_type)).otherwise(found)
     return computed(out, {"categories": found}, drop=drop)
 

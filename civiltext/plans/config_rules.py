@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from civiltext.functions.features import context_config
 from civiltext.functions.phrases import gap_span
 from civiltext.functions.severity import sev_name, sev_rank, severity_of
-from civiltext.functions.staging import computed, members
+from civiltext.functions.staging import computed, members, pattern_hits
 from civiltext.functions.text import WORD, bounded_tokens, extract, has, is_blank, normalise, whitespace_words
 from civiltext.operators.lexicon import LanguageRules, inline_rules
 from civiltext.plans.multilingual import DETECTIONS, detection, total_confidence, vocabulary
@@ -26,22 +26,26 @@ def packaged_config_rules() -> dict[str, LanguageRules]:
     }
 
 
-def indicator_languages(text: Column, indicators: dict | None = None, min_words: int = rules.MIN_INDICATOR_WORDS) -> Column:
-    """Languages by script, by at least ``min_words`` indicator words or by a phrase."""
+def indicator_languages(
+    df: DataFrame, text: str = "text", indicators: dict | None = None, min_words: int = rules.MIN_INDICATOR_WORDS
+) -> DataFrame:
+    """Adds ``languages`` by script, by at least ``min_words`` indicator words or by a phrase."""
     indicators = indicators or rules.LANGUAGE_INDICATORS
-    low = F.lower(text)
-    words = whitespace_words(low)
-    # counted on one array of indicator words per text; the number of languages is small
+    raw = F.coalesce(F.col(text), F.lit(""))
+    df = df.withColumn("_lowered", F.lower(raw)).withColumn("_spaced", whitespace_words("_lowered"))
     found = []
     for lang, spec in indicators.items():
-        hit = F.size(F.filter(words, lambda w: w.isin(spec["words"]))) >= min_words
+        hit = F.lit(False)
         if spec.get("script"):
-            hit = has(text, spec["script"]) | hit
+            hit = has(raw, spec["script"])
+        hit = hit | (F.size(members("_spaced", spec["words"])) >= min_words)
         for phrase in spec["phrases"]:
-            hit = hit | F.contains(low, F.lit(phrase))
+            hit = hit | F.contains("_lowered", F.lit(phrase))
         found.append(F.when(hit, lang))
-    langs = F.array_compact(F.array(*found))
-    return F.when(F.size(langs) > 0, langs).otherwise(F.array(F.lit(rules.DEFAULT_LANGUAGE)))
+    df = df.withColumn("languages", F.array_compact(F.array(*found)))
+    langs = F.when(F.size("languages") > 0, F.col("languages")).otherwise(F.array(F.lit(rules.DEFAULT_LANGUAGE)))
+    langs = F.when(is_blank(text), F.array().cast("array<string>")).otherwise(langs)
+    return df.withColumn("languages", langs).drop("_lowered", "_spaced")
 
 
 def gap_score(gaps: Column) -> Column:
@@ -73,7 +77,7 @@ def config_detections(lang: str, r: LanguageRules, norm: Column) -> Column:
     for pattern in r.patterns:
         parts.append(
             F.transform(
-                extract(norm, "(?i)" + pattern),
+                pattern_hits(norm, pattern),
                 lambda v: detection("pattern", v, lang, F.lit("medium"), F.lit(weight["pattern"])),
             )
         )
@@ -88,7 +92,7 @@ def score_config(
     if languages is None:
         raise ValueError("this profile keeps its term table inline; split larger tables by language")
     raw = F.coalesce(F.col(text), F.lit(""))
-    base = df.withColumn("_norm", normalise(raw, "config"))
+    base = indicator_languages(df, text, indicators).withColumn("_norm", normalise(raw, "config"))
     # length bounds apply before phrases are matched, so phrases see the bounded tokens only
     base = base.withColumn("_words", bounded_tokens(extract(F.col("_norm"), WORD)))
     base = base.withColumn("_line", F.array_join("_words", " "))
@@ -96,9 +100,7 @@ def score_config(
     base = computed(
         base,
         {
-            "languages": F.when(is_blank(text), F.array().cast("array<string>")).otherwise(
-                indicator_languages(raw, indicators)
-            ),
+            "languages": F.col("languages"),
             **{f"_c_{f}": context[f] for f in CONTEXT_FIELDS},
             "_hits": members("_words", vocabulary(languages)),
         },

@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 
 from civiltext.functions.phrases import gap_span
 from civiltext.functions.severity import sev_name, sev_rank, severity_of
-from civiltext.functions.staging import any_member, computed, members
-from civiltext.functions.text import extract, has, is_blank, word_tokens
+from civiltext.functions.staging import any_member, computed, members, pattern_found, pattern_hits
+from civiltext.functions.text import has, is_blank, word_tokens
 from civiltext.operators import matching
 from civiltext.operators.lexicon import LanguageRules, inline_rules, packaged_rules
 
@@ -53,7 +53,7 @@ def language_present(lang: str, r: LanguageRules, raw: Column, low: Column) -> C
     for phrase in r.phrases:
         found = found | F.contains(low, F.lit(phrase))
     for pattern in r.patterns:
-        found = found | has(low, "(?i)" + pattern)
+        found = found | pattern_found(low, pattern)
     return found
 
 
@@ -77,7 +77,7 @@ def language_detections(lang: str, r: LanguageRules, raw: Column, low: Column) -
     for pattern in r.patterns:
         parts.append(
             F.transform(
-                extract(low, "(?i)" + pattern),
+                pattern_hits(low, pattern),
                 lambda v: detection("pattern", v, lang, F.lit("medium"), F.lit(0.4)),
             )
         )

@@ -629,10 +629,11 @@ def detect_languages_query(spark, d):
 
 @register(
     "detect_languages_cfg",
-    """SELECT m.msg_id, coalesce(string_agg(p.lang, ',' ORDER BY p.lang), 'english') AS languages FROM c_msgs m LEFT JOIN c_cfglang p USING (msg_id) GROUP BY m.msg_id""",
+    """SELECT m.msg_id, coalesce(string_agg(p.lang, ',' ORDER BY p.lang), '') AS languages FROM c_msgs m LEFT JOIN c_cfglangs p USING (msg_id) GROUP BY m.msg_id""",
 )
 def detect_languages_cfg(spark, d):
-    return msgs(spark, d).select("msg_id", F.array_join(F.array_sort(indicator_languages(F.col("text"))), ",").alias("languages"))
+    out = indicator_languages(msgs(spark, d))
+    return out.select("msg_id", F.array_join(F.array_sort("languages"), ",").alias("languages"))
 
 
 CTES["c_val"] = values(planted.VALENCE, "token, valence")
@@ -966,8 +967,8 @@ def running_stats(spark, d):
     return parts[0].unionByName(parts[1])
 
 
-_CHAIN = """WITH RECURSIVE e AS (SELECT {key} AS k, epoch_us(ts) AS t, min(event_id) AS id FROM events GROUP BY ALL),
-    nxt AS (SELECT a.k, a.t, b.t AS n FROM e a ASOF JOIN e b ON a.k = b.k AND b.t >= a.t + 3600000000),
+_CHAIN = """WITH RECURSIVE e AS MATERIALIZED (SELECT {key} AS k, epoch_us(ts) AS t, min(event_id) AS id FROM events GROUP BY ALL),
+    nxt AS MATERIALIZED (SELECT a.k, a.t, b.t AS n FROM e a ASOF JOIN e b ON a.k = b.k AND b.t >= a.t + 3600000000),
     chain AS (SELECT k, min(t) AS t FROM e GROUP BY k UNION ALL SELECT c.k, n.n FROM chain c JOIN nxt n ON n.k = c.k AND n.t = c.t)
     SELECT e.k AS {key}, e.id AS event_id FROM chain c JOIN e ON e.k = c.k AND e.t = c.t"""
 
