@@ -37,7 +37,7 @@ LANG_NAMES = {"en": "english", "hi": "hindi", "mr": "marathi"}
 
 def planted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """msg_id, doc_id, ts, user_id, conv_id, lang, text."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    docs = read_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "lang", "text")
     snippets = spark.createDataFrame(SNIPPETS, "k int, mode string, snippet string")
     # a fixed table of twenty rows
     both = docs.withColumn("k", (F.col("doc_id") % SNIPPET_CYCLE).cast("int")).join(F.broadcast(snippets), "k", "left")
@@ -93,7 +93,7 @@ def mined_with_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vocabulary_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct (lang, token) of all documents as a term table."""
-    docs = read_table(spark, sf_dir, "documents").select("lang", F.explode(F.array_distinct(word_tokens("text"))).alias("term"))
+    docs = read_table(spark, sf_dir, "documents", "doc_id").select("lang", F.explode(F.array_distinct(word_tokens("text"))).alias("term"))
     lang = F.when(F.col("lang") == "en", "english").otherwise(F.col("lang"))
     words = docs.select(lang.alias("lang"), "term").distinct()
     return words.select(

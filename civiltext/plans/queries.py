@@ -86,7 +86,7 @@ def scan_messages(spark, d):
 )
 def lexicon_flatten(spark, d):
     # every document becomes one nested term file in both the language and the category layout
-    docs = read_table(spark, d, "documents").withColumn("w", F.array_distinct(tx.word_tokens("text")))
+    docs = read_table(spark, d, "documents", "doc_id").withColumn("w", F.array_distinct(tx.word_tokens("text")))
     phrase = F.concat_ws(" ", "lang", "source")
     strings = "array<string>"
     nothing = F.array().cast(strings)
@@ -463,7 +463,7 @@ def batch_errors(spark, d):
     f"SELECT page_id, length(t) AS n, md5(t) AS h FROM (SELECT page_id, {strip('''regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), '<[^>]*>', '', 'g')''')} AS t FROM pages)",
 )
 def sanitise_pages(spark, d):
-    return digest(read_table(spark, d, "pages"), tx.sanitise_html("html"), "page_id")
+    return digest(read_table(spark, d, "pages", "page_id"), tx.sanitise_html("html"), "page_id")
 
 
 @register("polite_messages", "SELECT msg_id, polite FROM c_polite")
@@ -697,7 +697,7 @@ def score_multilingual_query(spark, d):
 
 @register("score_documents", "SELECT doc_id, round(confidence, 6) AS confidence, is_bullying, severity, n_detections FROM c_dscore")
 def score_documents(spark, d):
-    out = score_multilingual(read_table(spark, d, "documents").select("doc_id", "text"))
+    out = score_multilingual(read_table(spark, d, "documents", "doc_id").select("doc_id", "text"))
     return out.select("doc_id", r6("confidence").alias("confidence"), "is_bullying", "severity", "n_detections")
 
 
@@ -780,7 +780,7 @@ def threshold_modes(spark, d):
     "SELECT count(*) AS total_processed, count(*) FILTER (WHERE is_bullying) AS bullying_detected, round(avg(confidence), 3) AS average_confidence FROM c_dscore",
 )
 def batch_summary(spark, d):
-    return an.batch_summary(score_multilingual(read_table(spark, d, "documents").select("doc_id", "text")))
+    return an.batch_summary(score_multilingual(read_table(spark, d, "documents", "doc_id").select("doc_id", "text")))
 
 
 @register("confidence_histogram", "SELECT (floor(round(confidence, 6) * 10) * 10)::INT AS bucket, count(*) AS n FROM c_score GROUP BY ALL")
@@ -819,7 +819,7 @@ CTES["c_eval"] = "SELECT s.doc_id, s.is_bullying AS f, s.confidence, l.toxic = 1
 
 
 def _scored_docs(spark, d):
-    return score_multilingual(read_table(spark, d, "documents").select("doc_id", "text")).select("doc_id", "is_bullying", r6("confidence").alias("confidence"))
+    return score_multilingual(read_table(spark, d, "documents", "doc_id").select("doc_id", "text")).select("doc_id", "is_bullying", r6("confidence").alias("confidence"))
 
 
 @register(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,8 +14,25 @@ TABLES = (
 ).split()
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+SPLIT_BYTES = 128 << 20
+
+
+def spread(df: DataFrame, key: str, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """Hash a small input over all cores before per-message work.
+
+    Files smaller than one split per core leave cores idle, whatever their
+    number of row groups. Larger inputs already come in enough splits and are
+    returned unchanged, so big data is never shuffled here.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores, key) if size < cores * split_bytes else df
+
+
+def read_table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -> DataFrame:
+    """One parquet table; with ``key`` a small one is spread over the cores."""
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return df if key is None else spread(df, key)
 
 
 def read_messages(spark: SparkSession, path: str, fmt: str = "parquet", schema: T.StructType | str | None = None) -> DataFrame:
@@ -51,47 +68,58 @@ def read_lexicon(spark: SparkSession, path: str, origin: str = "file", version:
 
 
 def flatten_lexicon(raw: DataFrame, origin: str = "file", version: int = 1) -> DataFrame:
-    """Every layout found in ``raw`` contributes rows; missing category fields get their defaults."""
-    null = F.lit(None)
-
-    def rows(df: DataFrame, kind: str, term, lang=null, category=null, severity=null, boost=null) -> DataFrame:
-        return df.select(
-            term.cast("string").alias("term"), F.lit(kind).alias("kind"), lang.cast("string").alias("lang"),
-            category.cast("string").alias("category"), severity.cast("string").alias("severity"),
-            boost.cast("double").alias("boost"), F.lit(origin).alias("origin"), F.lit(version).alias("version"),
+    """Every layout found in ``raw`` contributes rows, in one pass; missing category fields get their defaults."""
+    null, medium = F.lit(None), F.lit("medium")
+    rows_type = "array<struct<term:string,kind:string,lang:string,category:string,severity:string,boost:double>>"
+
+    def row(term: Column, kind: str | Column, lang=null, category=null, severity=null, boost=null) -> Column:
+        kind = F.lit(kind) if isinstance(kind, str) else kind
+        names = ("term", "kind", "lang", "category", "severity", "boost")
+        return F.struct(*[c.alias(n) for c, n in zip((term, kind, lang, category, severity, boost), names)])
+
+    def each(items: Column, make) -> Column:
+        return F.coalesce(F.transform(items, make).cast(rows_type), F.array().cast(rows_type))
+
+    def language(e: Column) -> Column:
+        lang, d = e["key"], e["value"]
+        rated = lambda kind: lambda t: row(t, kind, lang, severity=F.try_element_at(d["severity_map"], t))
+        return F.concat(
+            each(d["single_words"], rated("word")),
+            each(d["multi_word_phrases"], rated("phrase")),
+            each(d["patterns"], rated("pattern")),
+            each(F.map_entries(d["severity_map"]), lambda m: row(m["key"], "severity", lang, severity=m["value"])),
         )
 
-    langs = raw.select(F.explode("languages").alias("lang", "d"))
-    cats = raw.select(F.explode("bullying_categories").alias("category", "d"))
-    c, level = F.col("category"), F.coalesce("d.severity", F.lit("medium"))
-    boost = F.coalesce("d.confidence_boost", F.lit(0.3))
-    parts = []
-    for field, kind in (("single_words", "word"), ("multi_word_phrases", "phrase"), ("patterns", "pattern")):
-        terms = langs.select("lang", F.col("d.severity_map").alias("m"), F.explode(f"d.{field}").alias("t"))
-        parts.append(rows(terms, kind, F.col("t"), F.col("lang"), severity=F.try_element_at("m", F.col("t"))))
-    rated = langs.select("lang", F.explode("d.severity_map").alias("t", "s"))
-    parts.append(rows(rated, "severity", F.col("t"), F.col("lang"), severity=F.col("s")))
-    keyword = F.lower(F.trim("t"))
-    for field, factor in (("keywords", 1.0), ("multi_word_phrases", 1.5), ("patterns", 1.0)):
-        found = cats.select("category", "d", F.explode(f"d.{field}").alias("t"))
-        if field == "patterns":
-            parts.append(rows(found, "pattern", F.col("t"), category=c, severity=level, boost=boost))
-            continue
-        multi = F.contains(keyword, F.lit(" ")) if field == "keywords" else F.lit(True)
-        parts.append(rows(found.filter(multi), "phrase", keyword, category=c, severity=level, boost=boost * factor))
-        if field == "keywords":
-            parts.append(rows(found.filter(~multi), "word", keyword, category=c, severity=level, boost=boost))
-    for field, kind, default in (("bullying_words", "word", "medium"), ("bullying_phrases", "phrase", "high")):
-        terms = raw.select("severity_levels", F.explode(field).alias("t"))
-        levels = F.map_filter("severity_levels", lambda _, v: F.array_contains(v, F.col("t")))
-        found = F.coalesce(F.get(F.map_keys(levels), F.lit(0)), F.lit(default))
-        parts.append(rows(terms, kind, F.lower("t"), F.lit("english"), severity=found))
-    ctx = raw.select(F.inline("contextual_patterns"))
-    parts.append(rows(ctx, "pattern", F.col("pattern"), F.lit("english"), severity=F.col("severity")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.select(*LEXICON_SCHEMA.names)
+    def category(e: Column) -> Column:
+        name, d = e["key"], e["value"]
+        level, boost = F.coalesce(d["severity"], medium), F.coalesce(d["confidence_boost"], F.lit(0.3))
+        tidy = lambda t: F.lower(F.trim(t))
+        kind = lambda t: F.when(F.contains(tidy(t), F.lit(" ")), "phrase").otherwise("word")
+        return F.concat(
+            each(d["keywords"], lambda t: row(tidy(t), kind(t), category=name, severity=level, boost=boost)),
+            each(d["multi_word_phrases"], lambda t: row(tidy(t), "phrase", category=name, severity=level, boost=boost * 1.5)),
+            each(d["patterns"], lambda t: row(t, "pattern", category=name, severity=level, boost=boost)),
+        )
+
+    def legacy(field: str, kind: str, default: str) -> Column:
+        def rated(t: Column) -> Column:
+            levels = F.map_filter("severity_levels", lambda _, terms: F.array_contains(terms, t))
+            return row(F.lower(t), kind, F.lit("english"), severity=F.coalesce(F.get(F.map_keys(levels), F.lit(0)), F.lit(default)))
+
+        return each(F.col(field), rated)
+
+    nested = lambda column, make: F.coalesce(
+        F.flatten(F.transform(F.map_entries(column), make)), F.array().cast(rows_type)
+    )
+    everything = F.concat(
+        nested("languages", language),
+        nested("bullying_categories", category),
+        legacy("bullying_words", "word", "medium"),
+        legacy("bullying_phrases", "phrase", "high"),
+        each(F.col("contextual_patterns"), lambda p: row(p["pattern"], "pattern", F.lit("english"), severity=p["severity"])),
+    )
+    out = raw.select(F.inline(everything))
+    return out.withColumns({"origin": F.lit(origin), "version": F.lit(version)}).select(*LEXICON_SCHEMA.names)
 
 
 def read_intents(spark: SparkSession, path: str) -> DataFrame:
