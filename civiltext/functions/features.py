@@ -229,10 +229,10 @@ def intent_scores(text: Column | str) -> Column:
     """Struct of the five intent scores."""
     low = F.lower(col(text))
     scores = {name: F.lit(0.0) for name in rules.INTENT_ORDER}
+    zero = F.struct(*[v.alias(k) for k, v in scores.items()])
     for intent, pattern, weight in rules.INTENT_RULES:
-        hit = guarded(low, INTENT_NEEDLES, has(low, pattern), F.lit(False))
-        scores[intent] = scores[intent] + F.when(hit, F.lit(weight)).otherwise(F.lit(0.0))
-    return F.struct(*[v.alias(k) for k, v in scores.items()])
+        scores[intent] = scores[intent] + F.when(has(low, pattern), F.lit(weight)).otherwise(F.lit(0.0))
+    return guarded(low, INTENT_NEEDLES, F.struct(*[v.alias(k) for k, v in scores.items()]), zero)
 
 
 def max_intent(intent: Column) -> Column:

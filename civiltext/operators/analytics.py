@@ -158,6 +158,7 @@ def global_row_number(df: DataFrame, order_by: str, rows_per_bucket: int = 2_000
 
     The key range is cut at approximate quantiles. A small table of bucket counts
     gives each bucket its offset; ranks are then computed per bucket in parallel.
+    ``df`` is read several times: pass the key and what is cheap to carry.
     """
     n = df.count()
     buckets = max(2, min(max_buckets, n // rows_per_bucket + 1))

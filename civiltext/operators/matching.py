@@ -177,15 +177,15 @@ def score_unique(df: DataFrame, scorer, key: str = "msg_id", text: str = "text",
     """
     hashed = df.select(key, F.md5(text).alias("h"), text)
     unique = hashed.groupBy("h").agg(F.first(text).alias(text), F.count("*").alias("_copies"))
-    scored = scorer(unique).drop(text)
     parts = F.ceil(F.col("_copies") / hot).cast("int")
-    scored = scored.withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1))).withColumn("_parts", parts)
-    heavy = scored.filter("_parts > 1 and _salt = 0").select("h", "_parts")
+    scored = scorer(unique).drop(text).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
+    # counted from the texts alone: the scorer is not involved
+    heavy = hashed.groupBy("h").agg(F.count("*").alias("_copies")).select("h", parts.alias("_parts")).filter("_parts > 1")
     keys = lookup_join(hashed.select(key, "h"), heavy, ["h"], "left")
     keys = keys.withColumn(
         "_salt", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1)).cast("bigint")).cast("int")
     ).drop("_parts")
-    return keys.join(scored.drop("_copies", "_parts"), ["h", "_salt"]).drop("_salt", "h")
+    return keys.join(scored.drop("_copies"), ["h", "_salt"]).drop("_salt", "h")
 
 
 def unmatched(df: DataFrame, detections: DataFrame, key: str = "msg_id") -> DataFrame:

@@ -61,26 +61,27 @@ def ensemble(
 
     ``fixed`` weights 0.4/0.6 and consults the verdict when the local confidence is
     below the threshold. ``adaptive`` weights by whichever side is sure, and also
-    needs the local result to be unflagged. Only uncertain messages take part in
-    the join, and only narrow verdict columns travel.
+    needs the local result to be unflagged. The condition is part of the one outer
+    join, so the local results are computed once and only narrow verdict columns travel.
     """
-    narrow = verdicts.select(key, "v_is_bullying", "v_confidence", "v_severity", "v_action")
+    narrow = verdicts.select(
+        F.col(key).alias("_key"), "v_is_bullying", "v_confidence", "v_severity", "v_action"
+    )
     uncertain = F.col("confidence") < threshold
     if policy == "adaptive":
         uncertain = uncertain & ~F.col("is_bullying")
-    keep = local.filter(~uncertain)
-    asked = local.filter(uncertain).join(narrow, key, "left")
+    both = local.join(narrow, (F.col(key) == F.col("_key")) & uncertain, "left")
     lc, vc = F.col("confidence"), F.coalesce("v_confidence", F.lit(0.0))
     v_flag = F.coalesce("v_is_bullying", F.lit(False))
     rank = F.greatest(sev_rank(F.col("severity")), F.coalesce(sev_rank(F.col("v_severity")), F.lit(0)))
     if policy == "fixed":
-        used = F.lit(True)
+        used = uncertain
         mixed = lc * 0.4 + vc * 0.6
         flag = (mixed >= threshold) | F.col("is_bullying") | v_flag
         level = F.when(flag, sev_name(rank)).otherwise("none")
         method = "combined"
     else:
-        used = vc > 0
+        used = uncertain & (vc > 0)
         wl = F.when(lc > 0.8, 0.7).when(vc > 0.8, 0.3).otherwise(0.5)
         wv = F.when(lc > 0.8, 0.3).when(vc > 0.8, 0.7).otherwise(0.5)
         mixed = lc * wl + vc * wv
@@ -88,7 +89,7 @@ def ensemble(
         level = sev_name(rank)
         method = "enhanced_combined"
     cols = [c for c in local.columns if c not in ("confidence", "is_bullying", "severity", "detection_method")]
-    combined = asked.select(
+    return both.select(
         *cols,
         F.when(used, mixed).otherwise(lc).alias("confidence"),
         F.when(used, flag).otherwise(F.col("is_bullying")).alias("is_bullying"),
@@ -96,7 +97,3 @@ def ensemble(
         F.when(used, F.lit(method)).otherwise("local").alias("method"),
         F.when(used & F.col("v_action").isNotNull(), F.col("v_action")).otherwise("warn").alias("action"),
     )
-    sure = keep.select(
-        *cols, "confidence", "is_bullying", "severity", F.lit("local").alias("method"), F.lit("warn").alias("action")
-    )
-    return combined.unionByName(sure)
