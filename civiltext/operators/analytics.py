@@ -47,6 +47,17 @@ def detection_breakdown(results: DataFrame) -> DataFrame:
     )
 
 
+def language_counts(results: DataFrame) -> DataFrame:
+    """Messages per detected language (Q3)."""
+    return results.select(F.explode("languages").alias("lang")).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+def category_breakdown(results: DataFrame) -> DataFrame:
+    """Messages per category and category severity (Q3)."""
+    found = results.select(F.inline("categories"))
+    return found.groupBy("category", "severity").agg(F.count("*").alias("n"))
+
+
 def top_terms(results: DataFrame, k: int = 10) -> DataFrame:
     """The ``k`` terms that matched most often (Q4)."""
     found = results.select(F.explode("detections").alias("d")).filter("d.type <> 'pattern'")

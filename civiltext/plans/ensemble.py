@@ -97,3 +97,12 @@ def ensemble(
         F.when(used, F.lit(method)).otherwise("local").alias("method"),
         F.when(used & F.col("v_action").isNotNull(), F.col("v_action")).otherwise("warn").alias("action"),
     )
+
+
+def model_verdicts(df: DataFrame, predict, key: str = "msg_id", text: str = "text") -> DataFrame:
+    """Raw verdict texts of a user model: ``predict`` maps a pandas Series of texts to a Series of strings.
+
+    Runs in Arrow batches inside the tasks; the result feeds ``parse_verdicts``.
+    """
+    model = F.pandas_udf(predict, "string")
+    return df.select(key, model(F.col(text)).alias("raw"))

@@ -891,6 +891,28 @@ def batch_assign(spark, d):
     return an.assign_batches(msgs(spark, d).select("msg_id"), "msg_id")
 
 
+@register("language_counts", "SELECT lang, count(*) AS n FROM c_present GROUP BY lang")
+def language_counts(spark, d):
+    return an.language_counts(score_multilingual(msgs(spark, d)))
+
+
+@register("category_breakdown", "SELECT category, severity, count(*) AS n FROM c_catscore GROUP BY ALL")
+def category_breakdown(spark, d):
+    return an.category_breakdown(score_category(msgs(spark, d)))
+
+
+@register(
+    "resolve_severity",
+    """SELECT t.msg_id, s.lang, t.token AS term, coalesce(v.severity, 'medium') AS severity, count(*) AS n
+    FROM c_tok t JOIN (SELECT * FROM c_shipped WHERE kind = 'word') s ON s.term = t.token
+    LEFT JOIN (SELECT lang, term, severity FROM c_shipped WHERE kind = 'severity') v ON v.lang = s.lang AND v.term = s.term GROUP BY ALL""",
+)
+def resolve_severity(spark, d):
+    lex = lx.packaged_lexicon(spark)
+    found = mt.match_words(mt.tokens(msgs(spark, d)), lex).select("msg_id", "lang", F.col("token").alias("term"))
+    return lx.resolve_severity(found, lex).groupBy("msg_id", "lang", "term", "severity").agg(F.count("*").alias("n"))
+
+
 # -- streaming -------------------------------------------------------------------------------------------------------
 
 STAMP = "yyyy-MM-dd HH:mm:ss"
@@ -942,6 +964,15 @@ def window_metrics(spark, d):
     return out.select(stamp("window_start"), "n", "errors", r6("mean_latency").alias("mean_latency"))
 
 
+@register(
+    "metrics_retention",
+    "SELECT * FROM c_metrics WHERE window_start > (SELECT strftime(strptime(max(window_start), '%Y-%m-%d %H:%M:%S') - INTERVAL 7 DAY, '%Y-%m-%d %H:%M:%S') FROM c_metrics)",
+)
+def metrics_retention(spark, d):
+    kept = streams.retain(streams.window_metrics(read_table(spark, d, "events"), "1 hour"), 7)
+    return kept.select(stamp("window_start"), "n", "errors", r6("mean_latency").alias("mean_latency"))
+
+
 @register(
     "alerts",
     """SELECT *, concat_ws('+', CASE WHEN errors > 4 THEN 'errors' END, CASE WHEN mean_latency > 60 THEN 'latency' END) AS reason FROM c_metrics WHERE errors > 4 OR mean_latency > 60""",

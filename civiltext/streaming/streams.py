@@ -63,6 +63,14 @@ def alerts(metrics: DataFrame, max_errors: float = rules.ALERT_ERRORS, max_laten
     return metrics.filter(many | slow).withColumn("reason", reason)
 
 
+def retain(metrics: DataFrame, days: int = 30) -> DataFrame:
+    """Windows of the last ``days`` before the newest one (retention of ST4, batch only)."""
+    newest = metrics.agg(F.max("window_start").alias("_newest"))
+    # one row by construction
+    out = metrics.join(F.broadcast(newest), F.col("window_start") > F.col("_newest") - F.make_dt_interval(days=F.lit(days)))
+    return out.drop("_newest")
+
+
 def running_stats(results: DataFrame) -> DataFrame:
     """Counters per severity and confidence bucket, updated per batch (ST6)."""
     return results.groupBy("severity", confidence_bucket("confidence").alias("bucket")).agg(

@@ -1,15 +1,18 @@
 """Results worked out by hand from the published rules."""
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
 from civiltext.functions import text as tx
+from civiltext.functions.phrases import gap_span
+from civiltext.functions.sql import register
 from civiltext.operators.analytics import confidence_bucket
 from civiltext.operators.lexicon import multilingual_lexicon
 from civiltext.operators.throttle import throttle
 from civiltext.plans.category import score_category
 from civiltext.plans.config_rules import score_config
-from civiltext.plans.ensemble import parse_verdicts
+from civiltext.plans.ensemble import ensemble, model_verdicts, parse_verdicts
 from civiltext.plans.legacy import score_legacy
 from civiltext.plans.multilingual import score_multilingual, score_multilingual_joined
 
@@ -115,6 +118,40 @@ def test_histogram_buckets(spark):
     assert [r[0] for r in df.select(confidence_bucket("confidence")).collect()] == [40, 70, 100]
 
 
+@pytest.mark.parametrize(
+    "text, phrase, found",
+    [
+        ("nobody likes you", "nobody likes you", True), ("nobody really likes you", "nobody likes you", True),
+        ("nobody actually really likes you", "nobody likes you", True), ("you likes nobody", "nobody likes you", False),
+        ("teri maa ki gaali", "teri maa ki", True), ("teri behen ki maa", "teri maa ki", False),
+    ],
+)
+def test_phrase_sequence_pairs(spark, text, phrase, found):
+    span = table(spark, [text]).select(gap_span(F.col("text"), phrase.split())).first()[0]
+    assert (span is not None) is found
+
+
+def test_sql_functions(spark):
+    register(spark)
+    row = spark.sql(
+        "SELECT sev_rank('high') a, severity_band(0.85D) b, confidence_bucket(0.75D) c, deleet_config('5tup1d') d, "
+        "normalise_legacy('Y0U!!!') e, size(word_tokens('Go away, NOW')) f"
+    ).first()
+    assert tuple(row) == (3, "high", 70, "stupid", "youiii", 3)
+
+
+def test_model_verdicts_feed_the_ensemble(spark):
+    def predict(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: '{"is_bullying": true, "confidence": 0.9, "severity": "high"}' if "odd" in t else "{}")
+
+    df = table(spark, ["an odd text", "plain"])
+    verdicts = parse_verdicts(model_verdicts(df, predict))
+    rows = ensemble(score_legacy(df, details=False), verdicts).orderBy("msg_id").collect()
+    assert [(round(r.confidence, 6), r.is_bullying, r.severity, r.method) for r in rows] == [
+        (0.54, True, "high", "combined"), (0.0, False, "none", "combined")
+    ]
+
+
 def test_preview_and_html(spark):
     df = table(spark, ["x" * 51])
     assert df.select(tx.preview("text")).first()[0] == "x" * 47 + "..."
