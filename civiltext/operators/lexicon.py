@@ -10,12 +10,10 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civiltext.functions.severity import sev_rank
-from civiltext.functions.text import has, strip
+from civiltext.functions.text import strip
 from civiltext.operators.joins import lookup_join
 from civiltext.values import rules, terms
 

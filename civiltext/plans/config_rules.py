@@ -10,7 +10,7 @@ from civiltext.functions.phrases import gap_span
 from civiltext.functions.severity import sev_name, sev_rank, severity_of
 from civiltext.functions.staging import computed, members, pattern_hits
 from civiltext.functions.text import WORD, bounded_tokens, extract, has, is_blank, normalise, whitespace_words
-from civiltext.operators.lexicon import LanguageRules, inline_rules
+from civiltext.operators.lexicon import MAX_INLINE_TERMS, LanguageRules, inline_rules
 from civiltext.plans.multilingual import DETECTIONS, detection, total_confidence, vocabulary
 from civiltext.values import rules, terms
 
@@ -85,12 +85,13 @@ def config_detections(lang: str, r: LanguageRules, norm: Column) -> Column:
 
 
 def score_config(
-    df: DataFrame, lex: DataFrame | None = None, text: str = "text", indicators: dict | None = None
+    df: DataFrame, lex: DataFrame | None = None, text: str = "text", indicators: dict | None = None,
+    max_terms: int = MAX_INLINE_TERMS,
 ) -> DataFrame:
     """Adds languages, context, detections, n_detections, n_languages, confidence, is_bullying, severity."""
-    languages = packaged_config_rules() if lex is None else inline_rules(lex)
+    languages = packaged_config_rules() if lex is None else inline_rules(lex, max_terms)
     if languages is None:
-        raise ValueError("this profile keeps its term table inline; split larger tables by language")
+        raise ValueError(f"this profile keeps its terms inline and the table has over {max_terms}; raise max_terms")
     raw = F.coalesce(F.col(text), F.lit(""))
     base = indicator_languages(df, text, indicators).withColumn("_norm", normalise(raw, "config"))
     # length bounds apply before phrases are matched, so phrases see the bounded tokens only

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from civiltext.functions import features as feat
 from civiltext.functions import text as tx
-from civiltext.functions.phrases import adaptive_matches, keep_strongest
+from civiltext.functions.phrases import adaptive_matches
 from civiltext.functions.severity import sev_name, sev_rank
 from civiltext.operators import analytics as an
 from civiltext.operators import lexicon as lx
