@@ -2,23 +2,33 @@
 
 from __future__ import annotations
 
-import tempfile
+import atexit
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[tuple[SparkSession, str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a fresh local one only where none is configured (tests)."""
+    """The cluster's shared folder: ``spark.checkpoint.dir``, or a folder in the warehouse where none is configured.
+
+    Both are seen by the driver and by every executor. A setting that is there is never changed.
+    """
     path = spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = tempfile.mkdtemp(prefix="civiltext-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+    if path:
+        return path.rstrip("/")
+    warehouse = spark.conf.get("spark.sql.warehouse.dir", None)
+    if not warehouse:
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    return f"{warehouse.rstrip('/')}/_scratch"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new folder name below the shared folder; it is removed when the program ends, or by ``discard``."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.append((spark, path))
+    return path
 
 
 def materialise(df: DataFrame, name: str = "table") -> DataFrame:
@@ -26,3 +36,21 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a scratch folder that no later read needs."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    _MADE[:] = [(s, p) for s, p in _MADE if p != path]
+
+
+def discard_all() -> None:
+    """Remove what this program has written to the shared folder, as far as its sessions still run."""
+    for spark, path in list(_MADE):
+        if spark.sparkContext._jsc is not None:
+            discard(spark, path)
+
+
+atexit.register(discard_all)
