@@ -9,9 +9,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiltext.llm.bpe import decode, encode
+from civiltext.llm.decontam import contaminations
+from civiltext.llm.neardup import Linking, near_duplicates
+from civiltext.llm.pii import find_spans
+from civiltext.llm.quality_rank import score_quality
 from civiltext.llm.quality_rules import apply_rules
 from civiltext.llm.shards import assign_shards
 from civiltext.llm.token_counts import count_tokens
+from civiltext.llm.tokenfile import token_file_round_trip
+from civiltext.llm.warc import archive_round_trip
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_BPE = "byte_bpe_50k.json"
@@ -21,6 +27,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages as archives and back."""
+    return archive_round_trip(table(spark, sf_dir, "pages")).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark item that a document contains."""
+    return contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return find_spans(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole text as ids and back."""
     path = public_tokenizers.path(WORD_BPE)
@@ -31,6 +52,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents with 3-word shingle sets of a similarity of 0.85 or more."""
+    return near_duplicates(table(spark, sf_dir, "documents"), linking=Linking(words=3, percent=85))
+
+
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' ids as Huffman-coded files and back."""
+    read = token_file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+    return read.select("doc_id", "start", "n_tokens", F.crc32("ids").cast("long").alias("ids_crc32"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document."""
     return apply_rules(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -38,6 +70,11 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_quality_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of all documents."""
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards of near equal bytes."""
     return assign_shards(table(spark, sf_dir, "documents").select("doc_id", "text")).select(
@@ -51,10 +88,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_bpe": op4_bpe,
-    "op7_quality_rules": op7_quality_rules,
-    "op9_histogram_shards": op9_histogram_shards,
-    "op10_token_counts": op10_token_counts,
-}
+    q.__name__: q
+    for q in (
+        op1_warc, op2_decontamination, op3_pii, op4_bpe, op5_near_duplicates, op6_token_files, op7_quality_rules,
+        op8_quality_rank, op9_histogram_shards, op10_token_counts,
+    )
+}
 
 ORACLES: dict[str, str] = {}
