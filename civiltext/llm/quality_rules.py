@@ -9,6 +9,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from civiltext.functions.staging import computed
+
 # Frequent function words of the four languages.
 STOP_WORDS = [
     "the", "and", "of", "to", "in", "is", "that", "was", "for", "with", "on", "as", "at", "be", "this", "from", "are", "it", "by", "an",
@@ -69,6 +71,7 @@ def all_hold(rules: list[Rule]) -> Column:
 
 def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with the measures of every whole text; row-local, no exchange, built-in functions only.
+    A filter on the result stays above the measures, so they are computed once.
 
     A window of three words that is found again is seen by sorting the hashes of all windows of the
     text and comparing neighbours, so a long text costs n log n and not n squared.
@@ -96,7 +99,8 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     third = second.withColumns({pos: F.sort_array(F.transform(F.filter(win, near), lambda x: x["i"]))})
     gap = lambda p, k: F.least(F.lit(3), F.coalesce(F.get(pos, k + 1) - p, F.lit(3)))
-    return third.withColumns(
+    return computed(
+        third,
         {
             "n_words": count(w),
             "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
@@ -107,8 +111,9 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
             "n_stop_words": F.regexp_count(t, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(dict.fromkeys(STOP_WORDS))})(?![\p{{L}}\p{{N}}])")).cast("long"),
             "n_letter_words": F.regexp_count(t, F.lit(r"(?<![^ \x09-\x0D])[^ \x09-\x0D\p{L}]*+\p{L}")).cast("long"),
             "n_capital_words": F.regexp_count(t, F.lit(r"(?<![^ \x09-\x0D])[^ \x09-\x0D\p{L}]*+\p{Lu}{2}")).cast("long"),
-        }
-    ).drop(w, win, pos, lines)
+        },
+        drop=(w, win, pos, lines),
+    )
 
 
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_stop_words", "n_letter_words", "n_capital_words"]
