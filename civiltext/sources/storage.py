@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -39,8 +41,24 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
 
     The shuffle files of the write are given back as soon as the table is there.
     """
+    path = scratch_path(df.sparkSession, name)
+    _write(df, path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def temporary(df: DataFrame, name: str = "table") -> Iterator[DataFrame]:
+    """A written table that is removed again at the end of the block."""
+    path = scratch_path(df.sparkSession, name)
+    try:
+        _write(df, path)
+        yield df.sparkSession.read.schema(df.schema).parquet(path)
+    finally:
+        discard(df.sparkSession, path)
+
+
+def _write(df: DataFrame, path: str) -> None:
     spark = df.sparkSession
-    path = scratch_path(spark, name)
     before = spark.conf.get(_CLEANUP, None)
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -50,7 +68,6 @@ def materialise(df: DataFrame, name: str = "table") -> DataFrame:
             spark.conf.unset(_CLEANUP)
         else:
             spark.conf.set(_CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession, path: str) -> None:
