@@ -13,7 +13,7 @@ from civiltext.llm.decontam import contaminations
 from civiltext.llm.neardup import Linking, near_duplicates
 from civiltext.llm.pii import find_spans
 from civiltext.llm.quality_rank import score_quality
-from civiltext.llm.quality_rules import apply_rules
+from civiltext.llm.quality_rules import BASE_RULES, METHOD_RULES, STOP_WORDS, Rule, apply_rules
 from civiltext.llm.shards import assign_shards
 from civiltext.llm.token_counts import count_tokens
 from civiltext.llm.tokenfile import token_file_round_trip
@@ -95,4 +95,34 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+def rules_sql(rules: list[Rule]) -> str:
+    return " AND ".join(f"{r.times} * {r.measure} {r.holds} {r.limit} * {'1' if r.base == 'one' else r.base}" for r in rules)
+
+
+BLANK_SQL = "[\\x20\\x09-\\x0D]"
+
+ORACLES: dict[str, str] = {
+    "op1_warc": """
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY payload_digest) AS first FROM p),
+r AS (SELECT *, payload_bytes >= 100 AND page_id <> first AS again FROM f)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN again THEN first END AS refers_to FROM r""",
+    "op7_quality_rules": f"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT doc_id, t, list_filter(string_split_regex(t, '{BLANK_SQL}+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS l FROM t),
+win AS (SELECT doc_id, i, concat_ws(' ', w[i], w[i + 1], w[i + 2]) AS k FROM w, unnest(range(1, len(w) - 1)) u(i)),
+dup AS (SELECT doc_id, i FROM win QUALIFY count(*) OVER (PARTITION BY doc_id, k) > 1),
+gap AS (SELECT doc_id, least(3, coalesce(lead(i) OVER (PARTITION BY doc_id ORDER BY i) - i, 3)) AS g FROM dup),
+rep AS (SELECT doc_id, sum(g)::BIGINT AS n FROM gap GROUP BY doc_id),
+m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{BLANK_SQL}', '', 'g'))::BIGINT AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, len(l)::BIGINT AS n_lines,
+  (len(l) - len(list_distinct(l)))::BIGINT AS n_dup_lines, coalesce(rep.n, 0)::BIGINT AS n_repeat_words,
+  len(list_filter(regexp_extract_all(lower(t), '[\\p{{L}}\\p{{N}}]+'), lambda x: x IN ({', '.join(f"'{x}'" for x in dict.fromkeys(STOP_WORDS))}))) AS n_stop_words,
+  len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_letter_words,
+  len(list_filter(w, lambda x: regexp_matches(x, '^[^\\p{{L}}]*\\p{{Lu}}{{2}}'))) AS n_capital_words
+  FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, NOT ({rules_sql(BASE_RULES)}) AS base_failed,
+  {rules_sql(BASE_RULES + METHOD_RULES)} AS kept FROM m""",
+}
