@@ -38,6 +38,11 @@ def severity_band(confidence: Column) -> Column:
     return out
 
 
+def reduce_short(confidence: Column, short: Column) -> Column:
+    """The confidence of a text of one or two words, lowered where it is over one half."""
+    return F.when(short & (confidence > 0.5), confidence * 0.8).otherwise(confidence)
+
+
 def explain(flag: Column, severity: Column, confidence: Column, categories: Column, action: Column) -> Column:
     """Templated sentence for one result."""
     found = F.concat(

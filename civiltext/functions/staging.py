@@ -41,19 +41,60 @@ def guarded(text: Column, needles: list[str], value: Column, otherwise: Column)
 
 
 def required_literal(pattern: str) -> str | None:
-    """A text every match of ``pattern`` must contain, or ``None`` when none is certain."""
-    if re.search(r"\\[^bBsSwWdD.!?*+$^-]", pattern):
-        return None
-    rest, before = re.sub(r"\\.", "\0", pattern), None
-    while rest != before:  # groups may be optional or alternatives, so nothing inside them is certain
-        before, rest = rest, re.sub(r"\([^()]*\)", "\0", rest)
-    if re.search(r"[|\[\]()]", rest):
+    """A text every match of ``pattern`` must contain, or ``None`` when none is certain.
+
+    Only characters outside groups and classes count; one that a quantifier makes optional doesn't,
+    one that may be repeated ends its run. Flags that change how a pattern is read give ``None``.
+    """
+    if re.search(r"\\[^bBsSwWdD.!?*+$^-]", pattern) or re.search(r"\(\?[a-z]*[xdmsuU]", pattern):
         return None
-    runs = re.findall(r"[^\0.^$*+?{}\s]+(?![?*{])", rest)
-    best = max(runs, key=len, default="")
+    runs, run, at = [], "", 0
+    while at < len(pattern):
+        c, step, plain = pattern[at], 1, False
+        if c == "\\":
+            step = 2
+        elif c in "([":
+            step = _closing(pattern, at)
+            if not step:
+                return None
+        elif c in "|)":
+            return None
+        else:
+            plain = c not in ".^$" and not c.isspace()
+        at += step
+        quantifier = re.match(r"(?:[*+?]|\{(\d+)(?:,\d*)?\})[?+]?", pattern[at:])
+        at += quantifier.end() if quantifier else 0
+        if plain and not quantifier and c not in "{}*+?":
+            run += c
+            continue
+        optional = quantifier and (quantifier[0][0] in "*?" or quantifier[1] and int(quantifier[1]) == 0)
+        runs.append(run + c if plain and quantifier and not optional else run)
+        run = ""
+    best = max([*runs, run], key=len)
     return best.lower() if len(best) >= 2 else None
 
 
+def _closing(pattern: str, at: int) -> int:
+    """The length of the group or class that begins at ``at``; 0 where it doesn't end."""
+    depth, i, inside = 0, at, False
+    while i < len(pattern):
+        c = pattern[i]
+        if c == "\\":
+            i += 1
+        elif inside:
+            inside = c != "]" or pattern[i - 1] == "[" or pattern[i - 2 : i] == "[^"
+        elif c == "[":
+            inside = True
+        elif c == "(":
+            depth += 1
+        elif c == ")":
+            depth -= 1
+        i += 1
+        if not inside and not depth:
+            return i - at
+    return 0
+
+
 def pattern_hits(low: Column, pattern: str) -> Column:
     """All matches of a pattern in lower-cased text; texts without its required literal are skipped."""
     found = F.regexp_extract_all(low, F.lit("(?i)" + pattern), F.lit(0))

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from civiltext.functions import features as feat
 from civiltext.functions.phrases import adaptive_matches, keep_strongest
-from civiltext.functions.severity import explain, sev_name, sev_rank
+from civiltext.functions.severity import explain, reduce_short, sev_name, sev_rank
 from civiltext.functions.staging import computed, members, pattern_hits
 from civiltext.functions.text import category_tokens, is_blank, is_polite, whitespace_words
 from civiltext.operators.lexicon import LanguageRules
@@ -251,7 +251,9 @@ def score_category(
         {
             "is_bullying": flag,
             "severity": F.when(flag, sev_name(rank)).otherwise("none"),
-            "confidence": F.when((F.col("_n_ws") < 3) & (F.col("_conf") > 0.5), F.col("_conf") * 0.8).otherwise(F.col("_conf")),
+            "confidence": reduce_short(F.col("_conf"), F.col("_n_ws") < 3),
+            "confidence_unreduced": F.col("_conf"),
+            "is_short": F.col("_n_ws") < 3,
             "detection_method": F.when(blank, "empty_text").otherwise("enhanced_local"),
             "risk_indicators": F.array_compact(
                 F.concat(

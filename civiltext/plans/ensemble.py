@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiltext.functions.severity import sev_name, sev_rank
+from civiltext.functions.severity import reduce_short, sev_name, sev_rank
 
 VERDICT_SCHEMA = (
     "is_bullying boolean, confidence double, severity string, primary_category string, "
@@ -62,15 +62,22 @@ def ensemble(
     below the threshold. ``adaptive`` weights by whichever side is sure, and also
     needs the local result to be unflagged. The condition is part of the one outer
     join, so the local results are computed once and only narrow verdict columns travel.
+
+    Blank texts keep their local result; no verdict is consulted. Where the local profile lowers the
+    confidence of short texts, the weights and the threshold see the value before, and the combined
+    value is lowered instead.
     """
     narrow = verdicts.select(
         F.col(key).alias("_key"), "v_is_bullying", "v_confidence", "v_severity", "v_action"
     )
-    uncertain = F.col("confidence") < threshold
+    blank = F.col("detection_method") == "empty_text" if "detection_method" in local.columns else F.lit(False)
+    lc = F.col("confidence_unreduced" if "confidence_unreduced" in local.columns else "confidence")
+    short = F.col("is_short") if "is_short" in local.columns else F.lit(False)
+    uncertain = ~blank & (lc < threshold)
     if policy == "adaptive":
         uncertain = uncertain & ~F.col("is_bullying")
     both = local.join(narrow, (F.col(key) == F.col("_key")) & uncertain, "left")
-    lc, vc = F.col("confidence"), F.coalesce("v_confidence", F.lit(0.0))
+    vc = F.coalesce("v_confidence", F.lit(0.0))
     v_flag = F.coalesce("v_is_bullying", F.lit(False))
     rank = F.greatest(sev_rank(F.col("severity")), F.coalesce(sev_rank(F.col("v_severity")), F.lit(0)))
     if policy == "fixed":
@@ -87,10 +94,11 @@ def ensemble(
         flag = F.when(lc >= 0.5, F.col("is_bullying")).otherwise((mixed >= 0.5) | F.col("is_bullying") | v_flag)
         level = sev_name(rank)
         method = "enhanced_combined"
-    cols = [c for c in local.columns if c not in ("confidence", "is_bullying", "severity", "detection_method")]
+    inner = ("confidence", "is_bullying", "severity", "detection_method", "confidence_unreduced", "is_short")
+    cols = [c for c in local.columns if c not in inner]
     return both.select(
         *cols,
-        F.when(used, mixed).otherwise(lc).alias("confidence"),
+        F.when(used, reduce_short(mixed, short)).otherwise(F.col("confidence")).alias("confidence"),
         F.when(used, flag).otherwise(F.col("is_bullying")).alias("is_bullying"),
         F.when(used, level).otherwise(F.col("severity")).alias("severity"),
         F.when(used, F.lit(method)).otherwise("local").alias("method"),

@@ -303,7 +303,7 @@ def feature(cte: str, inner: str, groups: list[list[tuple[str, float, str]]], ex
     names = ", ".join(
         "CASE " + " ".join(f"WHEN {c} THEN {lit(n)}" for c, _, n in g) + " END" for g in groups
     )
-    CTES[cte] = f"SELECT msg_id, {score} AS score, array_to_string([{names}], ',') AS indicators{extra} FROM ({inner})"
+    CTES[cte] = f"SELECT msg_id, {score} AS score, coalesce(array_to_string([{names}], ','), '') AS indicators{extra} FROM ({inner})"
 
 
 def within(p: str) -> str:
@@ -493,7 +493,7 @@ SELECT *, CASE WHEN is_blank OR NOT (n > 0 OR ctx > 0.3 OR mi > 0.3) THEN 0.0
 FROM (SELECT *, least(base * CASE WHEN single AND n > 0 THEN 0.7::DOUBLE WHEN single THEN 0.3 ELSE 1.0 END, 1.0) AS b FROM c_catraw)"""
 CTES["c_catres"] = f"""
 SELECT msg_id, ctx, mi, n, names, indicators, threat, insult, exclusion, flag AS is_bullying,
-  CASE WHEN ws < 3 AND conf > 0.5 THEN conf * 0.8 ELSE conf END AS confidence,
+  CASE WHEN ws < 3 AND conf > 0.5 THEN conf * 0.8 ELSE conf END AS confidence, conf AS unreduced, ws < 3 AS short, is_blank,
   CASE WHEN NOT flag THEN 'none' WHEN n = 0 THEN 'none' WHEN threat > 0.5 THEN 'critical' ELSE {name('r')} END AS severity
 FROM (SELECT *, NOT is_blank AND (n > 0 OR (NOT single AND (conf >= 0.3 OR mi > 0.3))) AS flag FROM c_catcal)"""
 

@@ -726,8 +726,8 @@ def score_legacy_query(spark, d):
     CASE WHEN sure THEN ls WHEN flag THEN {name('greatest(lr, vr)')} ELSE 'none' END AS severity,
     CASE WHEN sure THEN 'local' ELSE 'combined' END AS method, CASE WHEN sure THEN 'warn' ELSE v_action END AS action
     FROM (SELECT *, mixed >= 0.7 OR lf OR v_is_bullying AS flag FROM (
-      SELECT l.msg_id, l.confidence AS lc, l.is_bullying AS lf, l.severity AS ls, l.confidence >= 0.7 AS sure, v.v_is_bullying, v.v_action,
-        l.confidence * 0.4 + v.v_confidence * 0.6 AS mixed, {rank('l.severity')} AS lr, {rank('v.v_severity')} AS vr FROM c_legres l JOIN c_verdict1 v USING (msg_id)))""",
+      SELECT l.msg_id, l.confidence AS lc, l.is_bullying AS lf, l.severity AS ls, l.confidence >= 0.7 OR {blank('m.text')} AS sure, v.v_is_bullying, v.v_action,
+        l.confidence * 0.4 + v.v_confidence * 0.6 AS mixed, {rank('l.severity')} AS lr, {rank('v.v_severity')} AS vr FROM c_legres l JOIN c_verdict1 v USING (msg_id) JOIN c_msgs m USING (msg_id)))""",
 )
 def ensemble_query(spark, d):
     local = score_legacy(msgs(spark, d), LegacyRules(intents=planted.INTENTS), details=False)
@@ -738,12 +738,13 @@ def ensemble_query(spark, d):
 
 @register(
     "ensemble_adaptive",
-    f"""SELECT msg_id, round(CASE WHEN used THEN mixed ELSE lc END, 6) AS confidence, CASE WHEN used THEN flag ELSE lf END AS is_bullying,
-    CASE WHEN used THEN {name('greatest(lr, vr)')} ELSE ls END AS severity FROM (
+    f"""SELECT msg_id, round(CASE WHEN NOT used THEN reduced WHEN short AND mixed > 0.5 THEN mixed * 0.8 ELSE mixed END, 6) AS confidence,
+    CASE WHEN used THEN flag ELSE lf END AS is_bullying, CASE WHEN used THEN {name('greatest(lr, vr)')} ELSE ls END AS severity FROM (
     SELECT *, CASE WHEN lc >= 0.5 THEN lf ELSE mixed >= 0.5 OR lf OR v_is_bullying END AS flag FROM (
-      SELECT l.msg_id, l.confidence AS lc, l.is_bullying AS lf, l.severity AS ls, v.v_is_bullying, NOT (l.confidence >= 0.7 OR l.is_bullying) AND v.v_confidence > 0 AS used,
-        l.confidence * (CASE WHEN l.confidence > 0.8 THEN 0.7 WHEN v.v_confidence > 0.8 THEN 0.3 ELSE 0.5 END)
-        + v.v_confidence * (CASE WHEN l.confidence > 0.8 THEN 0.3 WHEN v.v_confidence > 0.8 THEN 0.7 ELSE 0.5 END) AS mixed,
+      SELECT l.msg_id, l.unreduced AS lc, l.confidence AS reduced, l.short, l.is_bullying AS lf, l.severity AS ls, v.v_is_bullying,
+        NOT (l.is_blank OR l.unreduced >= 0.7 OR l.is_bullying) AND v.v_confidence > 0 AS used,
+        l.unreduced * (CASE WHEN l.unreduced > 0.8 THEN 0.7 WHEN v.v_confidence > 0.8 THEN 0.3 ELSE 0.5 END)
+        + v.v_confidence * (CASE WHEN l.unreduced > 0.8 THEN 0.3 WHEN v.v_confidence > 0.8 THEN 0.7 ELSE 0.5 END) AS mixed,
         {rank('l.severity')} AS lr, {rank('v.v_severity')} AS vr FROM c_catres l JOIN c_verdict v USING (msg_id)))""",
 )
 def ensemble_adaptive(spark, d):

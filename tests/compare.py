@@ -25,7 +25,7 @@ def connect(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 def canonical(value):
     if value is None:
-        return ""
+        return "\0null"  # not the empty text
     if isinstance(value, bool):
         return str(value)
     if hasattr(value, "as_tuple"):

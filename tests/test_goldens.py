@@ -157,3 +157,19 @@ def test_preview_and_html(spark):
     assert df.select(tx.preview("text")).first()[0] == "x" * 47 + "..."
     page = table(spark, ["<b>hi</b><SCRIPT a=1>var x = '<';</script> there "])
     assert page.select(tx.sanitise_html("text")).first()[0] == "hi there"
+
+
+def test_verdicts_on_blank_and_short_texts(spark):
+    """A blank text asks for no verdict; a short one is lowered after the verdict is mixed in."""
+    from civiltext.plans.category import score_category
+    from civiltext.plans.ensemble import ensemble, parse_verdicts
+
+    texts = [(1, "   "), (2, "die"), (3, "thank you")]
+    verdict = '{"is_bullying": true, "confidence": %s, "severity": "high", "primary_category": "threat", "recommended_action": "block"}'
+    raw = [(1, verdict % 0.85), (2, verdict % 1.0), (3, verdict % 0.85)]
+    local = score_category(spark.createDataFrame(texts, "msg_id long, text string"))
+    verdicts = parse_verdicts(spark.createDataFrame(raw, "msg_id long, raw string"))
+    for policy in ("fixed", "adaptive"):
+        got = {r.msg_id: r for r in ensemble(local, verdicts, policy=policy).collect()}
+        assert (got[1].confidence, got[1].is_bullying, got[1].severity, got[1].method) == (0.0, False, "none", "local")
+    assert abs(got[2].confidence - 0.56) < 1e-9 and abs(got[3].confidence - 0.476) < 1e-9

@@ -206,7 +206,41 @@ def test_confidence_is_bounded_and_grows_with_the_lexicon(spark):
 
 @pytest.mark.parametrize(
     "pattern, literal",
-    [(r"\bgo\s+die\b", "die"), (r"(foo)?bar+", "bar"), (r"ab?c", None), (r"a|bcd", None), (r"\x41bc", None), (r"[ab]cd", None)],
+    [(r"\bgo\s+die\b", "die"), (r"(foo)?bar+", "bar"), (r"ab?c", None), (r"a|bcd", None), (r"\x41bc", None), (r"[ab]cd", "cd")],
 )
 def test_required_literal(pattern, literal):
     assert required_literal(pattern) == literal
+
+
+def test_required_literal_is_in_every_match():
+    """Random patterns with quantifiers, groups, classes and alternatives: the guard never hides a match."""
+    import random
+    import re
+
+    from civiltext.functions.staging import required_literal
+
+    rng = random.Random(1)
+    atoms = ["a", "b", "lo", "ser", "c", " ", ".", "[ab]", "(?:ab|c)", "(ab)", r"\b", r"\s", r"\w", "[^a]"]
+    quantifiers = ["", "", "", "?", "*", "+", "{2}", "{0,2}", "{1,3}", "{2,}", "??", "+?", "{0}"]
+    certain = 0
+    for _ in range(3000):
+        pattern = "".join(a + (rng.choice(quantifiers) if a != r"\b" else "") for a in rng.choices(atoms, k=rng.randint(1, 6)))
+        if rng.random() < 0.05:
+            pattern += "|" + rng.choice(atoms)
+        literal = required_literal(pattern)
+        if literal is None:
+            continue
+        certain += 1
+        for _ in range(10):
+            text = "".join(rng.choices(["a", "b", "lo", "ser", "c", " ", "ab"], k=rng.randint(0, 8)))
+            assert all(literal in m.group() for m in re.finditer(pattern, text)), (pattern, literal, text)
+    assert certain > 500
+    assert required_literal(r"\blo{2,10}ser\b") == "ser" and required_literal("!{3,}") is None and required_literal("a{10}") is None
+
+
+def test_quantified_patterns_match(spark):
+    from civiltext.functions.staging import pattern_found
+
+    df = spark.createDataFrame([("you looooser",), ("loser",), ("stop!!!!",)], "t string")
+    got = df.select(pattern_found(df.t, r"\blo{2,10}ser\b").alias("a"), pattern_found(df.t, "!{3,}").alias("b")).collect()
+    assert [tuple(r) for r in got] == [(True, False), (False, False), (False, True)]
