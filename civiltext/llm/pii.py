@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiltext.llm.arrowtext import slices
+from civiltext.llm.sampling import smallest_hashes
 
 BASE_KINDS = ["email", "ip", "card", "phone"]
 KINDS = [*BASE_KINDS, "secret"]
@@ -356,7 +357,7 @@ def made_up(words: list[str]) -> list[tuple[str, list[tuple[str, int, int]]]]:
 def learn(docs: DataFrame, text: str = "text") -> Field:
     """A field fitted on a bounded sample of stretches and on made-up ones with words of the sample."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    chosen = docs.select(t.alias("t")).filter(F.col("t").rlike("[0-9@]")).distinct().orderBy(F.xxhash64("t")).limit(SAMPLE_DOCS)
+    chosen = smallest_hashes(docs.select(t.alias("t")).filter(F.col("t").rlike("[0-9@]")), [F.col("t")], SAMPLE_DOCS).distinct()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from civiltext.llm.arrowtext import slices
 from civiltext.llm.files import Written, reading
+from civiltext.llm.sampling import smallest_hashes
 from civiltext.sources.storage import materialise, scratch_path
 
 #: Fixed values of the formats.
@@ -143,8 +144,8 @@ def read_archive(stream) -> Iterator[bytes]:
 def fit_dictionary(pages: DataFrame, html: str = "html", page_id: str = "page_id") -> bytes:
     """A dictionary from a bounded sample: the pages with the smallest hashes of id and text."""
     text = F.coalesce(F.col(html).cast("string"), F.lit(""))
-    sample = pages.select(F.xxhash64(page_id, text).alias("h"), F.substring(text, 1, SAMPLE_CHARS).alias("t")).orderBy("h", "t").limit(SAMPLE_PAGES).collect()
-    parts = [r["t"].encode() for r in sample if r["t"]]
+    chosen = smallest_hashes(pages, [F.col(page_id), text], SAMPLE_PAGES).select(F.substring(text, 1, SAMPLE_CHARS).alias("t")).distinct()
+    parts = [r["t"].encode() for r in chosen.orderBy("t").limit(SAMPLE_PAGES).collect() if r["t"]]
     try:
         return zstandard.train_dictionary(DICTIONARY_BYTES, parts).as_bytes()
     except zstandard.ZstdError:  # too little to train on: a dictionary of plain content
