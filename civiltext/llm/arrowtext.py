@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are taken at once; one longer document is a slice of its own.
-SLICE_BYTES = 12 << 20
+SLICE_BYTES = 6 << 20
 
 #: ASCII white space: the space and 0x09 to 0x0D.
 SPACES = (9, 10, 11, 12, 13, 32)
@@ -34,9 +34,10 @@ def as_string(column: pa.Array) -> pa.Array:
 
 
 def buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(bytes, offsets) of a string column, offsets from 0."""
-    column = as_string(column)
-    wide = pa.types.is_large_string(column.type)
+    """(bytes, offsets) of a string or large binary column, offsets from 0."""
+    if not pa.types.is_large_binary(column.type):
+        column = as_string(column)
+    wide = pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type)
     n = len(column)
     _, off, data = column.buffers()
     if n == 0 or off is None:

@@ -11,42 +11,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiltext.llm.wordtable import coded_documents, cut_for, hot_pieces, load_tokenizer, missing_pieces, piece_table, resolve, unpack
+from civiltext.llm.arrowtext import buffers
+from civiltext.llm.wordtable import coded_documents, cut_for, encoded_postings, flat_ids, hot_ids, hot_values, id_type_of, load_tokenizer, missing_pieces, resolve, unpack
 
 
-def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text", table: DataFrame | None = None) -> DataFrame:
+def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, ids): the token ids of every whole text as little-endian unsigned 32-bit integers.
 
-    Words are split in Spark, each distinct word is encoded once (``table``, made here unless given),
-    and its ids are joined back by position: frequent words from the table's head, which every task
-    has, the others by a join on the word and one on the document. Equal to encoding whole texts.
+    Words are split in Spark and counted; each distinct word is encoded once and its ids are joined back
+    by position: frequent words from the table that every task has, the others, which stand in the
+    distinct table together with their places, through those places and one join on the document.
+    Equal to encoding whole texts.
 
     A null text is empty. Repeated rows give repeated results and null ids stay; an empty table gives
     an empty result; other columns are not read.
     """
     spark = docs.sparkSession
     cut = cut_for(tokenizer_path)
-    table = piece_table(docs, text, tokenizer_path) if table is None else table
-    common = hot_pieces(table)
-    hot = spark.sparkContext.broadcast(common.column("piece").combine_chunks().cast(pa.large_string()))
-    flat = common.column("ids").combine_chunks().cast(pa.large_binary())
-    lengths = np.array([len(x) // 4 for x in flat.to_pylist()], np.int64)
-    codes = spark.sparkContext.broadcast(
-        (np.frombuffer(b"".join(flat.to_pylist()), "<u4"), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64))
-    )
+    common = hot_ids(docs, text, tokenizer_path)
+    hot = spark.sparkContext.broadcast(hot_values(common))
+    codes = spark.sparkContext.broadcast(flat_ids(common, id_type_of(tokenizer_path)))
     id_type = docs.schema[id_col].dataType.simpleString()
-    rare = (
-        missing_pieces(docs, id_col, text, cut, hot).select("key", "k", "piece").join(table.select("piece", "ids"), "piece")
-        .groupBy("key").agg(F.sort_array(F.collect_set(F.struct("k", "ids"))).alias("own"))
-    )
+    rare = encoded_postings(missing_pieces(docs, id_col, text, cut, hot).select("key", "k", "piece"), tokenizer_path)
+    rare = rare.groupBy("key").agg(F.sort_array(F.collect_set(F.struct("k", "ids"))).alias("own"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_ids, hot_at = codes.value
+        ids_of, ids_at = codes.value
         for batch in batches:
             out = []
             own = batch.column("own").to_pylist()
             for n, coded, mine in zip(batch.column("n").to_pylist(), batch.column("coded").to_pylist(), own):
-                out.append(resolve(unpack(coded, n), hot_ids, hot_at, mine or []).tobytes())
+                out.append(resolve(unpack(coded, n), ids_of, ids_at, mine or []).astype("<u4").tobytes())
             yield pa.record_batch({"id": batch.column("id"), "ids": pa.array(out, pa.binary())})
 
     coded = coded_documents(docs, id_col, text, cut, hot)
@@ -54,22 +49,37 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: s
     return joined.mapInArrow(place, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
 
 
+#: Bytes of ids that are decoded at once; one longer document is decoded alone.
+DECODE_BYTES = 4 << 20
+
+
+def bounded(batch: pa.RecordBatch, ids: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch in parts of at most ``DECODE_BYTES`` of ids."""
+    ends = np.cumsum([len(x or b"") for x in batch.column(ids).to_pylist()])
+    start = 0
+    while start < batch.num_rows:
+        before = int(ends[start - 1]) if start else 0
+        end = max(start + 1, int(np.searchsorted(ends, before + DECODE_BYTES, "right")))
+        yield batch.slice(start, end - start)
+        start = end
+
+
 @functools.lru_cache(maxsize=4)
-def _pieces(path: str) -> tuple[pa.Array, str]:
-    """Each id's piece as text bytes, and what stands between two pieces of a decoded text."""
+def _pieces(path: str) -> tuple[pa.Array, bytes]:
+    """Each id's piece as text bytes with what stands between two pieces of a decoded text, and that itself."""
     tokenizer = load_tokenizer(path)
     with open(path, encoding="utf-8") as f:
         decoder = json.load(f)["decoder"]
     n = tokenizer.get_vocab_size(with_added_tokens=True)
     names = [tokenizer.id_to_token(i) or "" for i in range(n)]
     if decoder is None:
-        return pa.array([x.encode() for x in names], pa.large_binary()), " "
+        return pa.array([x.encode() + b" " for x in names], pa.large_binary()), b" "
     if decoder["type"] != "ByteLevel":
         raise ValueError(f"no id-to-piece table for a decoder of type {decoder['type']}")
     added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     back = byte_of_char()
     table = [x.encode() if x in added else bytes(back[c] for c in x) for x in names]
-    return pa.array(table, pa.large_binary()), ""
+    return pa.array(table, pa.large_binary()), b""
 
 
 def byte_of_char() -> dict[str, int]:
@@ -91,15 +101,17 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", out: str =
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table, between = _pieces(tokenizer_path)
         for batch in batches:
-            texts = []
-            for raw in batch.column(ids).to_pylist():
-                found = np.frombuffer(raw or b"", "<u4")
-                taken = table.take(pa.array(found[found < len(table)].astype(np.int64)))
-                if between:
-                    texts.append(between.join(x.decode("utf-8", "replace") for x in taken.to_pylist()))
-                else:
-                    texts.append(b"".join(taken.to_pylist()).decode("utf-8", "replace"))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out])
+            for part in bounded(batch, ids):
+                found = np.frombuffer(b"".join(x or b"" for x in part.column(ids).to_pylist()), "<u4")
+                sizes = np.array([len(x or b"") // 4 for x in part.column(ids).to_pylist()], np.int64)
+                known = found < len(table)
+                taken = table.take(pa.array(found[known].astype(np.int64)))
+                data, offsets = buffers(taken)
+                count = np.concatenate([[0], np.cumsum(known)])[np.concatenate([[0], np.cumsum(sizes)])]
+                raw, texts = data.tobytes(), []
+                for a, b in zip(offsets[count[:-1]].tolist(), offsets[count[1:]].tolist()):
+                    texts.append(raw[a : max(a, b - len(between))].decode("utf-8", "replace"))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != out)
     return encoded.drop(out).mapInArrow(join, f"{schema}, `{out}` string")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiltext.llm.arrowtext import buffers, slices
-from civiltext.llm.wordtable import cut_for, hot_pieces, look_up, missing_pieces, named, piece_table
+from civiltext.llm.wordtable import cut_for, hot_values, look_up, missing_pieces, named, piece_table, split_table
 
 TOKEN_LIMIT = 1024
 
@@ -29,8 +29,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     spark = docs.sparkSession
     cut = cut_for(tokenizer_path)
     table = piece_table(docs, text, tokenizer_path, lengths_only=True)
-    common = hot_pieces(table)
-    hot = spark.sparkContext.broadcast(common.column("piece").combine_chunks().cast(pa.large_string()))
+    common, others = split_table(table)
+    hot = spark.sparkContext.broadcast(hot_values(common))
     sizes = spark.sparkContext.broadcast(np.append(common.column("n_tokens").to_numpy(), 0))
     id_type = docs.schema[id_col].dataType.simpleString()
 
@@ -52,7 +52,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     counted = named(docs, id_col, text).mapInArrow(count, f"id {id_type}, n_bytes long, found long, key binary")
     rare = (
-        missing_pieces(docs, id_col, text, cut, hot).select("key", "k", "times", "piece").join(table, "piece")
+        missing_pieces(docs, id_col, text, cut, hot).select("key", "k", "times", "piece").join(others, "piece")
         .groupBy("key").agg(F.sum(F.col("times") * F.col("n_tokens")).alias("rest"), F.max("k").alias("last"), F.count(F.lit(1)).alias("rows"))
         # rows repeated as a whole share a key and each adds the same sum
         .select("key", (F.col("rest") / (F.col("rows") / (F.col("last") + 1))).cast("long").alias("rest"))

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiltext.llm.files import Written, reading
-from civiltext.llm.wordtable import coded_documents, cut_for, hot_pieces, missing_pieces, piece_table, resolve, unpack
+from civiltext.llm.wordtable import coded_documents, cut_for, flat_ids, hot_values, id_type_of, load_tokenizer, missing_pieces, piece_table, resolve, split_table, unpack
 from civiltext.sources.storage import materialise, scratch_path
 
 MAGIC = b"CTHF"
@@ -219,15 +219,15 @@ def read_file(stream, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
         raise ValueError("a token file with fewer ids than its index says")
 
 
-def token_counts(table: DataFrame, docs_n: int, end_id: int, vocabulary: int) -> np.ndarray:
+def token_counts(table: DataFrame, docs_n: int, end_id: int, vocabulary: int, kind: str) -> np.ndarray:
     """Occurrences of every id in all documents, from the counts of the distinct pieces."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary)
         for batch in batches:
             raw = batch.column("ids").to_pylist()
-            ids = np.frombuffer(b"".join(raw), "<u4")
-            times = np.repeat(batch.column("n").to_numpy(), [len(x) // 4 for x in raw])
+            ids = np.frombuffer(b"".join(raw), kind)
+            times = np.repeat(batch.column("n").to_numpy(), [len(x) // np.dtype(kind).itemsize for x in raw])
             total += np.bincount(ids, times, vocabulary)
         seen = np.flatnonzero(total)
         yield pa.record_batch({"token": pa.array(seen, pa.int32()), "n": pa.array(total[seen].astype(np.int64))})
@@ -247,23 +247,18 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     their texts' hashes. Code lengths come from the counts of all ids in all documents. Documents move
     once, as packed piece numbers, to their range of ids, together with the codes of their rare pieces.
     """
-    from civiltext.llm.wordtable import load_tokenizer
-
     spark = docs.sparkSession
     cut = cut_for(tokenizer_path)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     table = piece_table(plain, "text", tokenizer_path)
     vocabulary = max(load_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
-    counts = token_counts(table, docs.count(), end_id, vocabulary)
+    counts = token_counts(table, docs.count(), end_id, vocabulary, id_type_of(tokenizer_path))
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
 
-    common = hot_pieces(table)
-    hot = spark.sparkContext.broadcast(common.column("piece").combine_chunks().cast(pa.large_string()))
-    flat = [x for x in common.column("ids").to_pylist()]
-    shared = spark.sparkContext.broadcast(
-        (np.frombuffer(b"".join(flat), "<u4"), np.concatenate([[0], np.cumsum([len(x) // 4 for x in flat])]).astype(np.int64), lengths, codes)
-    )
+    common, others = split_table(table)
+    hot = spark.sparkContext.broadcast(hot_values(common))
+    shared = spark.sparkContext.broadcast((*flat_ids(common, id_type_of(tokenizer_path)), lengths, codes))
     ranges = max(2 * spark.sparkContext.defaultParallelism, int(counts.sum()) // RANGE_TOKENS)
     steps = [i / ranges for i in range(1, ranges)]
     bounds = sorted(set(plain.filter("id is not null").stat.approxQuantile("id", steps, 1 / (4 * ranges)))) if docs.count() else []
@@ -278,7 +273,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     none = F.lit(None)
     coded = coded_documents(plain, "id", "text", cut, hot).select("id", "key", F.lit(1).alias("tag"), none.cast("int").alias("k"), "n", F.col("coded").alias("data"))
     own = (
-        missing_pieces(plain, "id", "text", cut, hot).select("id", "key", "k", "piece").join(table.select("piece", "ids"), "piece")
+        missing_pieces(plain, "id", "text", cut, hot).select("id", "key", "k", "piece").join(others.select("piece", "ids"), "piece")
         .select("id", "key", F.lit(0).alias("tag"), "k", none.cast("int").alias("n"), F.col("ids").alias("data"))
     )
     schema = "id long, key binary, tag int, k int, n int, data binary, place int"
@@ -286,7 +281,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot_ids, hot_at, sizes, words = shared.value
-        end = np.array([end_id], "<u4")
+        end = np.array([end_id], hot_ids.dtype)
         out, seq, done, place = None, 0, [], 0
         key, mine = None, {}
         for batch in batches:

@@ -10,10 +10,10 @@ distinct piece handled once. Two ways to cut:
             byte. Characters of an added token are never cut at.
 
 How it scales. Counts of distinct pieces are summed per slice before the shuffle. The most
-frequent pieces, at most ``HOT_ROWS`` of at most ``HOT_BYTES`` bytes (so at most 64 MB), are
-given to every task; all others, which are rare by construction, are joined on the piece.
-The limit only decides which way a piece goes, never whether it is handled. Documents move
-once, as compressed piece numbers, and never as text.
+frequent pieces, at most ``HOT_ROWS`` and ``HOT_BYTES`` together, are given to every task; all
+others, which are rare by construction, are joined on the piece. The limit only decides which
+way a piece goes, never whether it is handled. Documents move once, as compressed piece
+numbers, and never as text.
 """
 
 from __future__ import annotations
@@ -28,14 +28,17 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from civiltext.llm.arrowtext import buffers, joined, slices, words
-from civiltext.sources.storage import materialise
+from civiltext.sources.storage import materialise, temporary
 
 HOT_ROWS = 1 << 20
-HOT_BYTES = 64
+HOT_BYTES = 32 << 20
+#: A longer piece is never in the table of the frequent ones, however frequent: it is joined over several tasks.
+HOT_LENGTH = 4096
+SALTS = 64
 #: Distinct pieces that are encoded in one call.
 ENCODE_ROWS = 20_000
 #: Steps of the count histogram for each doubling.
@@ -146,12 +149,17 @@ def load_tokenizer(path: str):
     return tokenizer
 
 
+def id_type_of(path: str) -> str:
+    """The numpy type that ids of a tokenizer are stored in inside tables."""
+    return "<u2" if load_tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+
+
 def encoded_pieces(table: DataFrame, path: str, lengths_only: bool = False) -> DataFrame:
-    """Each distinct piece encoded once: (piece, n, ids), ids as little-endian unsigned 32-bit integers,
+    """Each distinct piece encoded once: (piece, n, ids), ids as integers of ``id_type_of``,
     or (piece, n, n_tokens) where only lengths are asked for."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = load_tokenizer(path)
+        tokenizer, kind = load_tokenizer(path), id_type_of(path)
         for batch in batches:
             for at in range(0, batch.num_rows, ENCODE_ROWS):
                 part = batch.slice(at, ENCODE_ROWS)
@@ -159,7 +167,7 @@ def encoded_pieces(table: DataFrame, path: str, lengths_only: bool = False) -> D
                 if lengths_only:
                     last = pa.array([len(c) for c in coded], pa.int64())
                 else:
-                    last = pa.array([np.array(c.ids, "<u4").tobytes() for c in coded], pa.binary())
+                    last = pa.array([np.array(c.ids, kind).tobytes() for c in coded], pa.binary())
                 yield pa.record_batch({"piece": part.column("piece"), "n": part.column("n"), "out": last})
 
     kind = "n_tokens long" if lengths_only else "ids binary"
@@ -173,29 +181,72 @@ def piece_table(docs: DataFrame, text: str, path: str, lengths_only: bool = Fals
     return materialise(table, "pieces")
 
 
-def hot_pieces(table: DataFrame, rows: int | None = None) -> pa.Table:
-    """The most frequent short pieces: at most ``rows`` of at most ``HOT_BYTES`` bytes.
+def is_hot(counts: DataFrame) -> Column:
+    """Which rows of a table with (piece, n) are the most frequent pieces.
 
-    A histogram of the counts (its size is bounded by the logarithm of the largest) gives the
-    count from which on all pieces fit; only those are fetched.
+    A histogram of the counts (its size is bounded by the logarithm of the largest) gives the count
+    from which on all pieces of at most ``HOT_LENGTH`` bytes fit into ``HOT_ROWS`` and ``HOT_BYTES``.
     """
-    rows = HOT_ROWS if rows is None else rows
-    short = table.filter(F.octet_length("piece") <= HOT_BYTES)
     level = F.floor(F.log2(F.col("n").cast("double")) * LOG_STEPS)
-    steps = sorted(((r["level"], r["k"]) for r in short.groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k")).collect()), reverse=True)
-    total, least = 0, math.inf
-    for value, k in steps:
-        if total + k > rows:
+    short = F.octet_length("piece") <= HOT_LENGTH
+    grouped = counts.filter(short).groupBy(level.alias("level")).agg(F.count(F.lit(1)).alias("k"), F.sum(F.octet_length("piece")).alias("b"))
+    rows, size, least = 0, 0, None
+    for r in sorted(grouped.collect(), key=lambda r: -r["level"]):
+        rows, size = rows + r["k"], size + r["b"]
+        if rows > HOT_ROWS or size > HOT_BYTES:
             break
-        total, least = total + k, value
-    if not total:
-        return table.limit(0).toArrow()
-    return short.filter(level >= F.lit(int(least))).toArrow()
+        least = int(r["level"])
+    return short & (level >= least) if least is not None else F.lit(False)
+
+
+def fetched(hot: DataFrame) -> pa.Table:
+    """The frequent pieces on the driver (their number and bytes are bounded), the most frequent first."""
+    return hot.toArrow().sort_by([("n", "descending"), ("piece", "ascending")])
+
+
+def split_table(table: DataFrame) -> tuple[pa.Table, DataFrame]:
+    """(the most frequent pieces, the table of the rest)."""
+    hot = is_hot(table)
+    return fetched(table.filter(hot)), table.filter(~hot)
+
+
+def hot_ids(docs: DataFrame, text: str, path: str) -> pa.Table:
+    """The most frequent pieces of all texts with their ids; all pieces are counted, the rest isn't kept."""
+    with temporary(distinct_pieces(docs, text, cut_for(path)), "piece-counts") as counts:
+        return fetched(encoded_pieces(counts.filter(is_hot(counts)), path))
+
+
+def encoded_postings(missing: DataFrame, path: str) -> DataFrame:
+    """(key, k, ids) of (key, k, piece) rows: the distinct pieces with the places where they occur, each
+    encoded once, and the ids handed back to the places. A piece outside the hot table has few places;
+    very long ones, which may have many, are dealt out over ``SALTS`` rows."""
+    salt = F.when(F.octet_length("piece") > HOT_LENGTH, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0)
+    places = missing.groupBy("piece", salt.alias("salt")).agg(F.collect_set(F.struct("key", "k")).alias("places"))
+    place_type = places.schema["places"].dataType.simpleString()
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tokenizer, kind = load_tokenizer(path), id_type_of(path)
+        for batch in batches:
+            coded = tokenizer.encode_batch_fast(batch.column("piece").to_pylist(), add_special_tokens=False)
+            yield pa.record_batch({"ids": pa.array([np.array(c.ids, kind).tobytes() for c in coded], pa.binary()), "places": batch.column("places")})
+
+    coded = places.select("piece", "places").mapInArrow(encode, f"ids binary, places {place_type}")
+    return coded.select("ids", F.explode("places").alias("p")).select("p.key", "p.k", "ids")
 
 
 def row_key(ids: pa.Array, texts: list[bytes]) -> list[bytes]:
-    """16 bytes for each row, from its id and its whole text: the same in every attempt of a task."""
-    return [xxhash.xxh3_128_digest(repr(i).encode() + b"\0" + t) for i, t in zip(ids.to_pylist(), texts)]
+    """A short key for each row, from its id and its whole text: the same in every attempt of a task.
+
+    A whole number gives 8 bytes of its own and 4 of the text's hash (rows with equal ids are few);
+    any other id gives 16 bytes of a hash of both.
+    """
+    out = []
+    for i, t in zip(ids.to_pylist(), texts):
+        if isinstance(i, int) and -(2**63) <= i < 2**63:
+            out.append(i.to_bytes(8, "big", signed=True) + xxhash.xxh32_digest(t))
+        else:
+            out.append(xxhash.xxh3_128_digest(repr(i).encode() + b"\0" + t))
+    return out
 
 
 def row_bytes(data: np.ndarray, offsets: np.ndarray) -> list[bytes]:
@@ -219,24 +270,40 @@ def look_up(part: pa.RecordBatch, cut: Cut, hot: pa.Array) -> Looked:
     found, rows = cut(data, offsets)
     coded = found.dictionary_encode()
     own = coded.dictionary
-    at = pc.index_in(own, value_set=hot).fill_null(-1).to_numpy(zero_copy_only=False)
+    # the other way round: a hash table of the slice's few pieces, not of all hot ones
+    back = pc.index_in(hot, value_set=own)
+    known = pc.indices_nonzero(pc.is_valid(back)).to_numpy()
+    at = np.full(len(own), -1, np.int64)
+    at[back.drop_null().to_numpy()] = known
     codes = coded.indices.to_numpy(zero_copy_only=False)
     numbers = at[codes] if len(codes) else np.zeros(0, np.int64)
     return Looked(row_key(part.column("id"), row_bytes(data, offsets)), numbers, rows, own, codes)
 
 
-def missing_of(seen: Looked) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """For each document with pieces outside the hot table: its place, the distinct ones in order of their
-    first occurrence, for each occurrence its number in that list, and how often each occurs."""
-    misses = np.flatnonzero(seen.numbers < 0)
-    bounds = np.searchsorted(misses, seen.rows)
-    for i in np.flatnonzero(bounds[1:] > bounds[:-1]).tolist():
-        mine = seen.codes[misses[bounds[i] : bounds[i + 1]]]
-        distinct, first, back, counts = np.unique(mine, return_index=True, return_inverse=True, return_counts=True)
-        order = np.argsort(first)
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        yield i, distinct[order], rank[back], counts[order]
+@dataclass
+class Missing:
+    """The pieces of a slice that are not in the hot table, once for each document."""
+
+    row: np.ndarray  # the document
+    k: np.ndarray  # its number in the document, by first occurrence
+    piece: np.ndarray  # its place in the slice's own table
+    times: np.ndarray  # how often it occurs in the document
+    at: np.ndarray  # every occurrence: its place in the slice
+    k_at: np.ndarray  # and its number
+
+
+def missing_of(seen: Looked) -> Missing:
+    """Distinct missing pieces by document. The numbering depends on the document alone, not on its slice."""
+    at = np.flatnonzero(seen.numbers < 0)
+    doc = np.searchsorted(seen.rows, at, "right") - 1
+    width = len(seen.own) + 1
+    distinct, first, back, times = np.unique(doc * width + seen.codes[at], return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(first, kind="stable")  # by document, then by first occurrence
+    row = distinct[order] // width
+    k = np.arange(len(order)) - np.searchsorted(row, row)
+    number = np.empty(len(order), np.int64)
+    number[order] = k
+    return Missing(row, k, distinct[order] % width, times[order], at, number[back])
 
 
 def named(docs: DataFrame, id_col: str, text: str) -> DataFrame:
@@ -254,19 +321,13 @@ def missing_pieces(docs: DataFrame, id_col: str, text: str, cut: Cut, hot) -> Da
         values = hot.value
         for part in slices(batches, "text"):
             seen = look_up(part, cut, values)
-            who, key, k, times, take = [], [], [], [], []
-            for i, distinct, _, counts in missing_of(seen):
-                who += [i] * len(distinct)
-                key += [seen.keys[i]] * len(distinct)
-                k.append(np.arange(len(distinct)))
-                times.append(counts)
-                take.append(distinct)
-            if who:
+            found = missing_of(seen)
+            if len(found.row):
+                row = pa.array(found.row)
                 yield pa.record_batch(
                     {
-                        "id": part.column("id").take(pa.array(who)), "key": pa.array(key, pa.binary()),
-                        "k": pa.array(np.concatenate(k), pa.int32()), "times": pa.array(np.concatenate(times), pa.int64()),
-                        "piece": seen.own.take(pa.array(np.concatenate(take))).cast(pa.string()),
+                        "id": part.column("id").take(row), "key": pa.array(seen.keys, pa.binary()).take(row), "k": pa.array(found.k, pa.int32()),
+                        "times": pa.array(found.times, pa.int64()), "piece": seen.own.take(pa.array(found.piece)).cast(pa.string()),
                     }
                 )
 
@@ -294,10 +355,8 @@ def coded_documents(docs: DataFrame, id_col: str, text: str, cut: Cut, hot) -> D
         for part in slices(batches, "text"):
             seen = look_up(part, cut, values)
             numbers = seen.numbers.astype(np.int64)
-            misses = np.flatnonzero(numbers < 0)
-            bounds = np.searchsorted(misses, seen.rows)
-            for i, _, back, _ in missing_of(seen):
-                numbers[misses[bounds[i] : bounds[i + 1]]] = top + back
+            found = missing_of(seen)
+            numbers[found.at] = top + found.k_at
             spans = list(zip(seen.rows[:-1].tolist(), seen.rows[1:].tolist()))
             yield pa.record_batch(
                 {
@@ -310,6 +369,17 @@ def coded_documents(docs: DataFrame, id_col: str, text: str, cut: Cut, hot) -> D
     return named(docs, id_col, text).mapInArrow(code, f"id {id_type}, key binary, n int, coded binary")
 
 
+def flat_ids(found: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of the hot pieces behind one another, and each piece's range."""
+    parts = found.column("ids").to_pylist()
+    sizes = np.array([len(x) for x in parts], np.int64) // np.dtype(kind).itemsize
+    return np.frombuffer(b"".join(parts), kind), np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+
+
+def hot_values(found: pa.Table) -> pa.Array:
+    return found.column("piece").combine_chunks().cast(pa.large_string())
+
+
 def resolve(numbers: np.ndarray, hot_ids: np.ndarray, hot_at: np.ndarray, own: list[bytes]) -> np.ndarray:
     """Ids of one document from its piece numbers, the hot table's ids and those of its own pieces."""
     top = len(hot_at) - 1
@@ -319,7 +389,7 @@ def resolve(numbers: np.ndarray, hot_ids: np.ndarray, hot_at: np.ndarray, own: l
     start[common], size[common] = hot_at[near], hot_at[near + 1] - hot_at[near]
     pool = hot_ids
     if not common.all():
-        parts = [np.frombuffer(x, "<u4") for x in own]
+        parts = [np.frombuffer(x, pool.dtype) for x in own]
         at = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
         far = (numbers[~common] - top).astype(np.int64)
         start[~common], size[~common] = at[far], at[far + 1] - at[far]
@@ -327,13 +397,13 @@ def resolve(numbers: np.ndarray, hot_ids: np.ndarray, hot_at: np.ndarray, own: l
     ends = np.cumsum(size)
     out_n = int(ends[-1]) if len(ends) else 0
     if not out_n:
-        return np.zeros(0, "<u4")
+        return np.zeros(0, pool.dtype)
     ramp = np.arange(out_n) - np.repeat(ends - size, size)
     source = np.repeat(start, size) + ramp
     if common.all():
         return pool[source]
     from_own = np.repeat(~common, size)
-    out = np.empty(out_n, "<u4")
+    out = np.empty(out_n, pool.dtype)
     out[~from_own] = pool[source[~from_own]]
     out[from_own] = rest[source[from_own]]
     return out
