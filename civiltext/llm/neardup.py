@@ -10,7 +10,9 @@
    are the most frequent. Candidates with ``t`` collisions are confirmed on the full sets. That joins
    a group of copies with as many comparisons as it has members.
 4. Rest: lists that still hold several components are compared across them, block by block, with
-   a longer signature; pairs inside a component are never formed. Survivors are confirmed as before.
+   a longer signature, and where both sets are small with the sets' own low halves, so that what
+   leaves a block is hardly more than links. Pairs inside a component are never formed. Survivors
+   are confirmed as before.
 
 ``t`` follows from the similarity: two sets at the threshold reach it except with probability 1e-6.
 """
@@ -36,6 +38,8 @@ COORDINATES = 48
 WIDE = 256
 MISS = 1e-6
 BLOCK = 384
+#: Sets up to this size travel with the blocks as 32-bit halves; larger ones are known there by their signature alone.
+SMALL = 2048
 U64 = np.uint64
 
 
@@ -109,6 +113,11 @@ def wide_signature(shingles: np.ndarray) -> bytes:
     return (_mixed(minima(shingles, WIDE, 31)) & U64(0xFFFF)).astype("<u2").tobytes()
 
 
+def halves(shingles: np.ndarray) -> bytes:
+    """The low 32 bits of every shingle hash."""
+    return shingles.astype("<u4").tobytes()
+
+
 @dataclass(frozen=True)
 class Linking:
     words: int = 5
@@ -139,7 +148,7 @@ def _signed(docs: DataFrame, id_type: str, linking: Linking) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, linking: Linking) -> DataFrame:
-    """(cls, shingles, wide) of the wanted (cls, id): their texts are fetched by id and hashed again."""
+    """(cls, shingles, wide, small) of the wanted (cls, id): their texts are fetched by id and hashed again."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -148,11 +157,12 @@ def _sets(docs: DataFrame, wanted: DataFrame, linking: Linking) -> DataFrame:
                 {
                     "cls": pa.array([c for c, _ in out], pa.binary()), "shingles": pa.array([s.tobytes() for _, s in out], pa.binary()),
                     "wide": pa.array([wide_signature(s) for _, s in out], pa.binary()),
+                    "small": pa.array([halves(s) if len(s) <= SMALL else None for _, s in out], pa.binary()),
                 }
             )
 
     hit = docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id"))).select("w.cls", "d.text")
-    return hit.mapInArrow(make, "cls binary, shingles binary, wide binary").dropDuplicates(["cls"])
+    return hit.mapInArrow(make, "cls binary, shingles binary, wide binary, small binary").dropDuplicates(["cls"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, linking: Linking) -> DataFrame:
@@ -186,6 +196,8 @@ def _across(blocks: DataFrame, linking: Linking) -> DataFrame:
             for row in batch.to_pylist():
                 p, q = _Block(row["p"], -1), _Block(row["q"], -2) if row["q"] is not None else None
                 a, b = _candidates(p, q or p, q is None, row["key"], need)
+                near = np.array([_may_link(p, i, q or p, j, linking.percent) for i, j in zip(a.tolist(), b.tolist())], bool)
+                a, b = a[near], b[near]
                 if len(a):
                     yield pa.record_batch({"a": pa.array([p.cls[i] for i in a], pa.binary()), "b": pa.array([(q or p).cls[i] for i in b], pa.binary())})
 
@@ -197,12 +209,25 @@ class _Block:
         self.cls = [m["cls"] for m in members]
         self.roots = [m["root"] for m in members]
         self.wide = np.stack([np.frombuffer(m["wide"], "<u2") for m in members])
+        self.small = [frozenset(np.frombuffer(m["small"], "<u4").tolist()) if m["small"] is not None else None for m in members]
+        self.sizes = [len(m["small"] or b"") // 4 for m in members]
         width = max(len(m["prefix"]) for m in members)
         self.prefix = np.full((len(members), width), pad, np.int64)
         for i, m in enumerate(members):
             self.prefix[i, : len(m["prefix"])] = m["prefix"]
 
 
+def _may_link(p: _Block, i: int, q: _Block, j: int, percent: int) -> bool:
+    """False where the halves of two small sets exclude the similarity. Equal halves of different hashes only
+    add to what two sets share, and halves that coincide inside a set are added back, so no link is lost."""
+    x, y = p.small[i], q.small[j]
+    if x is None or y is None:
+        return True
+    m, n = p.sizes[i], q.sizes[j]
+    common = len(x & y) + (m - len(x)) + (n - len(y))
+    return 100 * common >= percent * (m + n - common)
+
+
 def _candidates(p: _Block, q: _Block, same: bool, key: int, need: int) -> tuple[np.ndarray, np.ndarray]:
     hits = np.zeros((len(p.cls), len(q.cls)), np.uint16)
     for c in range(p.wide.shape[1]):
@@ -258,11 +283,11 @@ def link_classes(docs: DataFrame, signed: DataFrame, linking: Linking) -> DataFr
     members = (
         placed.join(open_lists.join(parts, "key"), ["key", "root"])
         .select("key", "cls", "root", of_block.alias("block"), F.when(F.col("m") >= BLOCK, F.col("root")).alias("alone"))
-        .join(sets.select("cls", "wide"), "cls").join(active.select("cls", "prefix"), "cls")
+        .join(sets.select("cls", "wide", "small"), "cls").join(active.select("cls", "prefix"), "cls")
     )
     blocks = materialise(
         members.groupBy("key", "block").agg(
-            F.first("alone").alias("alone"), F.count_distinct("root").alias("roots"), F.collect_list(F.struct("cls", "root", "wide", "prefix")).alias("members")
+            F.first("alone").alias("alone"), F.count_distinct("root").alias("roots"), F.collect_list(F.struct("cls", "root", "wide", "small", "prefix")).alias("members")
         ),
         "neardup-blocks",
     )
