@@ -6,13 +6,15 @@ does not grow with its partition. A null text is an empty one.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 
 #: Bytes of text that are taken at once; one longer document is a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 #: ASCII white space: the space and 0x09 to 0x0D.
 SPACES = (9, 10, 11, 12, 13, 32)
@@ -85,3 +87,23 @@ def joined(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
 
 def binary(parts: list[bytes]) -> pa.Array:
     return pa.array(parts, pa.binary())
+
+
+def tidied(work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], *caches) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """The work of a task that gives its memory back at the end: worker processes stay for later tasks, and
+    what their allocators and the given caches keep would count against the executor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from work(batches)
+        finally:
+            for cache in caches:
+                cache.cache_clear()
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            try:
+                ctypes.CDLL(None).malloc_trim(0)
+            except (OSError, AttributeError):  # a C library without it
+                pass
+
+    return run

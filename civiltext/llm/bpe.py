@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiltext.llm.arrowtext import buffers
-from civiltext.llm.wordtable import coded_documents, cut_for, encoded_postings, flat_ids, hot_ids, hot_values, id_type_of, load_tokenizer, missing_pieces, resolve, unpack
+from civiltext.llm.arrowtext import buffers, tidied
+from civiltext.llm.wordtable import coded_documents, cut_for, encoded_postings, flat_ids, hot_ids, hot_values, id_type_of, missing_pieces, resolve, unpack, vocabulary_size
 
 
 def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: str = "text") -> DataFrame:
@@ -46,7 +46,7 @@ def encode(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text: s
 
     coded = coded_documents(docs, id_col, text, cut, hot)
     joined = coded.join(rare, "key", "left").select("id", "n", "coded", F.col("own.ids").alias("own"))
-    return joined.mapInArrow(place, f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
+    return joined.mapInArrow(tidied(place), f"id {id_type}, ids binary").withColumnRenamed("id", id_col)
 
 
 #: Bytes of ids that are decoded at once; one longer document is decoded alone.
@@ -67,18 +67,17 @@ def bounded(batch: pa.RecordBatch, ids: str) -> Iterator[pa.RecordBatch]:
 @functools.lru_cache(maxsize=4)
 def _pieces(path: str) -> tuple[pa.Array, bytes]:
     """Each id's piece as text bytes with what stands between two pieces of a decoded text, and that itself."""
-    tokenizer = load_tokenizer(path)
     with open(path, encoding="utf-8") as f:
-        decoder = json.load(f)["decoder"]
-    n = tokenizer.get_vocab_size(with_added_tokens=True)
-    names = [tokenizer.id_to_token(i) or "" for i in range(n)]
+        spec = json.load(f)
+    decoder, added = spec["decoder"], {t["id"]: t["content"] for t in spec["added_tokens"]}
+    by_id = {i: x for x, i in spec["model"]["vocab"].items()} | added
+    names = [by_id.get(i, "") for i in range(vocabulary_size(path))]
     if decoder is None:
         return pa.array([x.encode() + b" " for x in names], pa.large_binary()), b" "
     if decoder["type"] != "ByteLevel":
         raise ValueError(f"no id-to-piece table for a decoder of type {decoder['type']}")
-    added = {t.content for t in tokenizer.get_added_tokens_decoder().values()}
     back = byte_of_char()
-    table = [x.encode() if x in added else bytes(back[c] for c in x) for x in names]
+    table = [x.encode() if i in added else bytes(back[c] for c in x) for i, x in enumerate(names)]
     return pa.array(table, pa.large_binary()), b""
 
 
@@ -114,4 +113,4 @@ def decode(encoded: DataFrame, tokenizer_path: str, ids: str = "ids", out: str =
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], names=[*part.schema.names, out])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in encoded.schema if f.name != out)
-    return encoded.drop(out).mapInArrow(join, f"{schema}, `{out}` string")
+    return encoded.drop(out).mapInArrow(tidied(join), f"{schema}, `{out}` string")

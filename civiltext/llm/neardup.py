@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from civiltext.llm.arrowtext import LOWER, buffers, slices, words
+from civiltext.llm.arrowtext import LOWER, buffers, slices, tidied, words
 from civiltext.llm.components import components
 from civiltext.sources.storage import materialise
 
@@ -144,7 +144,7 @@ def _signed(docs: DataFrame, id_type: str, linking: Linking) -> DataFrame:
                 {"id": part.column("id"), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
             )
 
-    return docs.mapInArrow(sign, f"id {id_type}, n_shingles long, cls binary, keys array<long>")
+    return docs.mapInArrow(tidied(sign), f"id {id_type}, n_shingles long, cls binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, linking: Linking) -> DataFrame:
@@ -162,7 +162,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, linking: Linking) -> DataFrame:
             )
 
     hit = docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id"))).select("w.cls", "d.text")
-    return hit.mapInArrow(make, "cls binary, shingles binary, wide binary, small binary").dropDuplicates(["cls"])
+    return hit.mapInArrow(tidied(make), "cls binary, shingles binary, wide binary, small binary").dropDuplicates(["cls"])
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, linking: Linking) -> DataFrame:
@@ -184,7 +184,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, linking: Linking) -> DataFrame
 
     left = pairs.join(sets.select(F.col("cls").alias("b"), F.col("shingles").alias("y")), "b")
     both = left.join(sets.select(F.col("cls").alias("a"), F.col("shingles").alias("x")), "a")
-    return both.select("a", "b", "x", "y").mapInArrow(check, "a binary, b binary")
+    return both.select("a", "b", "x", "y").mapInArrow(tidied(check), "a binary, b binary")
 
 
 def _across(blocks: DataFrame, linking: Linking) -> DataFrame:
@@ -201,7 +201,7 @@ def _across(blocks: DataFrame, linking: Linking) -> DataFrame:
                 if len(a):
                     yield pa.record_batch({"a": pa.array([p.cls[i] for i in a], pa.binary()), "b": pa.array([(q or p).cls[i] for i in b], pa.binary())})
 
-    return blocks.mapInArrow(compare, "a binary, b binary")
+    return blocks.mapInArrow(tidied(compare), "a binary, b binary")
 
 
 class _Block:

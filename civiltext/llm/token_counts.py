@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiltext.llm.arrowtext import buffers, slices
+from civiltext.llm.arrowtext import buffers, slices, tidied
 from civiltext.llm.wordtable import cut_for, hot_values, look_up, missing_pieces, named, piece_table, split_table
 
 TOKEN_LIMIT = 1024
@@ -50,7 +50,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
                 }
             )
 
-    counted = named(docs, id_col, text).mapInArrow(count, f"id {id_type}, n_bytes long, found long, key binary")
+    counted = named(docs, id_col, text).mapInArrow(tidied(count), f"id {id_type}, n_bytes long, found long, key binary")
     rare = (
         missing_pieces(docs, id_col, text, cut, hot).select("key", "k", "times", "piece").join(others, "piece")
         .groupBy("key").agg(F.sum(F.col("times") * F.col("n_tokens")).alias("rest"), F.max("k").alias("last"), F.count(F.lit(1)).alias("rows"))

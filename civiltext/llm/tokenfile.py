@@ -22,8 +22,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from civiltext.llm.arrowtext import tidied
 from civiltext.llm.files import Written, reading
-from civiltext.llm.wordtable import coded_documents, cut_for, flat_ids, hot_values, id_type_of, load_tokenizer, missing_pieces, piece_table, resolve, split_table, unpack
+from civiltext.llm.wordtable import coded_documents, cut_for, flat_ids, hot_values, id_type_of, missing_pieces, piece_table, resolve, split_table, unpack, vocabulary_size
 from civiltext.sources.storage import materialise, scratch_path
 
 MAGIC = b"CTHF"
@@ -251,7 +252,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
     cut = cut_for(tokenizer_path)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     table = piece_table(plain, "text", tokenizer_path)
-    vocabulary = max(load_tokenizer(tokenizer_path).get_vocab_size(with_added_tokens=True), end_id + 1)
+    vocabulary = max(vocabulary_size(tokenizer_path), end_id + 1)
     counts = token_counts(table, docs.count(), end_id, vocabulary, id_type_of(tokenizer_path))
     lengths = code_lengths(counts)
     codes = canonical_codes(lengths)
@@ -304,7 +305,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         if done:
             yield pa.record_batch([pa.array(c) for c in zip(*done)], names=["place", "seq", "uri", "docs", "tokens", "bytes"])
 
-    listed = sorted_rows.mapInArrow(write, "place long, seq long, uri string, docs long, tokens long, bytes long")
+    listed = sorted_rows.mapInArrow(tidied(write), "place long, seq long, uri string, docs long, tokens long, bytes long")
     return materialise(listed, "token-files")
 
 
@@ -331,7 +332,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                 if out:
                     yield _rows(out)
 
-    return listed.mapInArrow(read, "id long, start long, n_tokens long, ids binary")
+    return listed.mapInArrow(tidied(read), "id long, start long, n_tokens long, ids binary")
 
 
 def _rows(out: list[tuple]) -> pa.RecordBatch:

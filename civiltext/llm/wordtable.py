@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiltext.llm.arrowtext import buffers, joined, slices, words
+from civiltext.llm.arrowtext import buffers, joined, slices, tidied, words
 from civiltext.sources.storage import materialise, temporary
 
 HOT_ROWS = 1 << 20
@@ -62,12 +62,6 @@ class Cut:
         return words(data, offsets) if self.kind == "words" else pieces(data, offsets, self.breaks)
 
 
-@functools.lru_cache(maxsize=4)
-def added_tokens(path: str) -> tuple[str, ...]:
-    with open(path, encoding="utf-8") as f:
-        return tuple(t["content"] for t in json.load(f)["added_tokens"])
-
-
 def cut_for(path: str) -> Cut:
     """``pieces`` for a byte-level tokenizer that keeps white space, else ``words``."""
     with open(path, encoding="utf-8") as f:
@@ -132,7 +126,7 @@ def distinct_pieces(docs: DataFrame, text: str, cut: Cut) -> DataFrame:
             counted = pc.value_counts(found)
             yield pa.record_batch({"piece": counted.field("values").cast(pa.string()), "n": counted.field("counts")})
 
-    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(count, "piece string, n long")
+    partial = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(tidied(count), "piece string, n long")
     return partial.groupBy("piece").agg(F.sum("n").alias("n"))
 
 
@@ -151,7 +145,15 @@ def load_tokenizer(path: str):
 
 def id_type_of(path: str) -> str:
     """The numpy type that ids of a tokenizer are stored in inside tables."""
-    return "<u2" if load_tokenizer(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4"
+    return "<u2" if vocabulary_size(path) <= 1 << 16 else "<u4"
+
+
+@functools.lru_cache(maxsize=4)
+def vocabulary_size(path: str) -> int:
+    """One more than the largest id, added tokens included."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    return 1 + max([*spec["model"]["vocab"].values(), *(t["id"] for t in spec["added_tokens"])], default=0)
 
 
 def encoded_pieces(table: DataFrame, path: str, lengths_only: bool = False) -> DataFrame:
@@ -172,7 +174,7 @@ def encoded_pieces(table: DataFrame, path: str, lengths_only: bool = False) -> D
 
     kind = "n_tokens long" if lengths_only else "ids binary"
     name = kind.split()[0]
-    return table.mapInArrow(encode, f"piece string, n long, out {kind.split()[1]}").withColumnRenamed("out", name)
+    return table.mapInArrow(tidied(encode, load_tokenizer), f"piece string, n long, out {kind.split()[1]}").withColumnRenamed("out", name)
 
 
 def piece_table(docs: DataFrame, text: str, path: str, lengths_only: bool = False) -> DataFrame:
@@ -230,7 +232,7 @@ def encoded_postings(missing: DataFrame, path: str) -> DataFrame:
             coded = tokenizer.encode_batch_fast(batch.column("piece").to_pylist(), add_special_tokens=False)
             yield pa.record_batch({"ids": pa.array([np.array(c.ids, kind).tobytes() for c in coded], pa.binary()), "places": batch.column("places")})
 
-    coded = places.select("piece", "places").mapInArrow(encode, f"ids binary, places {place_type}")
+    coded = places.select("piece", "places").mapInArrow(tidied(encode, load_tokenizer), f"ids binary, places {place_type}")
     return coded.select("ids", F.explode("places").alias("p")).select("p.key", "p.k", "ids")
 
 
@@ -331,7 +333,7 @@ def missing_pieces(docs: DataFrame, id_col: str, text: str, cut: Cut, hot) -> Da
                     }
                 )
 
-    return named(docs, id_col, text).mapInArrow(miss, f"id {id_type}, key binary, k int, times long, piece string")
+    return named(docs, id_col, text).mapInArrow(tidied(miss), f"id {id_type}, key binary, k int, times long, piece string")
 
 
 def pack(numbers: np.ndarray) -> bytes:
@@ -366,7 +368,7 @@ def coded_documents(docs: DataFrame, id_col: str, text: str, cut: Cut, hot) -> D
                 }
             )
 
-    return named(docs, id_col, text).mapInArrow(code, f"id {id_type}, key binary, n int, coded binary")
+    return named(docs, id_col, text).mapInArrow(tidied(code), f"id {id_type}, key binary, n int, coded binary")
 
 
 def flat_ids(found: pa.Table, kind: str) -> tuple[np.ndarray, np.ndarray]:
