@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from civiltext.functions.text import SPACE_CHARS
 from civiltext.values import rules
 
 
@@ -21,7 +22,7 @@ def definitions() -> dict[str, str]:
         "severity_band": f"(c DOUBLE) RETURNS STRING RETURN CASE {bands} ELSE 'none' END",
         "confidence_bucket": "(c DOUBLE) RETURNS INT RETURN CAST(floor(c * 10) * 10 AS INT)",
         "word_tokens": r"(t STRING) RETURNS ARRAY<STRING> RETURN regexp_extract_all(lower(t), r'[\p{L}\p{N}_]+', 0)",
-        "normalise_multilingual": f"(t STRING) RETURNS STRING RETURN {punct.format('trim(lower(t))')}",
+        "normalise_multilingual": f"(t STRING) RETURNS STRING RETURN {punct.format(f'btrim(lower(t), {_text(SPACE_CHARS)})')}",
     }
     for profile, (source, target) in rules.LEET.items():
         out[f"deleet_{profile}"] = f"(t STRING) RETURNS STRING RETURN translate(t, {_text(source)}, {_text(target)})"

@@ -38,7 +38,7 @@ def match_substrings(df: DataFrame, phrases: DataFrame, key: str = "msg_id", tex
     on the first three characters, so that only texts holding them are compared.
     """
     texts = df.select(key, F.lower(text).alias("_low"))
-    table = phrases.select("term", "lang", "severity")
+    table = phrases.select("term", "lang", "severity").filter("term <> ''")  # an empty phrase is found nowhere
     holds = F.contains(F.col("_low"), F.col("term"))
     if fits(table, 2_000):
         return texts.join(F.broadcast(table), holds).drop("_low")
@@ -154,6 +154,8 @@ def intent_keywords(
     table = indicators.select(
         F.col("indicator").alias("_group"), F.lower("keyword").alias("_kw"), (F.lit(0.1) * factor).alias("_w")
     )
+    # one rule for every size: a keyword counts once in its group, an empty one never
+    table = table.filter("_kw <> ''").groupBy("_group", "_kw").agg(F.max("_w").alias("_w"))
     if fits(table, 2_000):
         hit = F.array_contains(F.col(tokens_col), F.col("_kw")) | F.contains(F.col(text), F.col("_kw"))
         found = df.select(key, tokens_col, text).join(F.broadcast(table), hit).select(key, "_w")

@@ -105,10 +105,10 @@ SELECT d.doc_id, d.doc_id * 2 + 1, TIMESTAMP '2024-01-01 00:00:00' + to_seconds(
 FROM documents d JOIN c_snip s ON d.doc_id % 24 = s.k AND s.mode = 'bare'"""
 CTES["c_toklist"] = f"SELECT msg_id, regexp_extract_all(lower(text), '{W}') AS w FROM c_msgs"
 CTES["c_tok"] = "SELECT msg_id, unnest(w) AS token, generate_subscripts(w, 1) - 1 AS pos FROM c_toklist"
-CTES["c_toxic"] = "SELECT d.doc_id, d.lang, d.text FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1"
+CTES["c_minedoc"] = "SELECT doc_id, lang, text FROM documents"
 CTES["c_toxtok"] = f"""
 SELECT doc_id, CASE WHEN lang = 'en' THEN 'english' ELSE lang END AS lang, unnest(w) AS token, generate_subscripts(w, 1) AS pos
-FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '{W}') AS w FROM c_toxic)"""
+FROM (SELECT doc_id, lang, regexp_extract_all(lower(text), '{W}') AS w FROM c_minedoc)"""
 CTES["c_mined"] = """
 SELECT term, kind, lang, CASE WHEN count(*) >= 10 THEN 'high' WHEN count(*) >= 3 THEN 'medium' ELSE 'low' END AS severity
 FROM (

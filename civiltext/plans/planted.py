@@ -54,15 +54,14 @@ def planted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def toxic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = read_table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return docs.join(labels, "doc_id")
+def mined_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, whole: what terms are mined from."""
+    return read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
 
 
 def mined_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A term table mined from toxic documents: words and adjacent pairs, rated by document count."""
-    docs = toxic_documents(spark, sf_dir).withColumn("w", word_tokens("text"))
+    """A term table mined from all documents: words and adjacent pairs, rated by document count."""
+    docs = mined_documents(spark, sf_dir).withColumn("w", word_tokens("text"))
     lang = F.when(F.col("lang") == "en", "english").otherwise(F.col("lang"))
     pairs = F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(a, F.lit(" "), b))
     terms = docs.select(

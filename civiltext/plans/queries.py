@@ -182,11 +182,11 @@ def lexicon_merge(spark, d):
 
 def _raw_suggestions(spark, d):
     """Suggested terms as users type them: raw case, outer spaces, repeats."""
-    words = planted.toxic_documents(spark, d).select(F.explode(tx.whitespace_words("text")).alias("term"))
+    words = planted.mined_documents(spark, d).select(F.explode(tx.whitespace_words("text")).alias("term"))
     return words.select(F.concat(F.lit(" "), "term").alias("term"))
 
 
-CTES["c_sugg"] = f"SELECT unnest(regexp_extract_all(text, '{NSP}+')) AS term FROM c_toxic"
+CTES["c_sugg"] = f"SELECT unnest(regexp_extract_all(text, '{NSP}+')) AS term FROM c_minedoc"
 
 
 @register(

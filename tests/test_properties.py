@@ -244,3 +244,21 @@ def test_quantified_patterns_match(spark):
     df = spark.createDataFrame([("you looooser",), ("loser",), ("stop!!!!",)], "t string")
     got = df.select(pattern_found(df.t, r"\blo{2,10}ser\b").alias("a"), pattern_found(df.t, "!{3,}").alias("b")).collect()
     assert [tuple(r) for r in got] == [(True, False), (False, False), (False, True)]
+
+
+def test_sql_normaliser_strips_like_the_column(spark):
+    from civiltext.functions import sql
+
+    sql.register(spark)
+    df = spark.createDataFrame([("\n\tHi there!!! ",), ("  X  y\x1c",), (" plain ",), ("",), (None,)], "t string")
+    got = df.select(F.expr("normalise_multilingual(t)").alias("a"), tx.normalise("t", "multilingual").alias("b")).collect()
+    assert [r.a for r in got] == [r.b for r in got] and got[0].a == "hi there!"
+
+
+def test_repeated_and_empty_keywords_count_once_at_any_size(spark, monkeypatch):
+    df = spark.createDataFrame([(1, ["you", "are", "dumb"], "you are dumb"), (2, ["fine"], "fine")], "msg_id long, tokens array<string>, norm string")
+    table = spark.createDataFrame([("g", "dumb", "high"), ("g", "Dumb", "high"), ("g", "", "low"), ("h", "dumb", "low")], "indicator string, keyword string, severity string")
+    small = {r.msg_id: round(r.intent_score, 6) for r in mt.intent_keywords(df, table).collect()}
+    monkeypatch.setattr(mt, "fits", lambda *_: False)
+    large = {r.msg_id: round(r.intent_score, 6) for r in mt.intent_keywords(df, table).collect()}
+    assert small == large == {1: 0.2}
