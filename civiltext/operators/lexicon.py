@@ -13,7 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from civiltext.functions.text import strip
+from civiltext.functions.severity import sev_rank
+from civiltext.functions.text import strip, whitespace_words
 from civiltext.operators.joins import lookup_join
 from civiltext.values import rules, terms
 
@@ -92,24 +93,55 @@ def packaged_rules() -> dict[str, LanguageRules]:
     return out
 
 
+def _kept_term() -> Column:
+    """Words and phrases are matched in lower case, patterns and native phrases as they are written."""
+    return F.when(F.col("kind").isin("pattern", "native_phrase"), F.col("term")).otherwise(F.lower("term"))
+
+
 def inline_rules(lex: DataFrame, max_terms: int = MAX_INLINE_TERMS) -> dict[str, LanguageRules] | None:
-    """Inline rules of a term table, or ``None`` when it holds more than ``max_terms`` rows."""
-    rows = lex.select("term", "kind", "lang", "severity").limit(max_terms + 1).collect()
+    """Inline rules of a term table, or ``None`` when it holds more than ``max_terms`` rows.
+
+    The rules are those of ``rule_table``.
+    """
+    rank = F.coalesce(sev_rank(F.col("severity")), F.lit(0)).alias("rank")
+    blank = (F.size(whitespace_words("term")) == 0).alias("blank")
+    rows = lex.select("term", "kind", "lang", "severity", _kept_term().alias("kept"), F.lower("term").alias("low"), rank, blank)
+    rows = rows.limit(max_terms + 1).collect()
     if len(rows) > max_terms:
         return None
     out: dict[str, LanguageRules] = {}
-    for r in sorted(rows, key=lambda r: (r.lang, r.kind, r.term)):
+    rows = [r for r in rows if r.term is not None and not r.blank]
+    for r in sorted(rows, key=lambda r: (r.lang, r.kind, r.kept, r.term, r.rank, r.severity or "")):
         mine = out.setdefault(r.lang, LanguageRules())
         if r.kind == "native_phrase":
-            mine.natives[r.term] = r.severity
+            mine.natives[r.kept] = r.severity
             continue
-        if r.kind != "severity":
-            getattr(mine, r.kind + "s").append(r.term.lower() if r.kind != "pattern" else r.term)
+        if r.kind != "severity" and r.kept not in getattr(mine, r.kind + "s")[-1:]:
+            getattr(mine, r.kind + "s").append(r.kept)
         if r.severity is not None:
-            mine.severity[r.term.lower()] = r.severity
+            mine.severity[r.low] = r.severity
     return out
 
 
+def rule_table(lex: DataFrame) -> DataFrame:
+    """The rules of a term table of any size: (term, kind, lang, severity), each term of a kind and language once.
+
+    A term takes the last severity stated for its spelling in lower case, by kind (pattern, phrase,
+    severity, word), then by term, then the strongest. Native phrases are rated by their own rows
+    alone. Blank terms are found nowhere.
+    """
+    rank = F.coalesce(sev_rank(F.col("severity")), F.lit(0)).alias("rank")
+    rows = lex.filter(F.size(whitespace_words("term")) > 0).select(
+        _kept_term().alias("term"), "kind", "lang", "severity", F.lower("term").alias("low"), F.col("term").alias("as"), rank
+    )
+    stated = rows.filter("kind <> 'native_phrase' and severity is not null")
+    levels = stated.groupBy("lang", "low").agg(F.max(F.struct("kind", "as", "rank", "severity"))["severity"].alias("_level"))
+    own = F.max(F.struct("rank", "severity"))["severity"]
+    once = rows.filter("kind <> 'severity'").groupBy("lang", "kind", "term", "low").agg(own.alias("_own"))
+    level = F.when(F.col("kind") == "native_phrase", F.col("_own")).otherwise(F.col("_level"))
+    return once.join(levels, ["lang", "low"], "left").select("term", "kind", "lang", level.alias("severity"))
+
+
 # -- L1, L2: rules that classify a term ------------------------------------------------
 
 

@@ -12,7 +12,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civiltext.functions.phrases import keep_strongest
-from civiltext.functions.text import word_tokens
+from civiltext.functions.staging import pattern_hits
+from civiltext.functions.text import NOT_WORD, WORD, WORD_CHARS, count, whitespace_words, word_tokens
 from civiltext.operators.joins import fits, lookup_join
 
 PATTERN_CHUNK = 100
@@ -31,13 +32,15 @@ def match_words(toks: DataFrame, lex: DataFrame, langs: DataFrame | None = None,
     return found if langs is None else found.join(langs, [key, "lang"], "left_semi")
 
 
-def match_substrings(df: DataFrame, phrases: DataFrame, key: str = "msg_id", text: str = "text") -> DataFrame:
-    """Phrases contained in the lower-cased text, once per phrase (M2).
+def match_substrings(
+    df: DataFrame, phrases: DataFrame, key: str = "msg_id", text: str = "text", lower: bool = True
+) -> DataFrame:
+    """Phrases contained in the lower-cased (or the raw) text, once per phrase (M2).
 
     A small phrase table is broadcast into a nested loop. A larger one is joined
     on the first three characters, so that only texts holding them are compared.
     """
-    texts = df.select(key, F.lower(text).alias("_low"))
+    texts = df.select(key, (F.lower(text) if lower else F.col(text)).alias("_low"))
     table = phrases.select("term", "lang", "severity").filter("term <> ''")  # an empty phrase is found nowhere
     holds = F.contains(F.col("_low"), F.col("term"))
     if fits(table, 2_000):
@@ -93,6 +96,65 @@ def match_phrases(
     )
 
 
+def match_punctuated_phrases(
+    df: DataFrame, toks: DataFrame, phrases: DataFrame, max_gap: int = 2, key: str = "msg_id", text: str = "text"
+) -> DataFrame:
+    """Spans (key, lang, term, severity, span) of phrases whose words are not all plain tokens (M3).
+
+    Texts holding the longest token of a phrase are compared by the expression of ``gap_regex``.
+    """
+    table = phrases.withColumn("_parts", F.array_sort(word_tokens("term"), lambda a, b: F.length(b) - F.length(a)))
+    table = table.filter(F.size("_parts") > 0).select("term", "lang", "severity", F.get("_parts", F.lit(0)).alias("token"))
+    candidates = lookup_join(toks.select(key, "token").distinct(), table, ["token"]).drop("token")
+    texts = df.select(key, F.col(text).alias("_line"))
+
+    def whole(word: Column) -> Column:
+        literal = F.replace(word, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+        return F.concat(F.lit("\\Q"), literal, F.lit(f"\\E(?!{WORD_CHARS})"))
+
+    def later(word: Column) -> Column:
+        gap = F.concat(F.lit(f"{NOT_WORD}+(?:(?!"), whole(word), F.lit(f"){WORD_CHARS}++{NOT_WORD}+){{0,{max_gap}}}"))
+        return F.concat(gap, whole(word))
+
+    words = whitespace_words("term")
+    rest = F.transform(F.slice(words, F.lit(2), F.size(words)), later)
+    regex = F.concat(F.lit(f"(?<!{WORD_CHARS})"), whole(F.get(words, F.lit(0))), F.array_join(rest, ""))
+    found = candidates.join(texts, key).withColumn("_regex", regex)
+    span = F.nullif(count(F.expr("regexp_extract(_line, _regex, 0)"), WORD), F.lit(0))
+    return found.select(key, "lang", "term", "severity", span.alias("span")).filter("span is not null")
+
+
+def term_matches(
+    texts: DataFrame, table: DataFrame, key: str, words: str, line: str, pattern_text: str
+) -> DataFrame:
+    """Words, phrases and patterns of a ``rule_table`` as (key, kind, lang, value, place, severity, n, span).
+
+    ``words`` are the tokens of the text, ``line`` the lower-cased text that phrases are matched in.
+    """
+    toks = tokens(texts, key, token_column=F.col(words))
+    phrases = table.filter("kind = 'phrase'")
+    plain = F.regexp_like("term", F.lit(rf"^{WORD}(?:\s+{WORD})*$"))
+    none, cols = F.lit(None).cast("int"), [key, "kind", "lang", "value", "place", "severity", "n", "span"]
+    lexicon_words = table.filter("kind = 'word'").withColumn("boost", F.lit(None).cast("double"))
+    single = match_words(toks, lexicon_words, key=key).select(
+        "*", F.lit("word").alias("kind"), F.col("token").alias("value"), F.col("pos").alias("place"), none.alias("n"), none.alias("span")
+    )
+    gapped = match_phrases(toks, phrases.filter(plain), key=key).select(key, "lang", "term", "severity", "span")
+    odd = match_punctuated_phrases(texts, toks, phrases.filter(~plain), key=key, text=line)
+    phrased = gapped.unionByName(odd).select(
+        "*", F.lit("phrase").alias("kind"), F.col("term").alias("value"), F.lit(0).alias("place"),
+        F.size(whitespace_words("term")).alias("n"),
+    )
+    patterns = match_patterns(texts, table.filter("kind = 'pattern'"), key, pattern_text).select(
+        key, "lang", F.lit("pattern").alias("kind"), F.posexplode("values").alias("place", "value"),
+        F.lit("medium").alias("severity"), none.alias("n"), none.alias("span"), "pattern",
+    )
+    return (
+        single.select(*cols, F.lit("").alias("term")).unionByName(phrased.select(*cols, "term"))
+        .unionByName(patterns.select(*cols, F.col("pattern").alias("term")))
+    )
+
+
 def resolve_overlaps(matches: DataFrame, key: str = "msg_id", threshold: float = 0.5) -> DataFrame:
     """Keep the strongest matches per (message, phrase); drop those overlapping one by over half (M5).
 
@@ -111,7 +173,7 @@ def resolve_overlaps(matches: DataFrame, key: str = "msg_id", threshold: float =
 
 
 def match_patterns(df: DataFrame, patterns: DataFrame, key: str = "msg_id", text: str = "text") -> DataFrame:
-    """Occurrences per (message, pattern) with at least one hit (M6).
+    """Occurrences per (message, pattern) with at least one hit, and the matched values in order (M6).
 
     Patterns become literal expressions, compiled once per task, in chunks of
     ``PATTERN_CHUNK``; each chunk is one scan without a shuffle.
@@ -125,12 +187,13 @@ def match_patterns(df: DataFrame, patterns: DataFrame, key: str = "msg_id", text
             *[
                 F.struct(
                     F.lit(r.term).alias("pattern"), F.lit(r.lang).alias("lang"),
-                    F.regexp_count(low, F.lit("(?i)" + r.term)).alias("hits"),
+                    pattern_hits(low, r.term).alias("values"),
                 )
                 for r in rows
             ]
         )
-        return df.select(key, F.inline(F.filter(hits, lambda h: h["hits"] > 0)))
+        found = df.select(key, F.inline(F.filter(hits, lambda h: F.size(h["values"]) > 0)))
+        return found.withColumn("hits", F.size("values"))
 
     for row in patterns.select("term", "lang").orderBy("lang", "term").toLocalIterator():
         chunk.append(row)
@@ -139,7 +202,7 @@ def match_patterns(df: DataFrame, patterns: DataFrame, key: str = "msg_id", text
             out, chunk = (part if out is None else out.unionByName(part)), []
     if chunk or out is None:
         part = scan(chunk) if chunk else df.select(
-            key, F.lit("").alias("pattern"), F.lit("").alias("lang"), F.lit(0).alias("hits")
+            key, F.lit("").alias("pattern"), F.lit("").alias("lang"), F.array().cast("array<string>").alias("values"), F.lit(0).alias("hits")
         ).filter(F.lit(False))
         out = part if out is None else out.unionByName(part)
     return out

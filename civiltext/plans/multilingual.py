@@ -14,7 +14,9 @@ from civiltext.functions.severity import sev_name, sev_rank, severity_of
 from civiltext.functions.staging import any_member, computed, members, pattern_found, pattern_hits
 from civiltext.functions.text import has, is_blank, word_tokens
 from civiltext.operators import matching
-from civiltext.operators.lexicon import LanguageRules, inline_rules, packaged_rules
+from civiltext.operators.lexicon import LanguageRules, inline_rules, packaged_rules, rule_table
+from civiltext.sources.storage import materialise
+from civiltext.values import rules
 
 DETECTIONS = "array<struct<type:string,value:string,lang:string,severity:string,confidence:double>>"
 NATIVE_SCRIPT = {"hindi": r"[\x{0900}-\x{097F}]"}
@@ -150,7 +152,13 @@ def score_multilingual(
     languages = packaged_rules() if lex is None else inline_rules(lex)
     if languages is None:
         return score_multilingual_joined(df, lex, threshold, gate, text, key)
-    df = add_detections(df, languages, gate, text)
+    if lex is not None:  # these are present by themselves, whatever the table holds
+        languages = {l: languages.get(l, LanguageRules()) for l in sorted({*languages, "english", *NATIVE_SCRIPT})}
+    return summed(add_detections(df, languages, gate, text), threshold, text)
+
+
+def summed(df: DataFrame, threshold: float, text: str) -> DataFrame:
+    """Adds the scores of the detections."""
     ranks = F.array_max(F.transform("detections", lambda d: sev_rank(d["severity"])))
     df = computed(
         df,
@@ -163,80 +171,74 @@ def score_multilingual(
     return combine(df, threshold, text).drop("_total", "_rank")
 
 
-def all_detections(df: DataFrame, lex: DataFrame, text: str = "text", key: str = "msg_id") -> DataFrame:
-    """Detections as a table from the four matching joins (native, words, phrases, patterns)."""
-    toks = matching.tokens(df, key, text)
-    phrases = lex.filter("kind = 'phrase'").withColumn("term", F.lower("term"))
-    natives = lex.filter("kind = 'native_phrase'")
-    level = F.coalesce("severity", F.lit("medium"))
-    n_words = F.size(F.split("term", r"\s+"))
-    cols = [key, "type", "value", "lang", "severity", "confidence"]
-    words = matching.match_words(toks, lex, key=key).select(
-        key, F.lit("single_word").alias("type"), F.col("token").alias("value"), "lang",
-        level.alias("severity"), word_confidence(level).alias("confidence"),
+def _matches(df: DataFrame, table: DataFrame, text: str, key: str) -> DataFrame:
+    """Detections as rows with ``_order``, their place in the array of the inline plan."""
+    texts = with_tokens(df.select(key, text), text)
+    found = matching.term_matches(texts, table, key, "_tokens", "_low", "_low")
+    known = F.when(F.col("severity").isin(rules.SEVERITIES), F.col("severity")).otherwise("medium")
+    level = F.when(F.col("kind") == "word", known).otherwise(F.coalesce("severity", F.lit("medium")))
+    found = found.withColumn("severity", level)
+    confidence = (
+        F.when(F.col("kind") == "word", word_confidence(F.col("severity")))
+        .when(F.col("kind") == "phrase", phrase_confidence(F.col("n"), F.col("span"))).otherwise(0.4)
     )
-    gapped = matching.match_phrases(toks, phrases, key=key).select(
-        key, F.lit("phrase").alias("type"), F.col("term").alias("value"), "lang",
-        level.alias("severity"), phrase_confidence(n_words, F.col("span")).alias("confidence"),
-    )
-    native = matching.match_substrings(df, natives, key, text).select(
+    kind = F.when(F.col("kind") == "word", "single_word").otherwise(F.col("kind"))
+    number = F.when(F.col("kind") == "word", 1).when(F.col("kind") == "phrase", 2).otherwise(3)
+    cols = [key, "type", "value", "lang", "severity", "confidence", "_order"]
+    found = found.select(
+        "*", kind.alias("type"), confidence.alias("confidence"), F.struct("lang", number.alias("kind"), "term", "place").alias("_order")
+    ).select(cols)
+    native = matching.match_substrings(texts, table.filter("kind = 'native_phrase'"), key, text, lower=False).select(
         key, F.lit("native_phrase").alias("type"), F.col("term").alias("value"), "lang", "severity",
         F.when(F.col("severity") == "medium", 0.4).otherwise(0.5).alias("confidence"),
+        F.struct("lang", F.lit(0).alias("kind"), "term", F.lit(0).alias("place")).alias("_order"),
     )
-    patterns = matching.match_patterns(df, lex.filter("kind = 'pattern'"), key, text).select(
-        key, F.lit("pattern").alias("type"), F.col("pattern").alias("value"), "lang",
-        F.lit("medium").alias("severity"), F.lit(0.4).alias("confidence"),
-        F.explode(F.sequence(F.lit(1), "hits")).alias("_i"),
-    ).select(cols)
-    return words.select(cols).unionByName(gapped.select(cols)).unionByName(native.select(cols)).unionByName(patterns)
-
-
-def present_languages(df: DataFrame, lex: DataFrame, text: str = "text", key: str = "msg_id") -> DataFrame:
-    """(message, language) pairs of ``detect_languages`` from joins."""
-    toks = matching.tokens(df, key, text)
-    phrases = lex.filter("kind = 'phrase'").withColumn("term", F.lower("term"))
-    parts = [
-        matching.match_words(toks, lex, key=key).select(key, "lang"),
-        matching.match_substrings(df, phrases, key, text).select(key, "lang"),
-        matching.match_patterns(df, lex.filter("kind = 'pattern'"), key, text).select(key, "lang"),
-        df.select(key, F.lit("english").alias("lang")),
-    ]
-    for lang, script in NATIVE_SCRIPT.items():
-        parts.append(df.filter(has(F.col(text), script)).select(key, F.lit(lang).alias("lang")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    return found.unionByName(native)
+
+
+def all_detections(df: DataFrame, lex: DataFrame, text: str = "text", key: str = "msg_id") -> DataFrame:
+    """Detections as a table from the four matching joins (native, words, phrases, patterns)."""
+    return _matches(df, materialise(rule_table(lex), "rules"), text, key).drop("_order")
+
+
+def text_key(key: str, text: str) -> Column:
+    """One value for each different (key, text), so that repeated or null keys never mix their rows."""
+    return F.md5(F.to_json(F.struct(F.col(key).alias("k"), F.col(text).alias("t"))))
 
 
 def score_multilingual_joined(
     df: DataFrame, lex: DataFrame, threshold: float = 0.3, gate: bool = True, text: str = "text", key: str = "msg_id"
 ) -> DataFrame:
     """The same scores from joins, for lexicons of any size; one aggregate per message."""
-    found = all_detections(df.filter(~is_blank(text)), lex, text, key)
-    langs = present_languages(df.filter(~is_blank(text)), lex, text, key)
-    if gate:
-        found = found.join(langs, [key, "lang"], "left_semi")
-    per_message = found.groupBy(key).agg(
-        F.sum("confidence").alias("_total"),
-        F.count("*").cast("int").alias("n_detections"),
-        F.max(sev_rank(F.col("severity"))).alias("_rank"),
-        # one message's own detections: bounded by its length
-        F.collect_list(F.struct("type", "value", "lang", "severity", "confidence")).alias("detections"),
+    table = materialise(rule_table(lex), "rules")
+    keyed = df.withColumn("_id", text_key(key, text))
+    texts = keyed.filter(~is_blank(text)).select("_id", text).dropDuplicates(["_id"])
+    found = _matches(texts, table, text, "_id").select(
+        "_id", F.when(F.col("type").isin("single_word", "pattern"), F.col("lang")).alias("_shows"),
+        F.struct("_order", F.struct("type", "value", "lang", "severity", "confidence").alias("d")).alias("_d"),
+    )
+    # the exact text of a phrase shows its language, a gapped one does not
+    exact = matching.match_substrings(texts, table.filter("kind = 'phrase'"), "_id", text)
+    exact = exact.select("_id", F.col("lang").alias("_shows"), F.lit(None).cast(found.schema["_d"].dataType).alias("_d"))
+    # one message's own detections: bounded by its length
+    per_text = found.unionByName(exact).groupBy("_id").agg(
+        F.collect_set("_shows").alias("_shows"), F.array_sort(F.collect_list("_d")).alias("_found")
     )
-    names = langs.groupBy(key).agg(F.array_sort(F.collect_set("lang")).alias("languages"))
-    out = df.withColumn("word_count", F.size(word_tokens(F.coalesce(text, F.lit("")))))
-    out = out.join(names, key, "left").join(per_message, key, "left")
-    out = out.withColumns(
+    raw = F.coalesce(text, F.lit(""))
+    always = F.array_compact(F.array(F.lit("english"), *[F.when(has(raw, s), l) for l, s in NATIVE_SCRIPT.items()]))
+    shown = F.array_sort(F.array_union(always, F.coalesce("_shows", F.array().cast("array<string>"))))
+    out = keyed.join(per_text, "_id", "left")
+    out = computed(
+        out,
         {
-            "languages": F.coalesce("languages", F.array().cast("array<string>")),
-            "detections": F.coalesce("detections", F.array().cast(DETECTIONS)),
-            "_total": F.coalesce("_total", F.lit(0.0)),
-            "n_detections": F.coalesce("n_detections", F.lit(0)),
-            "_rank": F.coalesce("_rank", F.lit(0)),
-        }
+            "word_count": F.size(word_tokens(raw)),
+            "languages": F.when(is_blank(text), F.array().cast("array<string>")).otherwise(shown),
+            "_found": F.coalesce(F.transform("_found", lambda f: f["d"]).cast(DETECTIONS), F.array().cast(DETECTIONS)),
+        },
+        drop=("_id", "_shows"),
     )
-    return combine(out, threshold, text).drop("_total", "_rank")
+    open_to = F.filter("_found", lambda d: F.array_contains("languages", d["lang"])) if gate else F.col("_found")
+    return summed(out.withColumn("detections", open_to).drop("_found"), threshold, text)
 
 
 def language_categories(scored: DataFrame, key: str = "msg_id") -> DataFrame:
