@@ -31,7 +31,8 @@ def throttle(
     """Emitted events as (key, ts, event_id).
 
     ``carry`` holds the last emission per key (key, ts) of an earlier run; those
-    count as emitted but are not returned.
+    count as emitted but are not returned. No event may lie before the carried
+    emission of its key: ``drain_throttle`` holds events back to see to that.
     """
     ttl = ttl_s * 1_000_000
     cell = max(ttl // CELLS_PER_TTL, 1)

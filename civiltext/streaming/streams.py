@@ -6,6 +6,8 @@ start queries. Sinks and checkpoints live in the cluster's shared folder.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -111,30 +113,78 @@ def run_complete(stream: DataFrame, name: str = "stream") -> DataFrame:
     return spark.read.schema(stream.schema).parquet(latest["path"])
 
 
-def run_throttle(
-    stream: DataFrame, key: str, ts: str = "ts", ttl_s: int = rules.CACHE_TTL_SECONDS, event_id: str = "event_id"
-) -> DataFrame:
-    """Throttle a stream: each batch starts from the last emission per key of the one before (ST3).
+def drain_throttle(
+    stream: DataFrame, key: str, ts: str = "ts", ttl_s: int = rules.CACHE_TTL_SECONDS, event_id: str = "event_id",
+    lateness: str = WATERMARK,
+) -> tuple[DataFrame, DataFrame]:
+    """Throttle a stream and drain it: (emitted events, late events), both as (key, ts, event_id) (ST3).
 
-    State is a table per epoch in the shared folder, so a restarted batch reads
-    the same state and overwrites its own output.
+    Events are held until the watermark, the latest time of all batches less ``lateness``, has passed
+    them, and then throttled from the last emission per key on; the rest follows at the end. The
+    emissions are therefore those of the batch throttle over all events that are not late. Late is an
+    event older than the watermark that the batches before its own have set: its neighbours are
+    already out, so it takes no part and is returned in the second table.
+
+    State is a set of tables per epoch in the shared folder, so a restarted batch reads the same
+    state and overwrites its own output.
     """
     spark = stream.sparkSession
     base = scratch_path(spark, "throttle-stream")
-    def step(batch: DataFrame, epoch: int) -> None:
-        carry = spark.read.parquet(f"{base}/state/{epoch - 1}") if epoch else None
-        emitted = throttle(batch, key, ts, ttl_s, event_id, carry)
-        emitted.write.mode("overwrite").parquet(f"{base}/out/epoch={epoch}")
-        mine = spark.read.parquet(f"{base}/out/epoch={epoch}").select(key, ts)
+    slim = lambda df: df.select(key, F.col(ts).cast("timestamp").alias(ts), event_id)
+    schema = slim(stream).schema
+    last_schema = schema[:2]
+    t = F.unix_micros(ts)
+    done = {"epoch": None}
+
+    def read(name: str, epoch: int) -> DataFrame:
+        return spark.read.schema(last_schema if name == "last" else schema).parquet(f"{base}/{name}/epoch={epoch}")
+
+    def write(df: DataFrame, name: str, epoch: int) -> None:
+        df.write.mode("overwrite").parquet(f"{base}/{name}/epoch={epoch}")
+
+    def emit(ready: DataFrame, epoch: int) -> None:
+        carry = read("last", epoch - 1) if epoch else None
+        write(throttle(ready, key, ts, ttl_s, event_id, carry), "out", epoch)
+        mine = read("out", epoch).select(key, ts)
         known = mine if carry is None else carry.unionByName(mine)
-        known.groupBy(key).agg(F.max(ts).alias(ts)).write.mode("overwrite").parquet(f"{base}/state/{epoch}")
+        write(known.groupBy(key).agg(F.max(ts).alias(ts)), "last", epoch)
+
+    def step(batch: DataFrame, epoch: int) -> None:
+        write(slim(batch), "new", epoch)
+        new = read("new", epoch)
+        before = spark.read.parquet(f"{base}/mark/epoch={epoch - 1}").first()[0] if epoch else -(2**63)
+        peak = new.agg(F.unix_micros(F.max(ts) - F.expr(f"INTERVAL {lateness}"))).first()[0]
+        mark = before if peak is None else max(before, peak)
+        write(spark.createDataFrame([(mark,)], "mark long"), "mark", epoch)
+        write(new.filter(t < before), "late", epoch)
+        held = new.filter(t >= before)
+        held = held.unionByName(read("held", epoch - 1)) if epoch else held
+        write(held.filter(t >= mark), "held", epoch)
+        emit(held.filter(t < mark), epoch)
+        done["epoch"] = epoch
 
     query = (
         stream.writeStream.foreachBatch(step).option("checkpointLocation", f"{base}/checkpoint")
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/out").drop("epoch")
+    if done["epoch"] is None:
+        return spark.createDataFrame([], schema), spark.createDataFrame([], schema)
+    emit(read("held", done["epoch"]), done["epoch"] + 1)
+    whole = lambda name: spark.read.schema(schema).parquet(f"{base}/{name}").select(key, ts, event_id)
+    return whole("out"), whole("late")
+
+
+def run_throttle(
+    stream: DataFrame, key: str, ts: str = "ts", ttl_s: int = rules.CACHE_TTL_SECONDS, event_id: str = "event_id",
+    lateness: str = WATERMARK,
+) -> DataFrame:
+    """The emitted events of ``drain_throttle``; warns with their number when there are late ones."""
+    emitted, late = drain_throttle(stream, key, ts, ttl_s, event_id, lateness)
+    n = late.count()
+    if n:
+        warnings.warn(f"{n} events came more than {lateness} late and took no part; drain_throttle returns them", stacklevel=2)
+    return emitted
 
 
 def stream_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
