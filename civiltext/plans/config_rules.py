@@ -4,14 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import AtomicType
 
 from civiltext.functions.features import context_config
 from civiltext.functions.phrases import gap_span
 from civiltext.functions.severity import sev_name, sev_rank, severity_of
 from civiltext.functions.staging import computed, members, pattern_hits
 from civiltext.functions.text import WORD, bounded_tokens, extract, has, is_blank, normalise, whitespace_words
-from civiltext.operators.lexicon import MAX_INLINE_TERMS, LanguageRules, inline_rules
+from civiltext.operators import matching
+from civiltext.operators.joins import SALTS
+from civiltext.operators.lexicon import MAX_INLINE_TERMS, LanguageRules, inline_rules, rule_table
 from civiltext.plans.multilingual import DETECTIONS, detection, total_confidence, vocabulary
+from civiltext.sources.storage import materialise
 from civiltext.values import rules, terms
 
 
@@ -84,20 +88,50 @@ def config_detections(lang: str, r: LanguageRules, norm: Column) -> Column:
     return F.concat(empty, *[F.coalesce(p.cast(DETECTIONS), empty) for p in parts])
 
 
+def joined_detections(base: DataFrame, lex: DataFrame) -> DataFrame:
+    """Adds ``_found``: the term detections of all languages, from joins, in the order of the inline plan."""
+    weight = rules.CONFIG_WEIGHTS
+    keyed = base.withColumn("_id", F.md5(F.to_json(F.struct("_norm"))))  # the terms see the normalised text only
+    plain = [f.name for f in base.schema if isinstance(f.dataType, AtomicType)]
+    # equal texts are dealt out by their row, so that one common text is not one key
+    keyed = keyed.withColumn("_id", F.concat("_id", F.lit("/"), F.pmod(F.xxhash64(*plain), F.lit(SALTS)).cast("string")))
+    texts = keyed.select("_id", "_words", "_line", "_norm").dropDuplicates(["_id"])
+    found = matching.term_matches(texts, materialise(rule_table(lex), "rules"), "_id", "_words", "_line", "_norm")
+    word, phrase = F.col("kind") == "word", F.col("kind") == "phrase"
+    known = F.when(F.col("severity").isin(rules.SEVERITIES), F.col("severity")).otherwise("medium")
+    level = F.when(word, known).otherwise(F.coalesce("severity", F.lit("medium")))
+    confidence = (
+        F.when(word, F.lit(weight["word"])).when(phrase, gap_score(F.col("span") - F.col("n")) * F.lit(weight["phrase"]))
+        .otherwise(F.lit(weight["pattern"]))
+    )
+    order = F.struct("lang", F.when(word, 1).when(phrase, 2).otherwise(3).alias("kind"), "term", "place")
+    hit = F.struct(
+        F.when(word, "single_word").otherwise(F.col("kind")).alias("type"), "value", "lang", level.alias("severity"),
+        confidence.cast("double").alias("confidence"),
+    )
+    # one message's own detections: bounded by its length
+    per_text = found.groupBy("_id").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), hit.alias("d")))).alias("_found"))
+    return keyed.join(per_text, "_id", "left").withColumn("_found", F.transform("_found", lambda f: f["d"])).drop("_id")
+
+
 def score_config(
     df: DataFrame, lex: DataFrame | None = None, text: str = "text", indicators: dict | None = None,
     max_terms: int = MAX_INLINE_TERMS,
 ) -> DataFrame:
-    """Adds languages, context, detections, n_detections, n_languages, confidence, is_bullying, severity."""
+    """Adds languages, context, detections, n_detections, n_languages, confidence, is_bullying, severity.
+
+    A term table of over ``max_terms`` rows is joined instead of written into the expression.
+    """
     languages = packaged_config_rules() if lex is None else inline_rules(lex, max_terms)
-    if languages is None:
-        raise ValueError(f"this profile keeps its terms inline and the table has over {max_terms}; raise max_terms")
     raw = F.coalesce(F.col(text), F.lit(""))
     base = indicator_languages(df, text, indicators).withColumn("_norm", normalise(raw, "config"))
     # length bounds apply before phrases are matched, so phrases see the bounded tokens only
     base = base.withColumn("_words", bounded_tokens(extract(F.col("_norm"), WORD)))
     base = base.withColumn("_line", F.array_join("_words", " "))
     context = context_config(raw, F.col("_words"))
+    joined = languages is None
+    if joined:
+        base, languages = joined_detections(base, lex), {}
     base = computed(
         base,
         {
@@ -115,13 +149,17 @@ def score_config(
         found = F.concat(config_detections(lang, only_terms, line), config_detections(lang, only_text, norm))
         return F.when(F.array_contains("languages", lang), found).otherwise(empty)
 
+    terms_found = [of(l, r) for l, r in languages.items()]
+    if joined:
+        every = F.coalesce(F.col("_found").cast(DETECTIONS), empty)
+        terms_found = [F.filter(every, lambda d: F.array_contains("languages", d["lang"]))]
     aggression = F.col("_c_aggression")
     style = detection("context", F.lit("aggressive_context"), "neutral", F.lit("medium"), aggression)
     found = F.concat(
-        *[of(l, r) for l, r in languages.items()],
+        *terms_found,
         F.when(~is_blank(text) & (aggression > rules.CONFIG_AGGRESSION_MIN), F.array(style).cast(DETECTIONS)).otherwise(empty),
     )
-    base = computed(base, {"detections": found}, drop=("_norm", "_words", "_line", "_hits"))
+    base = computed(base, {"detections": found}, drop=("_norm", "_words", "_line", "_hits", "_found"))
     out = computed(
         base,
         {

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from civiltext.operators import joins, lexicon as lx, matching as mt
+from civiltext.plans.config_rules import score_config
 from civiltext.plans.multilingual import score_multilingual, score_multilingual_joined
 
 COLUMNS = ["msg_id", "text", "word_count", "languages", "detections", "n_detections", "confidence", "is_bullying", "severity", "detection_method"]
@@ -61,3 +62,14 @@ def test_native_capitals_and_severity_rows_count_in_the_joined_plan(spark):
     for score in (score_multilingual, score_multilingual_joined):
         got = {r.msg_id: (r.confidence, r.severity) for r in score(df, lex).collect()}
         assert got == {1: (0.5, "high"), 2: (0.0, "none"), 3: (0.8, "high")}
+
+
+def test_config_scores_do_not_depend_on_the_size_of_the_term_table(spark, awkward):
+    lex, df = awkward
+    indicators = {l: {"words": [w, "you"], "phrases": ["x"]} for l, w in (("french", "jerk"), ("marathi", "go"), ("danish", "fool"))}
+    inline = score_config(df, lex, indicators=indicators)
+    joined = score_config(df, lex, indicators=indicators, max_terms=5)
+    assert joined.columns == inline.columns
+    want = rows_of(inline, inline.columns)
+    assert rows_of(joined, inline.columns) == want and len(want) == df.count()
+    assert inline.filter("n_detections > 0").count() > 100
