@@ -141,14 +141,14 @@ def _signed(docs: DataFrame, id_type: str, linking: Linking) -> DataFrame:
                 cls.append(class_of(s) if len(s) else None)
                 keys.append(coordinates(s) if len(s) else None)
             yield pa.record_batch(
-                {"id": part.column("id"), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
+                {"id": part.column("id"), "h": part.column("h"), "n_shingles": pa.array(n, pa.int64()), "cls": pa.array(cls, pa.binary()), "keys": pa.array(keys, pa.list_(pa.int64()))}
             )
 
-    return docs.mapInArrow(tidied(sign), f"id {id_type}, n_shingles long, cls binary, keys array<long>")
+    return docs.mapInArrow(tidied(sign), f"id {id_type}, h long, n_shingles long, cls binary, keys array<long>")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, linking: Linking) -> DataFrame:
-    """(cls, shingles, wide, small) of the wanted (cls, id): their texts are fetched by id and hashed again."""
+    """(cls, shingles, wide, small) of the wanted (cls, id, h): their texts are fetched and hashed again."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "text"):
@@ -161,8 +161,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, linking: Linking) -> DataFrame:
                 }
             )
 
-    hit = docs.alias("d").join(wanted.alias("w"), F.col("d.id").eqNullSafe(F.col("w.id"))).select("w.cls", "d.text")
-    return hit.mapInArrow(tidied(make), "cls binary, shingles binary, wide binary, small binary").dropDuplicates(["cls"])
+    made = _fetched(docs, wanted).mapInArrow(tidied(make), "cls binary, shingles binary, wide binary, small binary")
+    return made.dropDuplicates(["cls"])
+
+
+def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, text) of the wanted (cls, id, h). The text's hash is part of the key, so that rows with null or
+    repeated ids and other texts do not meet."""
+    same = F.col("d.id").eqNullSafe(F.col("w.id")) & (F.col("d.h") == F.col("w.h"))
+    return docs.alias("d").join(wanted.alias("w"), same).select("w.cls", "d.text")
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, linking: Linking) -> DataFrame:
@@ -247,10 +254,13 @@ def _candidates(p: _Block, q: _Block, same: bool, key: int, need: int) -> tuple[
 
 
 def link_classes(docs: DataFrame, signed: DataFrame, linking: Linking) -> DataFrame:
-    """(node, root) of all classes that are linked with another class; ``docs`` has id and text."""
+    """(node, root) of all classes that are linked with another class; ``docs`` has id, text and h, the text's hash."""
     t = linking.matches
     classes = materialise(
-        signed.filter("cls is not null").groupBy("cls").agg(F.min("id").alias("id"), F.first("keys").alias("keys")), "neardup-classes"
+        signed.filter("cls is not null").groupBy("cls").agg(
+            F.min(F.struct(F.col("id").isNull().alias("none"), "id", "h")).alias("row"), F.first("keys").alias("keys")
+        ).select("cls", "row.id", "row.h", "keys"),
+        "neardup-classes",
     )
     postings = classes.select("cls", F.explode("keys").alias("key"))
     lists = postings.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -258,7 +268,7 @@ def link_classes(docs: DataFrame, signed: DataFrame, linking: Linking) -> DataFr
     active = materialise(
         shared.filter(F.size("s") >= t).select("cls", "weight", F.slice(F.col("s.key"), 1, F.size("s") - (t - 1)).alias("prefix")), "neardup-active"
     )
-    sets = materialise(_sets(docs, active.select("cls").join(classes.select("cls", "id"), "cls"), linking), "neardup-sets")
+    sets = materialise(_sets(docs, active.select("cls").join(classes.select("cls", "id", "h"), "cls"), linking), "neardup-sets")
 
     posted = active.select("cls", "weight", F.explode("prefix").alias("key"))
     hubs = posted.groupBy("key").agg(F.max(F.struct("weight", "cls")).alias("hub"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -313,6 +323,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     """
     id_type = docs.schema[id_col].dataType.simpleString()
     plain = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
+    plain = plain.withColumn("h", F.xxhash64("text"))
     signed = materialise(_signed(plain, id_type, linking), "neardup-signed")
     roots = link_classes(plain, signed, linking)
     # one row for each class that isn't alone: the smallest id of its component
