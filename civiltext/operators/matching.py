@@ -15,6 +15,7 @@ from civiltext.functions.phrases import keep_strongest
 from civiltext.functions.staging import pattern_hits
 from civiltext.functions.text import NOT_WORD, WORD, WORD_CHARS, count, whitespace_words, word_tokens
 from civiltext.operators.joins import fits, lookup_join
+from civiltext.operators.lexicon import phrase_key
 
 PATTERN_CHUNK = 100
 
@@ -96,6 +97,24 @@ def match_phrases(
     )
 
 
+def match_phrase_keys(df: DataFrame, phrases: DataFrame, key: str = "msg_id", words: str = "w") -> DataFrame:
+    """Windows that hold the words of a phrase in any order, counted as (key, term, lang, n).
+
+    The windows have every length that occurs in the phrase table.
+    """
+    table = phrases.select("term", "lang", phrase_key("term").alias("k"), F.size(F.split("term", " ")).alias("size"))
+    lengths = sorted(r["size"] for r in table.select("size").distinct().collect())  # a few numbers
+
+    def windows(n: int) -> Column:
+        # a slice at the end of the text is shorter: only complete ones are kept
+        return F.filter(F.transform(words, lambda t, i: F.slice(words, i + 1, F.lit(n))), lambda g: F.size(g) == n)
+
+    grams = F.concat(F.array().cast("array<array<string>>"), *[windows(n) for n in lengths])
+    keys = df.select(key, F.explode(F.transform(grams, lambda g: F.array_join(F.array_sort(g), "|"))).alias("k"))
+    found = lookup_join(keys, table.drop("size"), ["k"])
+    return found.groupBy(key, "term", "lang").agg(F.count("*").alias("n"))
+
+
 def match_punctuated_phrases(
     df: DataFrame, toks: DataFrame, phrases: DataFrame, max_gap: int = 2, key: str = "msg_id", text: str = "text"
 ) -> DataFrame:

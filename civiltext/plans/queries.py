@@ -260,14 +260,7 @@ def lexicon_phrase_words(spark, d):
 )
 def phrase_key_lookup(spark, d):
     w = msgs(spark, d).select("msg_id", tx.word_tokens("text").alias("w"))
-    # a slice at the end of the text is shorter: keep complete pairs once and complete triples once
-    grams = F.concat(
-        F.filter(F.transform("w", lambda t, i: F.slice("w", i + 1, F.lit(2))), lambda g: F.size(g) == 2),
-        F.filter(F.transform("w", lambda t, i: F.slice("w", i + 1, F.lit(3))), lambda g: F.size(g) == 3),
-    )
-    keys = w.select("msg_id", F.explode(F.transform(grams, lambda g: F.array_join(F.array_sort(g), "|"))).alias("k"))
-    phrases = lx.multilingual_lexicon(spark).filter("kind = 'phrase'").select("term", "lang", lx.phrase_key("term").alias("k"))
-    return lx.lookup_join(keys, phrases, ["k"]).groupBy("msg_id", "term", "lang").agg(F.count("*").alias("n"))
+    return mt.match_phrase_keys(w, lx.multilingual_lexicon(spark).filter("kind = 'phrase'"))
 
 
 @register(
