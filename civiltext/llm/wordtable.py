@@ -36,7 +36,8 @@ from civiltext.sources.storage import materialise, temporary
 
 HOT_ROWS = 1 << 20
 HOT_BYTES = 32 << 20
-#: A longer piece is never in the table of the frequent ones, however frequent: it is joined over several tasks.
+#: A longer piece is never in the table of the frequent ones, however frequent. ``encoded_postings`` deals it out over
+#: several tasks; the joins of the token files and the token counts do not: one that is in many texts is one hot key there.
 HOT_LENGTH = 4096
 SALTS = 64
 #: Distinct pieces that are encoded in one call.
