@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from civiltext.llm.bpe import decode, encode
 from civiltext.llm.decontam import contaminations
+from civiltext.llm.divergence import source_divergence
 from civiltext.llm.neardup import Linking, near_duplicates
 from civiltext.llm.pii import find_spans
 from civiltext.llm.quality_rank import score_quality
@@ -87,11 +88,16 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances between the sources of a language, and the terms that set each source apart."""
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_warc, op2_decontamination, op3_pii, op4_bpe, op5_near_duplicates, op6_token_files, op7_quality_rules,
-        op8_quality_rank, op9_histogram_shards, op10_token_counts,
+        op8_quality_rank, op9_histogram_shards, op10_token_counts, op12_source_divergence,
     )
 }
 
@@ -125,4 +131,18 @@ m AS (SELECT w.doc_id, len(w)::BIGINT AS n_words, length(regexp_replace(t, '{BLA
   FROM w LEFT JOIN rep ON rep.doc_id = w.doc_id)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, NOT ({rules_sql(BASE_RULES)}) AS base_failed,
   {rules_sql(BASE_RULES + METHOD_RULES)} AS kept FROM m""",
+    "op12_source_divergence": """
+WITH d AS (SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source, coalesce(text, '') AS t FROM documents),
+w AS (SELECT id, lang, source, translate(unnest(regexp_extract_all(t, '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS term FROM d),
+k AS (SELECT lang, term, count(*)::HUGEINT AS c FROM w GROUP BY ALL HAVING count(DISTINCT id) >= 3),
+n AS (SELECT lang, source, term, count(*)::HUGEINT AS n FROM w SEMI JOIN k USING (lang, term) GROUP BY ALL),
+l AS (SELECT lang, count(*)::HUGEINT AS v, sum(c)::HUGEINT AS m FROM k GROUP BY ALL),
+g AS (SELECT lang, source, coalesce(sum(n), 0)::HUGEINT AS m FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) GROUP BY ALL),
+f AS (SELECT g.lang, g.source, k.term, k.c, coalesce(n.n, 0) AS n, 1 + (1000000000 * (coalesce(n.n, 0) + 1)) // (g.m + l.v) AS p, 1 + (1000000000 * (k.c + 1)) // (l.m + l.v) AS q
+  FROM g JOIN l USING (lang) JOIN k USING (lang) LEFT JOIN n ON n.lang = g.lang AND n.source = g.source AND n.term = k.term),
+pairs AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value FROM f a JOIN f b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.value, 0)::BIGINT AS value FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
+  UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM f WHERE n > 0 AND p > q)
+SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 200""",
 }
