@@ -15,6 +15,7 @@ from civiltext.llm.neardup import Linking, near_duplicates
 from civiltext.llm.pii import find_spans
 from civiltext.llm.quality_rank import score_quality
 from civiltext.llm.quality_rules import BASE_RULES, METHOD_RULES, STOP_WORDS, Rule, apply_rules
+from civiltext.llm.resampling import resample
 from civiltext.llm.shards import assign_shards
 from civiltext.llm.token_counts import count_tokens
 from civiltext.llm.tokenfile import token_file_round_trip
@@ -93,11 +94,17 @@ def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weights of all documents towards the benchmark's n-grams, and the documents drawn."""
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_warc, op2_decontamination, op3_pii, op4_bpe, op5_near_duplicates, op6_token_files, op7_quality_rules,
         op8_quality_rank, op9_histogram_shards, op10_token_counts, op12_source_divergence,
+        op13_importance_resampling,
     )
 }
 
@@ -145,4 +152,21 @@ r AS (SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(pairs.
   LEFT JOIN pairs ON pairs.lang = a.lang AND pairs.source = a.source AND pairs.item = b.source
   UNION ALL SELECT lang, source, 'term', term, (((p - q) * (p - q)) // q)::BIGINT FROM f WHERE n > 0 AND p > q)
 SELECT *, (row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item))::INTEGER AS rank FROM r QUALIFY part = 'pair' OR rank <= 200""",
+    "op13_importance_resampling": """
+WITH b AS (SELECT list_transform(range(256), lambda n: list_reduce(range(8), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END, n::BIGINT)) AS t),
+d AS (SELECT row_number() OVER () AS r, true AS ours, doc_id, text FROM documents UNION ALL SELECT row_number() OVER (), false, NULL, text FROM benchmark),
+w AS (SELECT r, ours, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM d),
+f AS (SELECT r, ours, unnest(list_concat(w, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]),
+  list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))) AS f FROM w),
+k AS (SELECT f, xor(list_reduce(list_transform(regexp_extract_all(hex(encode(f)), '..'), lambda x: ('0x' || x)::BIGINT),
+  lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS k FROM (SELECT DISTINCT f FROM f), b),
+n AS (SELECT r, ours, k, count(*) AS n FROM f JOIN k USING (f) GROUP BY ALL),
+s AS (SELECT k, coalesce(sum(n) FILTER (ours), 0) AS s, coalesce(sum(n) FILTER (NOT ours), 0) AS t FROM n GROUP BY ALL),
+g AS (SELECT k, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::DOUBLE / ((s + 1) * (sum(t) OVER () + 10000))::DOUBLE))::BIGINT AS g FROM s),
+v AS (SELECT r, sum(n)::BIGINT AS n, sum(n * g)::BIGINT AS g FROM n JOIN g USING (k) WHERE ours GROUP BY ALL),
+o AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(g, 0) AS weight, len(w) >= 20 AS able,
+  coalesce(g, 0) + floor(-1000 * ln(-ln((('0x' || substr(sha256('42:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS score
+  FROM d JOIN w USING (r, ours) LEFT JOIN v USING (r) WHERE ours),
+p AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS i, count(*) OVER (PARTITION BY able) AS m FROM o)
+SELECT doc_id, n_features, weight, score, CASE WHEN able AND i <= 5 * m // 100 THEN i END AS rank FROM p""",
 }
