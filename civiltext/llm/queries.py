@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from civiltext.llm.bpe import decode, encode
 from civiltext.llm.decontam import contaminations
 from civiltext.llm.divergence import source_divergence
+from civiltext.llm.license_scan import CONFIDENCE, RULES, scan_licenses
 from civiltext.llm.neardup import Linking, near_duplicates
 from civiltext.llm.pii import find_spans
 from civiltext.llm.quality_rank import score_quality
@@ -89,6 +90,11 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
 
 
+def op11_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and signatures of every document."""
+    return scan_licenses(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text", "detections")
+
+
 def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distances between the sources of a language, and the terms that set each source apart."""
     return source_divergence(table(spark, sf_dir, "documents"))
@@ -103,8 +109,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     q.__name__: q
     for q in (
         op1_warc, op2_decontamination, op3_pii, op4_bpe, op5_near_duplicates, op6_token_files, op7_quality_rules,
-        op8_quality_rank, op9_histogram_shards, op10_token_counts, op12_source_divergence,
-        op13_importance_resampling,
+        op8_quality_rank, op9_histogram_shards, op10_token_counts, op11_license_scan,
+        op12_source_divergence, op13_importance_resampling,
     )
 }
 
@@ -112,6 +118,13 @@ def rules_sql(rules: list[Rule]) -> str:
     return " AND ".join(f"{r.times} * {r.measure} {r.holds} {r.limit} * {'1' if r.base == 'one' else r.base}" for r in rules)
 
 
+def signatures_sql() -> str:
+    """The signature rules as SQL rows; between words stand two spaces, so that an expression holds its words' own."""
+    quoted = lambda x: "'" + x.replace("'", "''") + "'"
+    widened = lambda r: quoted(f" (?:{r.regex}) ".replace(" ", "  ")[1:-1])
+    return ",\n".join(f"({i}, {quoted(r.label)}, {r.rank}, {str(r.base).lower()}, {widened(r)})" for i, r in enumerate(RULES))
+
+
 BLANK_SQL = "[\\x20\\x09-\\x0D]"
 
 ORACLES: dict[str, str] = {
@@ -169,4 +182,21 @@ o AS (SELECT doc_id, coalesce(n, 0) AS n_features, coalesce(g, 0) AS weight, len
   FROM d JOIN w USING (r, ours) LEFT JOIN v USING (r) WHERE ours),
 p AS (SELECT *, row_number() OVER (PARTITION BY able ORDER BY score DESC, doc_id) AS i, count(*) OVER (PARTITION BY able) AS m FROM o)
 SELECT doc_id, n_features, weight, score, CASE WHEN able AND i <= 5 * m // 100 THEN i END AS rank FROM p""",
+    "op11_license_scan": f"""
+WITH rules(i, label, rank, base, regex) AS (VALUES
+{signatures_sql()}),
+d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+  '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents),
+l AS (SELECT r, ' ' || array_to_string(w, '  ') || ' ' AS t FROM d),
+h AS (SELECT r, t, i, label, rank, base, regex FROM l JOIN rules ON regexp_matches(t, regex)),
+g AS (SELECT *, string_split_regex(t, regex) AS gaps, regexp_extract_all(t, regex) AS hits FROM h),
+u AS (SELECT r, i, label, rank, base, k, (length(gaps[k]) - length(replace(gaps[k], ' ', ''))) // 2 AS before,
+  (length(hits[k]) - length(replace(hits[k], ' ', ''))) // 2 AS n FROM g, unnest(range(1, len(hits) + 1)) x(k)),
+f AS (SELECT r, i, label, rank, base, n, (sum(before) OVER o + sum(n) OVER o - n)::BIGINT AS first FROM u WINDOW o AS (PARTITION BY r, i ORDER BY k)),
+s AS (SELECT * FROM f a WHERE base OR NOT EXISTS (SELECT 1 FROM f b WHERE b.r = a.r AND b.first <= a.first AND b.first + b.n >= a.first + a.n
+  AND ((b.n > a.n AND b.rank <= a.rank) OR (b.n = a.n AND (b.rank < a.rank OR b.rank = a.rank AND b.i < a.i)))))
+SELECT d.doc_id, len(any_value(d.w))::BIGINT AS n_words, count(*) FILTER (s.base) AS n_base, min(s.first) FILTER (s.base) AS first_word, max(s.first) FILTER (s.base) AS last_word,
+  coalesce(string_agg(DISTINCT s.label, ',' ORDER BY s.label) FILTER (s.base), '') AS base_labels, coalesce(string_agg(DISTINCT s.label, ',' ORDER BY s.label), '') AS labels,
+  coalesce(([{', '.join(f'{c}::DOUBLE' for c in CONFIDENCE)}])[min(s.rank) + 1], 0) AS score
+FROM d LEFT JOIN s ON s.r = d.r GROUP BY d.r, d.doc_id""",
 }
