@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 from re import _constants as C
 from re import _parser as P
 
@@ -129,3 +130,12 @@ def test_clashing_names(spark, column):
     row = scan_licenses(df).collect()[0]
     assert row["labels"] == "mit" and row["n_words"] == 2
     assert license_scan.BASE_RANK == 2
+
+
+def test_a_long_text_of_matches_costs_little(spark):
+    n = 40_000
+    started = time.monotonic()
+    df = spark.createDataFrame([(1, "mit license " * n + "the apache license version 2 0 " * n)], "doc_id int, text string")
+    row = scan_licenses(df).drop("detections").collect()[0]
+    assert (row["n_words"], row["n_base"], row["last_word"], row["labels"]) == (8 * n, 2 * n, 8 * n - 5, "apache,apache-2.0,mit")
+    assert time.monotonic() - started < 60
