@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiltext.llm.quality_rules import BLANKS, STOP_WORDS, WORD_GAP
+from civiltext.llm.quality_rules import BLANKS, WORD_GAP, char_count, stop_word_count
 
 #: At most so many labelled documents are learned from: those with the smallest hashes of their ids.
 TRAIN_ROWS = 20_000
@@ -27,20 +27,19 @@ def features(docs: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]
     the measures are shares and logarithms, so that length alone doesn't drive a score."""
     t = F.coalesce(F.col(text).cast("string"), F.lit(""))
     w = "_f_words"
-    less = lambda chars: (F.length(t) - F.length(F.translate(t, chars, ""))).cast("double")
+    less = lambda chars: char_count(t, chars).cast("double")
     chars, n_words = F.greatest(F.length(t), F.lit(1)).cast("double"), F.greatest(F.size(w), F.lit(1)).cast("double")
-    stops = "|".join(dict.fromkeys(STOP_WORDS))
     columns = {
         "_f_log_words": F.log1p(F.size(w).cast("double")),
         "_f_log_chars": F.log1p(F.length(t).cast("double")),
-        "_f_word_length": (F.length(F.translate(t, BLANKS, "")) / n_words).cast("double"),
+        "_f_word_length": ((F.length(t) - char_count(t, BLANKS)) / n_words).cast("double"),
         "_f_marks": less("#*$%&") / n_words,
         "_f_bars": less("|<>\\~^") / n_words,
         "_f_braces": less("{}[]()=;_\"") / n_words,
         "_f_shouts": less("!?") / n_words,
         "_f_digits": less("0123456789") / chars,
         "_f_capitals": less("ABCDEFGHIJKLMNOPQRSTUVWXYZÀÂÄÇÈÉÊËÍÎÏÑÓÔÖÙÚÛÜ") / chars,
-        "_f_stops": F.regexp_count(t, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{stops})(?![\p{{L}}\p{{N}}])")) / n_words,
+        "_f_stops": stop_word_count(t) / n_words,
         "_f_points": less(".,") / n_words,
         "_f_lines": less("\n") / n_words,
         "_f_distinct": F.size(F.array_distinct(w)) / n_words,
@@ -117,7 +116,8 @@ def learn(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str
     chosen = rows.orderBy(F.xxhash64("_id"), "_id", "_y").limit(TRAIN_ROWS)
     plain = docs.select(F.col(id_col).alias("_id"), F.col(text).alias("_text"))
     described, names = features(plain.join(F.broadcast(chosen), "_id"), "_text")  # a broadcast of TRAIN_ROWS rows at most
-    got = described.select("_id", "_y", *names).orderBy("_id", "_y", *names).toArrow()
+    # sorted here: a range exchange would compute the features once more for its sample
+    got = described.select("_id", "_y", *names).toArrow().sort_by([(c, "ascending") for c in ("_id", "_y", *names)])
     x = np.stack([got.column(n).to_numpy() for n in names], axis=1) if got.num_rows else np.zeros((0, len(names)))
     return fit_ranking(x, got.column("_y").to_numpy() if got.num_rows else np.zeros(0, int), names)
 

@@ -24,6 +24,17 @@ BLANKS = " \t\n\x0b\f\r"
 WORD_GAP = "[ \\x09-\\x0D]+"
 
 
+def stop_word_count(text: Column) -> Column:
+    """How many of the runs of letters and digits are stop words, in any case."""
+    runs = F.split(F.lower(text), r"[^\p{L}\p{N}]+")
+    return F.size(F.filter(runs, lambda x: x.isin(*dict.fromkeys(STOP_WORDS))))
+
+
+def char_count(text: Column, chars: str) -> Column:
+    """How many of the text's characters are among ``chars``."""
+    return F.regexp_count(text, F.lit("[" + "".join(f"\\x{{{ord(c):x}}}" for c in chars) + "]"))
+
+
 @dataclass(frozen=True)
 class Rule:
     """``times * measure`` compared with ``limit * base``: keeps the text if it holds.
@@ -87,7 +98,7 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
     first = docs.withColumns(
         {
             w: F.filter(F.split(t, WORD_GAP), lambda x: x != ""),
-            lines: F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, BLANKS, "")) > 0),
+            lines: F.filter(F.split(t, "\n"), lambda x: F.rlike(x, F.lit("[^ \\x09-\\x0D]"))),
         }
     )
     second = first.withColumns(
@@ -103,12 +114,12 @@ def measures(docs: DataFrame, text: str = "text") -> DataFrame:
         third,
         {
             "n_words": count(w),
-            "word_chars": F.length(F.translate(t, BLANKS, "")).cast("long"),
-            "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
+            "word_chars": (F.length(t) - char_count(t, BLANKS)).cast("long"),
+            "n_symbols": char_count(t, SYMBOLS).cast("long"),
             "n_lines": count(lines),
             "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             "n_repeat_words": F.aggregate(F.transform(pos, gap), F.lit(0), lambda a, b: a + b).cast("long"),
-            "n_stop_words": F.regexp_count(t, F.lit(rf"(?iu)(?<![\p{{L}}\p{{N}}])(?:{'|'.join(dict.fromkeys(STOP_WORDS))})(?![\p{{L}}\p{{N}}])")).cast("long"),
+            "n_stop_words": stop_word_count(t).cast("long"),
             "n_letter_words": F.regexp_count(t, F.lit(r"(?<![^ \x09-\x0D])[^ \x09-\x0D\p{L}]*+\p{L}")).cast("long"),
             "n_capital_words": F.regexp_count(t, F.lit(r"(?<![^ \x09-\x0D])[^ \x09-\x0D\p{L}]*+\p{Lu}{2}")).cast("long"),
         },

@@ -235,3 +235,24 @@ def test_digest_of_decoded_text(odd):
     tokenizer = Tokenizer.from_file(path)
     got = bpe.decode(bpe.encode(odd.filter("doc_id = 9"), path), path).first()
     assert hashlib.sha256(got.decoded.encode()).hexdigest() == hashlib.sha256(tokenizer.decode(list(plain_ids(tokenizer, ODD[9]))).encode()).hexdigest()
+
+
+def test_ranking_equals_a_plain_descent_on_the_same_preferences():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(120, 3)) * [1, 5, 0.1] + [0, 2, 1]
+    y = (x[:, 0] + rng.normal(size=120) > 0.3).astype(int)
+    ranking = quality_rank.fit_ranking(x, y, ["a", "b", "c"])
+    z = np.clip((x - x.mean(0)) / x.std(0), -6, 6)
+    d = np.concatenate([z, z * z], axis=1)
+    good, bad = np.flatnonzero(y == 1), np.flatnonzero(y == 0)
+    rng = np.random.default_rng(quality_rank.SEED)
+    n = quality_rank.OPPONENTS
+    better = np.concatenate([np.repeat(good, n), rng.choice(good, n * len(bad))])
+    worse = np.concatenate([rng.choice(bad, n * len(good)), np.repeat(bad, n)])
+    w = np.zeros(6)
+    for _ in range(3_000):  # plain descent on the mean logistic loss with the ridge
+        wrong = 1 / (1 + np.exp((d[better] - d[worse]) @ w))
+        w -= 2.0 * (quality_rank.RIDGE * w - ((d[better] - d[worse]) * wrong[:, None]).mean(0))
+    assert np.allclose(ranking.weights, w, atol=1e-3)
+    raw = np.sort(d @ w)
+    assert abs(ranking.cut - (raw[len(bad) - 1] + raw[len(bad)]) / 2) < 1e-2
