@@ -41,13 +41,18 @@ def guarded(text: Column, needles: list[str], value: Column, otherwise: Column)
 
 
 def required_literal(pattern: str) -> str | None:
-    """A text every match of ``pattern`` must contain, or ``None`` when none is certain.
+    """The longest of ``required_literals``, or ``None``."""
+    return max(required_literals(pattern), key=len, default=None)
+
+
+def required_literals(pattern: str) -> list[str]:
+    """Texts of two characters or more that every match of ``pattern`` must contain, in their order; none where none is certain.
 
     Only characters outside groups and classes count; one that a quantifier makes optional doesn't,
-    one that may be repeated ends its run. Flags that change how a pattern is read give ``None``.
+    one that may be repeated ends its run. Flags that change how a pattern is read give none.
     """
     if re.search(r"\\[^bBsSwWdD.!?*+$^-]", pattern) or re.search(r"\(\?[a-z]*[xdmsuU]", pattern):
-        return None
+        return []
     runs, run, at = [], "", 0
     while at < len(pattern):
         c, step, plain = pattern[at], 1, False
@@ -56,9 +61,9 @@ def required_literal(pattern: str) -> str | None:
         elif c in "([":
             step = _closing(pattern, at)
             if not step:
-                return None
+                return []
         elif c in "|)":
-            return None
+            return []
         else:
             plain = c not in ".^$" and not c.isspace()
         at += step
@@ -70,8 +75,7 @@ def required_literal(pattern: str) -> str | None:
         optional = quantifier and (quantifier[0][0] in "*?" or quantifier[1] and int(quantifier[1]) == 0)
         runs.append(run + c if plain and quantifier and not optional else run)
         run = ""
-    best = max([*runs, run], key=len)
-    return best.lower() if len(best) >= 2 else None
+    return [r.lower() for r in [*runs, run] if len(r) >= 2]
 
 
 def _closing(pattern: str, at: int) -> int:

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 from civiltext.functions.severity import sev_rank
 from civiltext.functions.text import strip, whitespace_words
 from civiltext.operators.joins import lookup_join
+from civiltext.operators.rule_patterns import KINDS, compiles
 from civiltext.values import rules, terms
 
 LEXICON_SCHEMA = T.StructType(
@@ -98,6 +99,11 @@ def _kept_term() -> Column:
     return F.when(F.col("kind").isin("pattern", "native_phrase"), F.col("term")).otherwise(F.lower("term"))
 
 
+def _usable() -> Column:
+    """The rule has a known kind, and a pattern compiles."""
+    return F.when(F.col("kind") == "pattern", compiles(F.col("term"))).otherwise(F.coalesce(F.col("kind").isin(KINDS), F.lit(False)))
+
+
 def inline_rules(lex: DataFrame, max_terms: int = MAX_INLINE_TERMS) -> dict[str, LanguageRules] | None:
     """Inline rules of a term table, or ``None`` when it holds more than ``max_terms`` rows.
 
@@ -105,12 +111,12 @@ def inline_rules(lex: DataFrame, max_terms: int = MAX_INLINE_TERMS) -> dict[str,
     """
     rank = F.coalesce(sev_rank(F.col("severity")), F.lit(0)).alias("rank")
     blank = (F.size(whitespace_words("term")) == 0).alias("blank")
-    rows = lex.select("term", "kind", "lang", "severity", _kept_term().alias("kept"), F.lower("term").alias("low"), rank, blank)
+    rows = lex.select("term", "kind", "lang", "severity", _kept_term().alias("kept"), F.lower("term").alias("low"), rank, blank, _usable().alias("usable"))
     rows = rows.limit(max_terms + 1).collect()
     if len(rows) > max_terms:
         return None
     out: dict[str, LanguageRules] = {}
-    rows = [r for r in rows if r.term is not None and not r.blank]
+    rows = [r for r in rows if r.term is not None and not r.blank and r.usable]
     for r in sorted(rows, key=lambda r: (r.lang, r.kind, r.kept, r.term, r.rank, r.severity or "")):
         mine = out.setdefault(r.lang, LanguageRules())
         if r.kind == "native_phrase":
@@ -128,10 +134,10 @@ def rule_table(lex: DataFrame) -> DataFrame:
 
     A term takes the last severity stated for its spelling in lower case, by kind (pattern, phrase,
     severity, word), then by term, then the strongest. Native phrases are rated by their own rows
-    alone. Blank terms are found nowhere.
+    alone. Blank terms and patterns that do not compile are found nowhere.
     """
     rank = F.coalesce(sev_rank(F.col("severity")), F.lit(0)).alias("rank")
-    rows = lex.filter(F.size(whitespace_words("term")) > 0).select(
+    rows = lex.filter(F.size(whitespace_words("term")) > 0).withColumn("_usable", _usable()).filter("_usable").select(
         _kept_term().alias("term"), "kind", "lang", "severity", F.lower("term").alias("low"), F.col("term").alias("as"), rank
     )
     stated = rows.filter("kind <> 'native_phrase' and severity is not null")

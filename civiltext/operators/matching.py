@@ -12,12 +12,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civiltext.functions.phrases import keep_strongest
-from civiltext.functions.staging import pattern_hits
 from civiltext.functions.text import NOT_WORD, WORD, WORD_CHARS, count, whitespace_words, word_tokens
-from civiltext.operators.joins import fits, lookup_join
-from civiltext.operators.lexicon import phrase_key
-
-PATTERN_CHUNK = 100
+from civiltext.operators.joins import lookup_join
+from civiltext.operators.lexicon import phrase_key, phrase_profile
+from civiltext.operators.rule_patterns import match_patterns
+from civiltext.operators.substrings import contained_terms
 
 
 def tokens(df: DataFrame, key: str = "msg_id", text: str = "text", token_column: Column | None = None) -> DataFrame:
@@ -38,28 +37,11 @@ def match_substrings(
 ) -> DataFrame:
     """Phrases contained in the lower-cased (or the raw) text, once per phrase (M2).
 
-    A small phrase table is broadcast into a nested loop. A larger one is joined
-    on the first three characters, so that only texts holding them are compared.
+    Windows of the text are joined with the phrase table, whatever its size; texts do not move.
     """
     texts = df.select(key, (F.lower(text) if lower else F.col(text)).alias("_low"))
-    table = phrases.select("term", "lang", "severity").filter("term <> ''")  # an empty phrase is found nowhere
-    holds = F.contains(F.col("_low"), F.col("term"))
-    if fits(table, 2_000):
-        return texts.join(F.broadcast(table), holds).drop("_low")
-    parts = []
-    for width in (1, 2, 3):
-        keyed = table.filter(F.least(F.length("term"), F.lit(3)) == width)
-        keyed = keyed.withColumn("_gram", F.substring("term", 1, width))
-        if width < 3 and keyed.isEmpty():
-            continue
-        starts = F.sequence(F.lit(1), F.greatest(F.length("_low") - width + 1, F.lit(1)))
-        grams = F.array_distinct(F.transform(starts, lambda i: F.substr(F.col("_low"), i, F.lit(width))))
-        found = lookup_join(texts.select(key, F.explode(grams).alias("_gram")), keyed, ["_gram"]).drop("_gram")
-        parts.append(found)
-    candidates = parts[0]
-    for part in parts[1:]:
-        candidates = candidates.unionByName(part)
-    return candidates.join(texts, key).filter(holds).drop("_low")
+    found = contained_terms(texts, phrases.select("term", "lang", "severity"), key, "_low")
+    return found.select(key, "term", "lang", "severity")
 
 
 def match_phrases(
@@ -97,6 +79,55 @@ def match_phrases(
     )
 
 
+#: The largest search window of a phrase word; the next word lies at most one place further.
+WIDEST_WINDOW = 8
+
+
+def match_phrases_adaptive(toks: DataFrame, sizes: DataFrame, phrases: DataFrame, base_gap: int = 2, key: str = "msg_id") -> DataFrame:
+    """Candidate matches of phrases with a window of their own for each word, for a phrase table of any size (M4).
+
+    ``sizes`` has (key, n_tokens); ``phrases`` the terms. Returns (key, term, start, end, gaps, strength), one row
+    for each place of a phrase's first word from which all later words are found at their nearest
+    places. It is a band join: phrase words meet tokens on the word, and then each other inside
+    the band of the widest window, from the last word back; what a chain has gathered (end, gaps,
+    penalties) is folded along. All steps share one partitioning by (message, phrase).
+    """
+    profile = phrase_profile(phrases.select(F.lower("term").alias("term")).distinct(), base_gap)
+    profile = profile.withColumn("mean", F.avg("importance").over(W.partitionBy("term")))
+    hits = lookup_join(toks.select(key, "pos", "token"), profile.withColumnRenamed("word", "token"), ["token"])
+    hits = hits.join(sizes.select(key, "n_tokens"), key)
+    window = (
+        F.when(F.col("n_tokens") < 10, F.col("window_short")).when(F.col("n_tokens") < 20, F.col("window_medium")).otherwise(F.col("window_long"))
+    )
+    hits = hits.select(key, "term", "n", "place", "pos", "n_tokens", "mean", "importance", window.alias("window"))
+    band = W.partitionBy(key, "term").orderBy("pos").rangeBetween(1, WIDEST_WINDOW + 1)
+    is_last = F.col("place") == F.col("n") - 1
+    chain = hits.withColumn("c", F.when(is_last, F.struct(F.col("pos").alias("end"), F.lit(0).alias("gaps"), F.lit(0.0).alias("pen"))))
+    longest = profile.agg(F.max("n")).first()[0] or 1
+    for place in range(longest - 2, -1, -1):
+        nearest = F.min(F.when(F.col("place") == place + 1, F.struct("pos", "window", "importance", "c"))).over(band)
+        gap = F.col("_next.pos") - F.col("pos") - 1
+        raw = F.least(gap * F.lit(0.15), F.lit(0.6)) + (F.lit(1.0) - F.col("_next.importance")) * 0.3
+        penalty = F.when(gap == 0, F.lit(0.0)).otherwise(F.least(raw, F.lit(0.8)))
+        linked = F.when(
+            (gap <= F.col("_next.window")) & F.col("_next.c").isNotNull(),
+            F.struct(F.col("_next.c.end").alias("end"), (F.col("_next.c.gaps") + gap).alias("gaps"), (F.col("_next.c.pen") + penalty).alias("pen")),
+        )
+        here = (F.col("place") == place) & (F.col("n") > place + 1)
+        chain = chain.withColumn("_next", nearest).withColumn("c", F.when(here, linked).otherwise(F.col("c"))).drop("_next")
+    n, size = F.col("n"), F.col("n_tokens")
+    span = F.col("c.end") - F.col("pos") + 1
+    edge = F.least(F.col("pos") / size, (size - F.col("c.end")) / size)
+    strength = (
+        n / span * 0.3 + F.col("mean") * 0.25 + (F.lit(1.0) - F.col("c.pen") / n) * 0.25 + (F.lit(1.0) - edge * 0.1) * 0.2
+        + F.least(n * F.lit(0.05), F.lit(0.15))
+    )
+    return chain.filter("place = 0 and c is not null").select(
+        key, "term", F.col("pos").alias("start"), F.col("c.end").alias("end"), F.col("c.gaps").alias("gaps"),
+        F.greatest(F.lit(0.1), F.least(strength, F.lit(1.0))).alias("strength"),
+    )
+
+
 def match_phrase_keys(df: DataFrame, phrases: DataFrame, key: str = "msg_id", words: str = "w") -> DataFrame:
     """Windows that hold the words of a phrase in any order, counted as (key, term, lang, n).
 
@@ -191,42 +222,6 @@ def resolve_overlaps(matches: DataFrame, key: str = "msg_id", threshold: float =
     return kept.select(key, "term", F.inline("_kept"))
 
 
-def match_patterns(df: DataFrame, patterns: DataFrame, key: str = "msg_id", text: str = "text") -> DataFrame:
-    """Occurrences per (message, pattern) with at least one hit, and the matched values in order (M6).
-
-    Patterns become literal expressions, compiled once per task, in chunks of
-    ``PATTERN_CHUNK``; each chunk is one scan without a shuffle.
-    """
-    out = None
-    chunk: list = []
-
-    def scan(rows: list) -> DataFrame:
-        low = F.lower(text)
-        hits = F.array(
-            *[
-                F.struct(
-                    F.lit(r.term).alias("pattern"), F.lit(r.lang).alias("lang"),
-                    pattern_hits(low, r.term).alias("values"),
-                )
-                for r in rows
-            ]
-        )
-        found = df.select(key, F.inline(F.filter(hits, lambda h: F.size(h["values"]) > 0)))
-        return found.withColumn("hits", F.size("values"))
-
-    for row in patterns.select("term", "lang").orderBy("lang", "term").toLocalIterator():
-        chunk.append(row)
-        if len(chunk) == PATTERN_CHUNK:
-            part = scan(chunk)
-            out, chunk = (part if out is None else out.unionByName(part)), []
-    if chunk or out is None:
-        part = scan(chunk) if chunk else df.select(
-            key, F.lit("").alias("pattern"), F.lit("").alias("lang"), F.array().cast("array<string>").alias("values"), F.lit(0).alias("hits")
-        ).filter(F.lit(False))
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
 def intent_keywords(
     df: DataFrame, indicators: DataFrame, key: str = "msg_id", tokens_col: str = "tokens",
     text: str = "norm", cap: float = 0.5,
@@ -238,18 +233,12 @@ def intent_keywords(
     )
     # one rule for every size: a keyword counts once in its group, an empty one never
     table = table.filter("_kw <> ''").groupBy("_group", "_kw").agg(F.max("_w").alias("_w"))
-    if fits(table, 2_000):
-        hit = F.array_contains(F.col(tokens_col), F.col("_kw")) | F.contains(F.col(text), F.col("_kw"))
-        found = df.select(key, tokens_col, text).join(F.broadcast(table), hit).select(key, "_w")
-    else:
-        terms = table.withColumn("_id", F.concat_ws("/", "_group", "_kw"))
-        as_phrase = terms.select(F.col("_kw").alias("term"), F.col("_id").alias("lang"), F.col("_w").cast("string").alias("severity"))
-        inside = match_substrings(df.select(key, F.col(text).alias("text")), as_phrase, key)
-        equal = lookup_join(
-            df.select(key, F.explode(F.array_distinct(tokens_col)).alias("term")), as_phrase, ["term"]
-        )
-        found = inside.unionByName(equal.select(*inside.columns)).distinct()
-        found = found.select(key, F.col("severity").cast("double").alias("_w"))
+    rows = df.withColumn("_row", F.xxhash64(text, tokens_col))
+    terms = table.withColumnRenamed("_kw", "term")
+    inside = contained_terms(rows.select(F.struct(key, "_row").alias("_id"), F.col(text).alias("_text")), terms, "_id", "_text")
+    equal = lookup_join(rows.select(F.struct(key, "_row").alias("_id"), F.explode(F.array_distinct(tokens_col)).alias("term")), terms, ["term"])
+    # a keyword that is both a token and a part of the text counts once
+    found = inside.unionByName(equal.select(*inside.columns)).distinct().select(F.col(f"_id.{key}").alias(key), "_w")
     return found.groupBy(key).agg(F.least(F.sum("_w"), F.lit(cap)).alias("intent_score"))
 
 

@@ -208,7 +208,11 @@ def score_category(
     df: DataFrame, categories: list[Category] | None = None, compound: Column | None = None, text: str = "text",
 ) -> DataFrame:
     """Adds categories, context, intent, risk_indicators, confidence, is_bullying, severity, explanation."""
-    out = _scored_categories(df, categories, compound, text)
+    return scored(_scored_categories(df, categories, compound, text), text)
+
+
+def scored(out: DataFrame, text: str = "text") -> DataFrame:
+    """Confidence, flag and severity from features and ``categories``, inline or joined."""
     cats, ctx, sent = F.col("categories"), F.col("_ctx"), F.col("_compound")
     out = computed(
         out,

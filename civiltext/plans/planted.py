@@ -37,8 +37,13 @@ LANG_NAMES = {"en": "english", "hi": "hindi", "mr": "marathi"}
 
 def planted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """msg_id, doc_id, ts, user_id, conv_id, lang, text."""
-    docs = read_table(spark, sf_dir, "documents", "doc_id").select("doc_id", "lang", "text")
-    snippets = spark.createDataFrame(SNIPPETS, "k int, mode string, snippet string")
+    return plant(read_table(spark, sf_dir, "documents", "doc_id"))
+
+
+def plant(documents: DataFrame) -> DataFrame:
+    """The same from a table or a stream of documents."""
+    docs = documents.select("doc_id", "lang", "text")
+    snippets = documents.sparkSession.createDataFrame(SNIPPETS, "k int, mode string, snippet string")
     # a fixed table of twenty rows
     both = docs.withColumn("k", (F.col("doc_id") % SNIPPET_CYCLE).cast("int")).join(F.broadcast(snippets), "k", "left")
     whole = F.when(F.col("mode") == "append", F.concat_ws(" ", "text", "snippet")).otherwise(F.col("text"))

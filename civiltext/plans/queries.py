@@ -14,8 +14,10 @@ from civiltext.functions.severity import sev_name, sev_rank
 from civiltext.operators import analytics as an
 from civiltext.operators import lexicon as lx
 from civiltext.operators import matching as mt
+from civiltext.operators.rule_patterns import quarantine
 from civiltext.operators.sentiment import sentiment
 from civiltext.operators.throttle import throttle
+from civiltext.operators.token_bucket import token_bucket
 from civiltext.plans import planted
 from civiltext.plans.category import add_features, category_scores, score_category
 from civiltext.plans.config_rules import indicator_languages, score_config
@@ -29,9 +31,11 @@ from civiltext.plans.oracles import (
     separators, shapes, sql, strip, values, CTES,
 )
 from civiltext.plans.planted import planted_messages
+from civiltext.plans.term_profiles import category_terms, score_category_table, score_legacy_table
 from civiltext.sources.readers import flatten_lexicon, read_table
+from civiltext.sources.storage import materialise
 from civiltext.sources.writers import export_lines, result_envelope
-from civiltext.streaming import streams
+from civiltext.streaming import stateful, streams
 from civiltext.values import rules, terms
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -525,6 +529,31 @@ def match_phrases_adaptive(spark, d):
     return out.withColumn("strength", r6("strength"))
 
 
+BAND_PHRASES = "kind = 'phrase' AND severity = 'high'"
+CTES["c_bandphr"] = f"SELECT DISTINCT term, 'x' AS lang FROM c_mined WHERE {BAND_PHRASES} UNION SELECT * FROM c_adphr"
+adaptive_ctes("c_bd", "c_tok", "c_adsize", "c_bandphr")
+
+
+def _band(spark, d) -> DataFrame:
+    """Matches of the example phrases and of every pair of words that ten documents have."""
+    phrases = planted.mined_terms(spark, d).filter(BAND_PHRASES).select("term")
+    phrases = materialise(phrases.union(spark.createDataFrame([(p,) for p in ADAPTIVE_PHRASES], "term string")).distinct(), "band-phrases")
+    w = msgs(spark, d).select("msg_id", tx.word_tokens("text").alias("w"))
+    toks = w.select("msg_id", F.posexplode("w").alias("pos", "token"))
+    return mt.match_phrases_adaptive(toks, w.select("msg_id", F.size("w").alias("n_tokens")), phrases)
+
+
+@register(
+    "match_phrases_band",
+    'SELECT msg_id, term, count(*) AS n, min(start) AS start, max("end") AS "end", sum(gaps)::BIGINT AS gaps, round(sum(strength), 6) AS strength FROM c_bdm GROUP BY ALL',
+)
+def match_phrases_band(spark, d):
+    return _band(spark, d).groupBy("msg_id", "term").agg(
+        F.count("*").alias("n"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("gaps").alias("gaps"),
+        F.round(F.sum("strength"), 6).alias("strength"),
+    )
+
+
 @register("resolve_overlaps", 'SELECT msg_id, term, start, "end", gaps, round(strength, 6) AS strength FROM c_adkept')
 def resolve_overlaps(spark, d):
     matches = _adaptive(spark, d).select("msg_id", "term", F.inline("m"))
@@ -536,6 +565,51 @@ def match_patterns(spark, d):
     return mt.match_patterns(msgs(spark, d), lx.multilingual_lexicon(spark).filter("kind = 'pattern'")).select("msg_id", "lang", "pattern", "hits")
 
 
+def phrase_patterns(spark, d) -> DataFrame:
+    """A pattern for each pair of longer ASCII words that three documents have, and some that do not compile."""
+    pairs = planted.mined_terms(spark, d).filter("kind = 'phrase' AND severity <> 'low' AND term RLIKE '^[a-z]{5,} [a-z]{5,}$'")
+    good = pairs.select(F.regexp_replace("term", " ", "[^a-z]{1,3}").alias("term"), "lang")
+    bad = pairs.filter("term LIKE 'a%'").select(F.concat(F.lit("("), "term").alias("term"), "lang")
+    return good.unionByName(bad).withColumn("kind", F.lit("pattern"))
+
+
+@register(
+    "match_patterns_indexed",
+    # a pattern ends a run of letters with its first word and begins the next run with its second
+    """WITH low AS (SELECT msg_id, lower(text) AS t FROM c_msgs),
+    runs AS (SELECT msg_id, regexp_extract_all(t, '[a-z]+') AS r, string_split_regex(t, '[a-z]+') AS g FROM low),
+    near AS (SELECT DISTINCT msg_id, r[i] AS a, r[i + 1] AS b FROM runs, unnest(range(1, len(r))) u(i)
+      WHERE length(g[i + 1]) BETWEEN 1 AND 3 AND length(r[i]) >= 5 AND length(r[i + 1]) >= 5),
+    ends AS (SELECT msg_id, right(a, k) AS x, b FROM near, unnest(range(5, length(a) + 1)) u(k)),
+    halves AS (SELECT msg_id, x, left(b, k) AS y FROM ends, unnest(range(5, length(b) + 1)) u(k))
+    SELECT DISTINCT msg_id, lang, replace(term, ' ', '[^a-z]{1,3}') AS pattern
+    FROM halves JOIN c_mined ON kind = 'phrase' AND severity <> 'low' AND term = x || ' ' || y""",
+)
+def match_patterns_indexed(spark, d):
+    return mt.match_patterns(msgs(spark, d), phrase_patterns(spark, d)).select("msg_id", "lang", "pattern")
+
+
+_FIRST = "coalesce(nullif(regexp_extract(lower(text), '[a-z]+', 0), ''), 'x')"
+
+
+@register(
+    "quarantine_rules",
+    f"""WITH r AS (
+      SELECT doc_id, 'pattern' AS kind, CASE doc_id % 4 WHEN 0 THEN '(' || w WHEN 1 THEN '[' || w WHEN 2 THEN w || '+' ELSE '(' || w || ')' END AS term FROM (SELECT doc_id, {_FIRST} AS w FROM documents)
+      UNION ALL SELECT doc_id, 'word', text FROM documents UNION ALL SELECT doc_id, lang, left(text, 9) FROM documents)
+    SELECT doc_id, kind, md5(term) AS term, CASE WHEN {blank('term')} THEN 'blank' WHEN kind NOT IN ('word', 'pattern') THEN 'unknown kind'
+      WHEN kind = 'word' AND length({strip('term')}) > 50 THEN 'too long' WHEN kind = 'pattern' AND doc_id % 4 < 2 THEN 'invalid expression' END AS reason FROM r""",
+)
+def quarantine_rules(spark, d):
+    docs = read_table(spark, d, "documents", "doc_id").withColumn("w", F.expr(_FIRST))
+    shapes_ = F.expr("CASE doc_id % 4 WHEN 0 THEN '(' || w WHEN 1 THEN '[' || w WHEN 2 THEN w || '+' ELSE '(' || w || ')' END")
+    parts = [(F.lit("pattern"), shapes_), (F.lit("word"), F.col("text")), (F.col("lang"), F.expr("left(text, 9)"))]
+    table = docs.select("doc_id", F.inline(F.array(*[F.struct(k.alias("kind"), t.alias("term")) for k, t in parts])))
+    valid, rejected = quarantine(table)
+    both = valid.withColumn("reason", F.lit(None).cast("string")).unionByName(rejected)
+    return both.select("doc_id", "kind", F.md5("term").alias("term"), "reason")
+
+
 @register("intent_keywords", "SELECT msg_id, round(intent_score, 6) AS intent_score FROM c_legint WHERE intent_score > 0")
 def intent_keywords(spark, d):
     rows = [(f"i{i}", k, s) for i, (kws, s) in enumerate(planted.INTENTS) for k in kws]
@@ -667,6 +741,18 @@ def score_category_query(spark, d):
     )
 
 
+@register(
+    "score_category_table",
+    "SELECT msg_id, round(confidence, 6) AS confidence, is_bullying, severity, n AS n_categories, round(ctx, 6) AS context, round(mi, 6) AS max_intent FROM c_catres",
+)
+def score_category_table_query(spark, d):
+    out = score_category_table(msgs(spark, d), category_terms(spark))
+    return out.select(
+        "msg_id", r6("confidence").alias("confidence"), "is_bullying", "severity", "n_categories",
+        r6("context.score").alias("context"), r6("max_intent").alias("max_intent"),
+    )
+
+
 @register(
     "explain",
     f"""SELECT msg_id, CASE WHEN NOT is_bullying THEN {lit(rules.SAFE_TEXT)} ELSE concat('Cyberbullying detected with ', severity, ' severity (',
@@ -713,6 +799,15 @@ def score_legacy_query(spark, d):
     return out.select("msg_id", r6("confidence").alias("confidence"), "is_bullying", "severity", "total_indicators")
 
 
+@register("score_legacy_table", "SELECT msg_id, round(confidence, 6) AS confidence, is_bullying, severity, total_indicators FROM c_legres")
+def score_legacy_table_query(spark, d):
+    known = LegacyRules()
+    rows = [(t, kind, known.severity.get(t)) for kind, ts in (("word", known.words), ("phrase", known.phrases)) for t in ts]
+    lex = spark.createDataFrame(rows, "term string, kind string, severity string")
+    out = score_legacy_table(msgs(spark, d), lex, intents=planted.INTENTS)
+    return out.select("msg_id", r6("confidence").alias("confidence"), "is_bullying", "severity", "total_indicators")
+
+
 @register(
     "ensemble",
     f"""SELECT msg_id, round(CASE WHEN sure THEN lc ELSE mixed END, 6) AS confidence, CASE WHEN sure THEN lf ELSE flag END AS is_bullying,
@@ -1003,6 +1098,48 @@ def throttle_query(spark, d):
     return throttle(read_table(spark, d, "events"), "user_id", "ts").select("user_id", "event_id")
 
 
+@register("throttle_state", _CHAIN.format(key="user_id"), recursive=True)
+def throttle_state(spark, d):
+    # event-time timers in the state store, then what the state still held
+    out = stateful.run_throttle_state(streams.stream_table(spark, d, "events"), "user_id")
+    return out.select("user_id", "event_id")
+
+
+@register(
+    "burst_bucket",
+    """WITH RECURSIVE e AS MATERIALIZED (SELECT event_type AS k, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+    r AS (SELECT k, i, event_id, t, 1800000000::BIGINT AS level FROM e WHERE i = 1
+      UNION ALL SELECT e.k, e.i, e.event_id, e.t, least(1800000000, greatest(0, r.level - 600000000) + e.t - r.t) FROM r JOIN e ON e.k = r.k AND e.i = r.i + 1)
+    SELECT event_id, k AS event_type, round(level / 600000000, 6) AS tokens, level < 600000000 AS over FROM r""",
+    recursive=True,
+)
+def burst_bucket(spark, d):
+    # five clients send all events; three tokens, one more every ten minutes
+    out = token_bucket(read_table(spark, d, "events"), "event_type", "ts", "event_id", 3, 1, 600)
+    return out.select("event_id", "event_type", r6("tokens").alias("tokens"), "over")
+
+
+@register(
+    "metrics_append",
+    "SELECT * FROM c_metrics WHERE strptime(window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)",
+)
+def metrics_append(spark, d):
+    # windows that the watermark has passed, an hour behind the latest event
+    closed, _ = stateful.run_append_metrics(streams.stream_table(spark, d, "events"), "1 hour")
+    return closed.select(stamp("window_start"), "n", "errors", r6("mean_latency").alias("mean_latency"))
+
+
+@register(
+    "running_counters",
+    """SELECT 'severity' AS counter, severity AS name, (floor(round(confidence, 6) * 10) * 10)::INT AS bucket, count(*) AS n, count(*) FILTER (WHERE is_bullying) AS flagged FROM c_catres GROUP BY ALL
+    UNION ALL SELECT 'category', category, NULL, count(*), count(*) FILTER (WHERE is_bullying) FROM c_catscore s JOIN c_catres r USING (msg_id) GROUP BY category""",
+)
+def running_counters(spark, d):
+    scored = score_category(planted.plant(streams.stream_table(spark, d, "documents")))
+    slim = scored.select("severity", r6("confidence").alias("confidence"), "is_bullying", "categories")
+    return stateful.run_counters(slim)[0]
+
+
 @register("throttle_hot", _CHAIN.format(key="event_type"), recursive=True)
 def throttle_hot(spark, d):
     # five keys hold all events: long chains per key
