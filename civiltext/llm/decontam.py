@@ -14,6 +14,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from civiltext.llm.arrowtext import slices
 
@@ -112,6 +113,11 @@ class Searcher:
         for n in sorted(starts):
             item = self.items[n]
             m, k, best = len(item.text), item.budget, None
+            if not k:  # a short item is a run of whole words, not a part of longer ones
+                at = next((s for s in sorted(starts[n]) if (not s or text[s - 1] == " ") and text[s + m : s + m + 1] in ("", " ")), None)
+                if at is not None:
+                    out.append((item.item_id, 0, 0, at, at + m))
+                continue
             for a, b in _windows(sorted(starts[n]), m, k, len(text)):
                 window = text[a:b]
                 at = window.find(item.text)
@@ -177,16 +183,20 @@ def contaminations(
 
     Row-local over the documents: one pass for each block of test items, nothing is shuffled, so a
     passage in a third of all documents costs no more than elsewhere. Null and empty texts contain
-    nothing; null and empty items are found nowhere; repeated rows and items give repeated results.
+    nothing; null and empty items are found nowhere; repeated rows and items give repeated results. An
+    item too short for an error must stand between gaps, so that ``cat`` is not in ``concatenates``.
     """
     spark = docs.sparkSession
-    id_type, item_type = docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
-    schema = f"id {id_type}, item {item_type}, distance long, budget long, match_start long, match_end long"
+    item_type = benchmark.schema[item_col].dataType
+    schema = f"id {docs.schema[id_col].dataType.simpleString()}, n long, distance long, budget long, match_start long, match_end long"
     plain = docs.select(F.col(id_col).alias("id"), F.col(text).cast("string").alias("text"))
-    arrow_item = pa.int64() if item_type in ("bigint", "int") else pa.string()
-    out = spark.createDataFrame([], schema)
+    numbered = StructType([StructField("n", LongType()), StructField("item", item_type)])
+    named = lambda found, items: found.join(F.broadcast(spark.createDataFrame([(n, i) for n, (i, _) in enumerate(items)], numbered)), "n")
+    columns = ["id", "item", "distance", "budget", "match_start", "match_end"]
+    out = named(spark.createDataFrame([], schema), []).select(*columns)
     for items in item_blocks(benchmark, item_col, item_text):
-        name, block = uuid.uuid4().hex, spark.sparkContext.broadcast(items)
+        # inside the tasks an item is its number, so that its id may have any type
+        name, block = uuid.uuid4().hex, spark.sparkContext.broadcast([(n, t) for n, (_, t) in enumerate(items)])
 
         def search(batches: Iterator[pa.RecordBatch], name=name, block=block) -> Iterator[pa.RecordBatch]:
             searcher = _searcher(name, block, rate)
@@ -199,11 +209,11 @@ def contaminations(
                             found.append(hit)
                 cols = list(zip(*found)) or [()] * 5
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(rows, pa.int64())), pa.array(cols[0], arrow_item), *(pa.array(c, pa.int64()) for c in cols[1:])],
-                    names=["id", "item", "distance", "budget", "match_start", "match_end"],
+                    [part.column("id").take(pa.array(rows, pa.int64())), *(pa.array(c, pa.int64()) for c in cols)],
+                    names=["id", "n", "distance", "budget", "match_start", "match_end"],
                 )
 
-        out = out.union(plain.mapInArrow(search, schema))
+        out = out.union(named(plain.mapInArrow(search, schema), items).select(*columns))
     return out.withColumnsRenamed({"id": id_col, "item": item_col})
 
 

@@ -342,9 +342,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", linkin
     The one with the smallest (id, text hash) stays, a null id counting as the smallest; of rows that are
     repeated with id and text one stays. Texts without words are in no group: all their rows stay.
     """
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit(""))).alias("h"))
-    marked = near_duplicates(docs.select(key.alias("_key"), F.col(text).alias("_text")), "_key", "_text", linking)
-    kept = marked.filter("kept").select(F.col("_key").alias("_kept"), "n_shingles").distinct()
-    found = docs.withColumn("_key", key).join(kept, F.col("_key").eqNullSafe(F.col("_kept")))
-    first = F.row_number().over(Window.partitionBy("_key").orderBy(F.lit(1)))
-    return found.withColumn("_n", first).filter("_n = 1 or n_shingles = 0").select(*docs.columns)
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    # the caller's row is one struct, so none of its names meets one of these
+    packed = docs.select(F.struct(*columns).alias("row"), F.struct(F.col(f"`{id_col}`").alias("id"), F.xxhash64(content).alias("h")).alias("key"), content.alias("text"))
+    worded = F.rlike("text", F.lit("[^ \\x09-\\x0D]"))
+    some = packed.filter(worded)
+    kept = near_duplicates(some.select("key", "text"), "key", "text", linking).filter("kept").select(F.col("key").alias("of")).distinct()
+    found = some.join(kept, F.col("key").eqNullSafe(F.col("of")))
+    # a filter on the first row alone lets every task drop a repeated row's others before they move
+    first = found.withColumn("n", F.row_number().over(Window.partitionBy("key").orderBy(F.lit(1)))).filter("n = 1")
+    return first.select("row.*").unionByName(packed.filter(~worded).select("row.*"))

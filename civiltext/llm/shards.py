@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from civiltext.operators.joins import lookup_join
 from civiltext.sources.storage import materialise
 
 #: Bits of the sort key that one round of probes tells apart: 4 096 probes for each open splitter.
@@ -112,7 +113,7 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
 
     The sort key is (hash of the text, hash of the id). Splitters come from ``find_splitters``; then every
     row moves once, to its ordering bucket (shard, key interval), where it is numbered; the rows of the
-    buckets before it, known from a count of at most some hundred thousand buckets, are added. A bucket
+    buckets before it, counted in the key table, are added. A bucket
     of one very frequent text is cut by the second key, so no task gets a whole hot group.
 
     A null text is empty (size 1). Null and repeated ids are rows like others; rows that are equal
@@ -120,36 +121,34 @@ def assign_shards(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text
     with the names of the new ones are replaced.
     """
     new = ["size", "text_crc32", "shard", "slot"]
-    rest = docs.drop(*[c for c in new if c in docs.columns and c not in (id_col, text)])
-    content = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    k1, k2 = keys(content, F.col(id_col))
-    keyed = materialise(rest.select(k1.alias("k1"), k2.alias("k2"), size_of(content).alias("size")), "shard-keys")
+    content = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
+    keep = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in new]
+    # the caller's row is one struct, so none of its names meets one of these
+    packed = docs.select(F.struct(*keep).alias("row"), F.col(f"`{id_col}`").alias("id"), content.alias("content"))
+    k1, k2 = keys(F.col("content"), F.col("id"))
+    size = size_of(F.col("content"))
+    keyed = materialise(packed.select(k1.alias("k1"), k2.alias("k2"), size.alias("size")), "shard-keys")
     splitters = find_splitters(keyed, shards, tolerance)
     shard = shard_of(F.col("k1"), F.col("k2"), splitters)
 
     total = keyed.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("s"), F.count(F.lit(1)).alias("n")).first()
     bits = min(BUCKET_BITS[1], max(BUCKET_BITS[0], math.ceil(math.log2(max(1, total["s"]) / BUCKET_BYTES + 1))))
     interval = F.shiftright("k1", KEY_BITS - bits)
-    crowded = HOT_TIMES * max(1, total["n"] >> bits)
+    crowded = max(HOT_TIMES * max(1, total["n"] >> bits), 100)
     # at most a third of the buckets can be crowded
-    hot = [r["b"] for r in keyed.groupBy(interval.alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > max(crowded, 100)).select("b").collect()]
-    finer = F.when(interval.isin(hot), F.shiftright("k2", KEY_BITS - HOT_BITS)).otherwise(F.lit(0)) if hot else F.lit(0)
-    bucket = F.struct(shard.alias("s"), interval.alias("b"), finer.cast("long").alias("f"))
-    counts = keyed.groupBy(bucket.alias("_bucket")).agg(F.count(F.lit(1)).alias("n")).collect()
-    before, offsets = {}, []
-    for r in sorted(counts, key=lambda r: tuple(r["_bucket"])):
-        s = r["_bucket"]["s"]
-        offsets.append((s, r["_bucket"]["b"], r["_bucket"]["f"], before.get(s, 0)))
-        before[s] = before.get(s, 0) + r["n"]
-    spark = docs.sparkSession
-    starts = spark.createDataFrame(offsets, "_s int, _b long, _f long, _start long")
-
-    placed = rest.withColumns(
-        {"k1": k1, "k2": k2, "size": size_of(content), "text_crc32": F.crc32(F.encode(content, "UTF-8")).cast("long")}
-        | {"_id": F.col(id_col)}
-    ).withColumns({"shard": shard, "_b": interval, "_f": finer.cast("long")})
-    within = Window.partitionBy("shard", "_b", "_f").orderBy("k1", "k2", "_id")
-    numbered = placed.withColumn("_row", F.row_number().over(within).cast("long") - 1)
-    out = numbered.join(F.broadcast(starts.withColumnRenamed("_s", "shard")), ["shard", "_b", "_f"], "left")
-    keep = [c for c in rest.columns if c not in new]
-    return out.select(*keep, "size", "text_crc32", "shard", (F.col("_row") + F.col("_start")).alias("slot"))
+    hot = keyed.groupBy(interval.alias("b")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowded).select("b", F.lit(True).alias("hot"))
+    hot = materialise(hot, "shard-crowded")
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        known = lookup_join(rows.withColumns({"shard": shard, "b": interval}), hot, ["b"], "left")
+        return known.withColumn("f", F.when(F.col("hot"), F.shiftright("k2", KEY_BITS - HOT_BITS)).otherwise(F.lit(0)).cast("long")).drop("hot")
+
+    counts = bucketed(keyed).groupBy("shard", "b", "f").agg(F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("shard").orderBy("b", "f").rowsBetween(Window.unboundedPreceding, -1)
+    starts = materialise(counts.withColumn("start", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n"), "shard-starts")
+
+    placed = packed.withColumns({"k1": k1, "k2": k2, "size": size, "text_crc32": F.crc32(F.encode("content", "UTF-8")).cast("long")}).drop("content")
+    within = Window.partitionBy("shard", "b", "f").orderBy("k1", "k2", "id")
+    numbered = bucketed(placed).withColumn("place", F.row_number().over(within).cast("long") - 1)
+    out = lookup_join(numbered, starts, ["shard", "b", "f"], "left")
+    return out.select("row.*", "size", "text_crc32", "shard", (F.col("place") + F.col("start")).alias("slot"))
