@@ -3,10 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from civiltext.functions.severity import sev_name, sev_rank, severity_band
+from civiltext.operators.ordered import ROWS_PER_RANGE, PageIndex, free_name, page_index
 from civiltext.values import rules
 
 SWEEP = [0.1, 0.3, 0.5, 0.7, 0.9]
@@ -133,58 +133,33 @@ def apply_modes(results: DataFrame) -> DataFrame:
     return out
 
 
-def paginate(df: DataFrame, order_by: list[str], page: int, page_size: int) -> DataFrame:
-    """One page with paging facts on every row (Q9).
-
-    The page is a distributed top-k (only ``page * page_size`` rows leave a task);
-    the total is a one-row aggregate.
-    """
-    rows = df.orderBy(*order_by).offset((page - 1) * page_size).limit(page_size)
-    total = df.agg(F.count("*").alias("total_items"))
-    facts = total.withColumn("total_pages", F.ceil(F.col("total_items") / page_size).cast("bigint"))
-    # one row by construction, so this broadcast is bounded
-    out = rows.join(F.broadcast(facts))
-    return out.withColumns(
-        {
-            "page": F.lit(page),
-            "has_next": F.lit(page) < F.col("total_pages"),
-            "has_prev": F.lit(page > 1),
-        }
-    )
+#: Rows that a task may hand on for a page; deeper pages are read from an index.
+SHALLOW_ROWS = 100_000
 
 
-def _bucket(column: Column, bounds: list) -> Column:
-    """Index of the range a value falls into, as a balanced tree of comparisons."""
-    def tree(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(column <= bounds[mid], tree(lo, mid)).otherwise(tree(mid + 1, hi))
-
-    return tree(0, len(bounds))
-
-
-def global_row_number(df: DataFrame, order_by: str, rows_per_bucket: int = 2_000_000, max_buckets: int = 512) -> DataFrame:
-    """Adds ``rn``, the 1-based rank by a unique numeric key, without a single-task sort.
+def paginate(df: DataFrame, order_by: list[str], page: int, page_size: int, index: PageIndex | None = None) -> DataFrame:
+    """One page with paging facts on every row (Q9).
 
-    The key range is cut at approximate quantiles. A small table of bucket counts
-    gives each bucket its offset; ranks are then computed per bucket in parallel.
-    ``df`` is read several times: pass the key and what is cheap to carry.
+    The first pages are a distributed top-k. A page further down is read from an order-statistic index,
+    the given one or a new one: only the ranges that hold it are read, wherever it lies. Rows that are
+    equal in ``order_by`` come in any order, nulls first.
     """
-    n = df.count()
-    buckets = max(2, min(max_buckets, n // rows_per_bucket + 1))
-    cuts = df.agg(F.percentile_approx(order_by, [i / buckets for i in range(1, buckets)], 10_000)).first()[0] or []
-    ranged = df.withColumn("_bucket", _bucket(F.col(order_by), sorted(set(cuts))))
-    counts = ranged.groupBy("_bucket").agg(F.count("*").alias("_n"))
-    # at most max_buckets rows: one small task is enough and the broadcast is bounded
-    before = W.orderBy("_bucket").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = F.row_number().over(W.partitionBy("_bucket").orderBy(order_by))
-    return (
-        ranged.join(F.broadcast(offsets), "_bucket")
-        .withColumn("rn", F.col("_before") + inside)
-        .drop("_bucket", "_before")
-    )
+    if index is None and page * page_size > SHALLOW_ROWS:
+        index = page_index(df, order_by)
+    if index is None:
+        rows = df.orderBy(*order_by).offset((page - 1) * page_size).limit(page_size)
+        total = df.count()
+    else:
+        number = free_name(df.columns, "_rn")
+        rows, total = index.page(page, page_size, number).drop(number), index.total
+    pages = -(-total // page_size)
+    facts = {"total_items": F.lit(total).cast("long"), "total_pages": F.lit(pages).cast("long"), "page": F.lit(page), "has_next": F.lit(page < pages), "has_prev": F.lit(page > 1)}
+    return rows.withColumns(facts)
+
+
+def global_row_number(df: DataFrame, order_by: str, rows_per_bucket: int = ROWS_PER_RANGE) -> DataFrame:
+    """Adds ``rn``, the 1-based rank by a key, without a single-task sort; nulls come first, equal keys in any order."""
+    return page_index(df, [order_by], rows_per_bucket).numbered("rn")
 
 
 def assign_batches(df: DataFrame, order_by: str, size: int = rules.BATCH_SIZE) -> DataFrame:

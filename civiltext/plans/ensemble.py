@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiltext.functions.severity import reduce_short, sev_name, sev_rank
+from civiltext.functions.severity import explain, reduce_short, sev_name, sev_rank
 
 VERDICT_SCHEMA = (
     "is_bullying boolean, confidence double, severity string, primary_category string, "
@@ -40,6 +40,7 @@ def parse_verdicts(df: DataFrame, raw_col: str = "raw", fallback: str = "categor
         conf = F.when(high, 0.8).when(medium, 0.6).when(mild, 0.4).when(flag, 0.6).otherwise(0.0)
         level = F.when(high, "high").when(medium, "medium").when(mild, "low").otherwise("none")
     clamped = F.least(F.greatest(F.coalesce("_v.confidence", F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    none = F.array().cast("array<string>")
     pick = lambda field, default: F.coalesce(F.col(f"_v.{field}"), F.lit(default))
     return out.withColumns(
         {
@@ -49,6 +50,9 @@ def parse_verdicts(df: DataFrame, raw_col: str = "raw", fallback: str = "categor
             "v_severity": F.when(bad, level).otherwise(pick("severity", "none")),
             "v_category": F.when(bad, "other").otherwise(pick("primary_category", "other")),
             "v_action": F.when(bad, "ignore").otherwise(pick("recommended_action", "ignore")),
+            "v_patterns": F.when(bad, none).otherwise(F.coalesce("_v.detected_patterns", none)),
+            "v_risks": F.when(bad, none).otherwise(F.coalesce("_v.risk_factors", none)),
+            "v_reasoning": F.when(bad, "").otherwise(pick("reasoning", "")),
         }
     ).drop("_v")
 
@@ -66,9 +70,13 @@ def ensemble(
     Blank texts keep their local result; no verdict is consulted. Where the local profile lowers the
     confidence of short texts, the weights and the threshold see the value before, and the combined
     value is lowered instead.
+
+    Where the local result has categories, the verdict's own one is appended to them and its risk
+    factors to the risk indicators; ``reasoning`` and ``action`` are the verdict's, and the explanation is
+    written anew from the combined result.
     """
     narrow = verdicts.select(
-        F.col(key).alias("_key"), "v_is_bullying", "v_confidence", "v_severity", "v_action"
+        F.col(key).alias("_key"), "v_is_bullying", "v_confidence", "v_severity", "v_action", "v_category", "v_risks", "v_reasoning"
     )
     blank = F.col("detection_method") == "empty_text" if "detection_method" in local.columns else F.lit(False)
     lc = F.col("confidence_unreduced" if "confidence_unreduced" in local.columns else "confidence")
@@ -96,14 +104,27 @@ def ensemble(
         method = "enhanced_combined"
     inner = ("confidence", "is_bullying", "severity", "detection_method", "confidence_unreduced", "is_short")
     cols = [c for c in local.columns if c not in inner]
-    return both.select(
+    out = both.select(
         *cols,
         F.when(used, reduce_short(mixed, short)).otherwise(F.col("confidence")).alias("confidence"),
         F.when(used, flag).otherwise(F.col("is_bullying")).alias("is_bullying"),
         F.when(used, level).otherwise(F.col("severity")).alias("severity"),
         F.when(used, F.lit(method)).otherwise("local").alias("method"),
         F.when(used & F.col("v_action").isNotNull(), F.col("v_action")).otherwise("warn").alias("action"),
+        F.when(used, F.coalesce("v_reasoning", F.lit(""))).otherwise("").alias("reasoning"),
+        *[F.when(used, F.col(c)).alias(f"_{c}") for c in ("v_category", "v_risks", "v_confidence", "v_severity")],
     )
+    if "categories" in local.columns:
+        kind = local.schema["categories"].dataType.elementType
+        own = F.struct(
+            F.col("_v_category").alias("category"), F.array().cast("array<string>").alias("items"), F.col("_v_confidence").alias("score"), F.col("_v_severity").alias("severity")
+        ).cast(kind)
+        named = F.col("_v_category").isNotNull() & (F.col("_v_category") != "other")
+        risks = F.concat("risk_indicators", F.coalesce("_v_risks", F.array().cast("array<string>")))
+        out = out.withColumns({"categories": F.when(named, F.array_append("categories", own)).otherwise(F.col("categories")), "risk_indicators": risks})
+        names = F.transform("categories", lambda c: c["category"])
+        out = out.withColumns({"n_categories": F.size("categories"), "explanation": explain(F.col("is_bullying"), F.col("severity"), F.col("confidence"), names, F.col("action"))})
+    return out.drop("_v_category", "_v_risks", "_v_confidence", "_v_severity")
 
 
 def model_verdicts(df: DataFrame, predict, key: str = "msg_id", text: str = "text") -> DataFrame:

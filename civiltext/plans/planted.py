@@ -25,7 +25,7 @@ SNIPPETS = [
 ]
 SNIPPET_CYCLE = 24
 VERDICTS = [
-    '{"is_bullying": true, "confidence": 0.85, "severity": "high", "primary_category": "direct_insults", "recommended_action": "warn"}',
+    '{"is_bullying": true, "confidence": 0.85, "severity": "high", "primary_category": "direct_insults", "risk_factors": ["aggressive_language"], "reasoning": "insults", "recommended_action": "escalate"}',
     '{"is_bullying": true, "confidence": 1.7, "severity": "medium", "primary_category": "threats", "recommended_action": "block"}',
     "this is bullying of medium severity",
     "{}",

@@ -14,6 +14,7 @@ from civiltext.functions.severity import sev_name, sev_rank
 from civiltext.operators import analytics as an
 from civiltext.operators import lexicon as lx
 from civiltext.operators import matching as mt
+from civiltext.operators.ordered import page_index
 from civiltext.operators.rule_patterns import quarantine
 from civiltext.operators.sentiment import sentiment
 from civiltext.operators.throttle import throttle
@@ -116,12 +117,12 @@ def lexicon_flatten(spark, d):
 
 @register("parse_verdicts", "SELECT * FROM c_verdict")
 def parse_verdicts_query(spark, d):
-    return parse_verdicts(planted.raw_verdicts(spark, d)).drop("raw")
+    return parse_verdicts(planted.raw_verdicts(spark, d)).drop("raw", "v_patterns", "v_risks", "v_reasoning")
 
 
 @register("parse_verdicts_legacy", "SELECT * FROM c_verdict1")
 def parse_verdicts_legacy(spark, d):
-    return parse_verdicts(planted.raw_verdicts(spark, d), fallback="legacy").drop("raw")
+    return parse_verdicts(planted.raw_verdicts(spark, d), fallback="legacy").drop("raw", "v_patterns", "v_risks", "v_reasoning")
 
 
 @register(
@@ -177,11 +178,13 @@ def lexicon_language(spark, d):
     m AS (SELECT lang, kind, term, arg_max(severity, prio) FILTER (WHERE severity IS NOT NULL) AS severity,
                  CASE WHEN min(prio) = 0 THEN 'shipped' ELSE 'mined' END AS origin FROM u GROUP BY ALL),
     l AS (SELECT lang, term, severity AS level FROM m WHERE kind = 'severity')
-    SELECT m.term, m.kind, m.lang, coalesce(l.level, m.severity) AS severity, m.origin FROM m LEFT JOIN l USING (lang, term)""",
+    SELECT m.lang, m.kind, m.origin, coalesce(l.level, m.severity) AS severity, count(*) AS n, sum(('0x' || left(md5(m.term), 8))::BIGINT)::BIGINT AS terms
+    FROM m LEFT JOIN l USING (lang, term) GROUP BY ALL""",
 )
 def lexicon_merge(spark, d):
     merged = lx.merge_lexicons(lx.packaged_lexicon(spark), planted.mined_with_levels(spark, d))
-    return merged.select("term", "kind", "lang", "severity", "origin")
+    digest_ = F.sum(F.conv(F.left(F.md5("term"), F.lit(8)), 16, 10).cast("long"))  # the same in any order
+    return merged.groupBy("lang", "kind", "origin", "severity").agg(F.count("*").alias("n"), digest_.alias("terms"))
 
 
 def _raw_suggestions(spark, d):
@@ -824,22 +827,39 @@ def ensemble_query(spark, d):
     return out.select("msg_id", r6("confidence").alias("confidence"), "is_bullying", "severity", "method", "action")
 
 
-@register(
-    "ensemble_adaptive",
-    f"""SELECT msg_id, round(CASE WHEN NOT used THEN reduced WHEN short AND mixed > 0.5 THEN mixed * 0.8 ELSE mixed END, 6) AS confidence,
+ENSEMBLE = f"""SELECT msg_id, CASE WHEN NOT used THEN reduced WHEN short AND mixed > 0.5 THEN mixed * 0.8 ELSE mixed END AS confidence, names, n, used, v_category, v_action,
     CASE WHEN used THEN flag ELSE lf END AS is_bullying, CASE WHEN used THEN {name('greatest(lr, vr)')} ELSE ls END AS severity FROM (
     SELECT *, CASE WHEN lc >= 0.5 THEN lf ELSE mixed >= 0.5 OR lf OR v_is_bullying END AS flag FROM (
-      SELECT l.msg_id, l.unreduced AS lc, l.confidence AS reduced, l.short, l.is_bullying AS lf, l.severity AS ls, v.v_is_bullying,
+      SELECT l.msg_id, l.unreduced AS lc, l.confidence AS reduced, l.short, l.is_bullying AS lf, l.names, l.n, v.v_category, v.v_action, l.severity AS ls, v.v_is_bullying,
         NOT (l.is_blank OR l.unreduced >= 0.7 OR l.is_bullying) AND v.v_confidence > 0 AS used,
         l.unreduced * (CASE WHEN l.unreduced > 0.8 THEN 0.7 WHEN v.v_confidence > 0.8 THEN 0.3 ELSE 0.5 END)
         + v.v_confidence * (CASE WHEN l.unreduced > 0.8 THEN 0.3 WHEN v.v_confidence > 0.8 THEN 0.7 ELSE 0.5 END) AS mixed,
-        {rank('l.severity')} AS lr, {rank('v.v_severity')} AS vr FROM c_catres l JOIN c_verdict v USING (msg_id)))""",
-)
+        {rank('l.severity')} AS lr, {rank('v.v_severity')} AS vr FROM c_catres l JOIN c_verdict v USING (msg_id)))"""
+CTES["c_both"] = ENSEMBLE
+
+
+@register("ensemble_adaptive", "SELECT msg_id, round(confidence, 6) AS confidence, is_bullying, severity FROM c_both")
 def ensemble_adaptive(spark, d):
     out = ensemble(score_category(msgs(spark, d)), parse_verdicts(planted.raw_verdicts(spark, d)), policy="adaptive")
     return out.select("msg_id", r6("confidence").alias("confidence"), "is_bullying", "severity")
 
 
+@register(
+    "ensemble_explain",
+    f"""SELECT msg_id, action, n_categories, n_risks, CASE WHEN NOT is_bullying THEN {lit(rules.SAFE_TEXT)} ELSE concat('Cyberbullying detected with ', severity, ' severity (',
+      round_even(confidence * 100, 0)::INT, '% confidence).', CASE WHEN names <> '' THEN concat(' Detected categories: ', names, '.') ELSE '' END,
+      CASE action WHEN 'block' THEN ' Immediate action recommended.' WHEN 'escalate' THEN ' Consider escalating to human moderator.' ELSE '' END) END AS explanation
+    FROM (SELECT b.msg_id, confidence, is_bullying, severity, CASE WHEN used THEN v_action ELSE 'warn' END AS action,
+      coalesce(n, 0) + CASE WHEN used AND v_category <> 'other' THEN 1 ELSE 0 END AS n_categories,
+      CASE WHEN used AND m.doc_id % {len(planted.VERDICTS) + 1} = 0 THEN 1 ELSE 0 END AS n_risks,
+      concat_ws(', ', names, CASE WHEN used AND v_category <> 'other' THEN v_category END) AS names FROM c_both b JOIN c_msgs m USING (msg_id))""",
+)
+def ensemble_explain(spark, d):
+    out = ensemble(score_category(msgs(spark, d)), parse_verdicts(planted.raw_verdicts(spark, d)), policy="adaptive")
+    given = F.size(F.filter("risk_indicators", lambda x: x == "aggressive_language"))
+    return out.select("msg_id", "action", "n_categories", given.alias("n_risks"), "explanation")
+
+
 @register(
     "language_categories",
     """SELECT d.msg_id, CASE d.lang WHEN 'english' THEN 'direct_insults' ELSE concat(d.lang, '_profanity') END AS category, count(*) AS n_items, 0.5 AS score, s.severity
@@ -950,6 +970,16 @@ def paginate(spark, d):
     return an.paginate(scored, ["msg_id"], 3, 50)
 
 
+@register(
+    "page_index",
+    "SELECT msg_id, round(confidence, 6) AS confidence, row_number() OVER (ORDER BY round(confidence, 6) DESC, msg_id) AS rn FROM c_score",
+)
+def page_index_query(spark, d):
+    # the whole table numbered by falling confidence, from ranges of some hundred rows
+    scored = score_multilingual(msgs(spark, d)).select("msg_id", r6("confidence").alias("confidence"))
+    return page_index(materialise(scored, "scored"), [F.desc("confidence"), "msg_id"], 300).numbered()
+
+
 @register(
     "duplicate_share",
     """SELECT sum(n)::BIGINT AS total, count(*) AS distinct_texts, max(n) AS largest_group, round((sum(n) - count(*)) / sum(n), 6) AS duplicate_share
