@@ -14,6 +14,7 @@ from civiltext.functions.severity import sev_name, sev_rank
 from civiltext.operators import analytics as an
 from civiltext.operators import lexicon as lx
 from civiltext.operators import matching as mt
+from civiltext.operators import sketches as sk
 from civiltext.operators.ordered import page_index
 from civiltext.operators.rule_patterns import quarantine
 from civiltext.operators.sentiment import sentiment
@@ -914,7 +915,10 @@ def detection_breakdown(spark, d):
     return an.detection_breakdown(score_multilingual(msgs(spark, d)))
 
 
-@register("top_terms", "SELECT value AS term, count(*) AS n FROM c_det WHERE type <> 'pattern' GROUP BY value ORDER BY n DESC, term LIMIT 10")
+TOP_TERMS_SQL = "SELECT value AS term, count(*) AS n FROM c_det WHERE type <> 'pattern' GROUP BY value ORDER BY n DESC, term LIMIT 10"
+
+
+@register("top_terms", TOP_TERMS_SQL)
 def top_terms(spark, d):
     return an.top_terms(score_multilingual(msgs(spark, d)))
 
@@ -960,6 +964,29 @@ def threshold_sweep(spark, d):
     return an.threshold_sweep(_scored_docs(spark, d), read_table(spark, d, "labels"))
 
 
+@register(
+    "sketched_days",
+    """SELECT strftime(ts, '%Y-%m-%d') AS day, count(text) AS n, true AS close FROM c_msgs GROUP BY 1
+    UNION ALL SELECT 'all', count(text), true FROM c_msgs""",
+)
+def sketched_days(spark, d):
+    # each day's stored state and the states merged, held against the exact numbers of distinct texts
+    m = msgs(spark, d)
+    days = materialise(sk.daily_texts(m), "daily-texts")
+    each = days.select(F.date_format("day", "yyyy-MM-dd").alias("day"), "n", F.hll_sketch_estimate("texts").alias("guess"))
+    every = sk.duplicate_report(days).select(F.lit("all").alias("day"), "n", F.col("distinct_texts").alias("guess"))
+    texts = m.select(F.date_format("ts", "yyyy-MM-dd").alias("day"), F.md5("text").alias("h")).distinct()
+    exact = texts.groupBy("day").agg(F.count("h").alias("exact")).unionByName(texts.agg(F.lit("all").alias("day"), F.countDistinct("h").alias("exact")))
+    off = F.abs(F.col("guess") - F.col("exact")) <= F.ceil(F.col("exact") * (5 * sk.HLL_ERROR))
+    return each.unionByName(every).join(exact, "day").select("day", "n", off.alias("close"))
+
+
+@register("sketched_top_terms", TOP_TERMS_SQL)
+def sketched_top_terms(spark, d):
+    days = materialise(sk.daily_terms(score_multilingual(msgs(spark, d))), "daily-terms")
+    return sk.top_terms_of(days)
+
+
 @register(
     "paginate",
     """SELECT msg_id, round(confidence, 6) AS confidence, n.total_items, ceil(n.total_items / 50)::BIGINT AS total_pages, 3 AS page, 3 < ceil(n.total_items / 50) AS has_next, true AS has_prev
