@@ -17,6 +17,7 @@ from civiltext.operators.joins import lookup_join
 from civiltext.operators.lexicon import phrase_key, phrase_profile
 from civiltext.operators.rule_patterns import match_patterns
 from civiltext.operators.substrings import contained_terms
+from civiltext.sources.storage import materialise
 
 
 def tokens(df: DataFrame, key: str = "msg_id", text: str = "text", token_column: Column | None = None) -> DataFrame:
@@ -249,11 +250,11 @@ def score_unique(df: DataFrame, scorer, key: str = "msg_id", text: str = "text",
     (there are at most rows/hot of them) are split over salts on both sides.
     """
     hashed = df.select(key, F.md5(text).alias("h"), text)
-    unique = hashed.groupBy("h").agg(F.first(text).alias(text), F.count("*").alias("_copies"))
+    # grouped once; both sides read the written table
+    unique = materialise(hashed.groupBy("h").agg(F.first(text).alias(text), F.count("*").alias("_copies")), "unique-texts")
     parts = F.ceil(F.col("_copies") / hot).cast("int")
     scored = scorer(unique).drop(text).withColumn("_salt", F.explode(F.sequence(F.lit(0), parts - 1)))
-    # counted from the texts alone: the scorer is not involved
-    heavy = hashed.groupBy("h").agg(F.count("*").alias("_copies")).select("h", parts.alias("_parts")).filter("_parts > 1")
+    heavy = unique.select("h", parts.alias("_parts")).filter("_parts > 1")
     keys = lookup_join(hashed.select(key, "h"), heavy, ["h"], "left")
     keys = keys.withColumn(
         "_salt", F.pmod(F.xxhash64(key), F.coalesce("_parts", F.lit(1)).cast("bigint")).cast("int")

@@ -26,7 +26,7 @@ from civiltext.plans.config_rules import indicator_languages, score_config
 from civiltext.plans.ensemble import ensemble, parse_verdicts
 from civiltext.plans.legacy import LegacyRules, score_legacy
 from civiltext.plans.multilingual import (
-    all_detections, detect_languages, language_categories, score_multilingual,
+    detect_languages, language_categories, score_multilingual,
 )
 from civiltext.plans.oracles import (
     NSP, W, adaptive_ctes, any_contains, blank, edges, leet, lit, n_words, name, one_of, punct, rank, rewrite,
@@ -629,10 +629,11 @@ def score_unique(spark, d):
     return out.select("msg_id", r6("confidence").alias("confidence"), "is_bullying", "severity", "n_detections")
 
 
-@register("unmatched_messages", "SELECT msg_id, 0.0 AS confidence, 'none' AS severity FROM c_msgs WHERE msg_id NOT IN (SELECT msg_id FROM c_alldet)")
+@register("unmatched_messages", "SELECT msg_id, 0.0 AS confidence, 'none' AS severity FROM c_msgs WHERE msg_id NOT IN (SELECT msg_id FROM c_det)")
 def unmatched_messages(spark, d):
+    # a hit that the language gate closes is no detection
     m = msgs(spark, d)
-    left = mt.unmatched(m, all_detections(m, lx.multilingual_lexicon(spark)))
+    left = mt.unmatched(m, score_multilingual(m).select("msg_id", F.explode("detections")))
     return left.select("msg_id", F.lit(0.0).alias("confidence"), F.lit("none").alias("severity"))
 
 
@@ -1088,6 +1089,16 @@ def rate_limit(spark, d):
     return out.select(stamp("window_start"), "user_id", "n")
 
 
+@register(
+    "rate_limit_stream",
+    f"SELECT * FROM (SELECT {bucket(3600)} AS window_start, user_id, count(*) AS n FROM events GROUP BY ALL) WHERE n > 1 AND strptime(window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)",
+)
+def rate_limit_stream(spark, d):
+    # an hour's window leaves when the watermark, an hour behind, has passed it
+    out = streams.run_append(streams.rate_limit(streams.stream_table(spark, d, "events"), "user_id", "1 hour", 1), "rate-limit")
+    return out.select(stamp("window_start"), "user_id", "n")
+
+
 @register(
     "burst_limit",
     """SELECT strftime(w, '%Y-%m-%d %H:%M:%S') AS window_start, event_type, count(*) AS n FROM (
@@ -1129,6 +1140,16 @@ def alerts(spark, d):
     return streams.alerts(metrics, 4, 60).select(stamp("window_start"), "n", "errors", "mean_latency", "reason")
 
 
+@register(
+    "alerts_stream",
+    """SELECT *, concat_ws('+', CASE WHEN errors > 4 THEN 'errors' END, CASE WHEN mean_latency > 60 THEN 'latency' END) AS reason FROM c_metrics
+    WHERE (errors > 4 OR mean_latency > 60) AND strptime(window_start, '%Y-%m-%d %H:%M:%S') + INTERVAL 2 HOUR <= (SELECT max(ts) FROM events)""",
+)
+def alerts_stream(spark, d):
+    metrics = streams.window_metrics(streams.stream_table(spark, d, "events"), "1 hour").withColumn("mean_latency", r6("mean_latency"))
+    return streams.run_append(streams.alerts(metrics, 4, 60), "alerts").select(stamp("window_start"), "n", "errors", "mean_latency", "reason")
+
+
 @register(
     "running_stats",
     "SELECT severity, (floor(round(confidence, 6) * 10) * 10)::INT AS bucket, count(*) AS n, count(*) FILTER (WHERE is_bullying) AS flagged FROM c_vscore GROUP BY ALL"
