@@ -8,6 +8,7 @@ boundaries and types together. It is fitted by gradient steps on the exact log-l
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -32,6 +33,8 @@ SAMPLE_DOCS = 200
 SAMPLE_STRETCHES = 300
 MADE_UP = 60
 EPOCHS = 6
+#: Tokens whose candidates are held at once.
+BLOCK = 2000
 RATE = 0.3
 SEED = 3
 
@@ -135,22 +138,23 @@ class Lattice:
     by_end: list[np.ndarray]
 
 
-def lattice(text: str) -> Lattice:
-    """Candidates begin with a letter, digit, + or (, end with a letter or digit, and hold a digit or @."""
-    found = list(_TOKEN.finditer(text))
-    spans = [m.span() for m in found]
-    tokens = [m.group() for m in found]
+def candidates(tokens: list[str], glued: list[bool], at: int, lo: int, hi: int) -> tuple[list[int], list[int], list[list[int]]]:
+    """(begins, ends, feature rows) of the segments that begin at tokens ``lo`` to ``hi`` of a stretch.
+
+    ``tokens`` and ``glued`` (no gap before it) are a window of the stretch from its token ``at`` on, with the
+    two tokens before ``lo`` and those that a segment and its neighbour reach beyond ``hi``.
+    """
     kinds = [token_class(t) for t in tokens]
-    glued = [i > 0 and spans[i][0] == spans[i - 1][1] for i in range(len(spans))] + [False]
     digits = [sum(c.isdecimal() for c in t) for t in tokens]
     begin, end, rows = [], [], []
-    for i, first in enumerate(tokens):
+    for i in range(lo - at, hi - at):
+        first = tokens[i]
         if not (first.isalnum() or first in "+("):
             continue
         shape, plain, n_digits, marks, gaps = [], [], 0, 0, 0
         left = kinds[i - 1] if i and glued[i] else "_"
-        before = tokens[i - 1].lower()[:12] if i else "^"
-        before2 = tokens[i - 2].lower()[:12] if i > 1 else "^"
+        before = tokens[i - 1].lower()[:12] if i + at else "^"
+        before2 = tokens[i - 2].lower()[:12] if i + at > 1 else "^"
         for j in range(i, min(len(tokens), i + LONGEST)):
             if j > i and not glued[j]:
                 gaps += 1
@@ -165,8 +169,8 @@ def lattice(text: str) -> Lattice:
             right = kinds[j + 1] if j + 1 < len(tokens) and glued[j + 1] else "_"
             number = "".join(c for t in tokens[i : j + 1] for c in t if c.isdecimal() and c.isascii()) if n_digits <= 20 and n_digits >= 13 else ""
             parts = [t for t in tokens[i : j + 1] if t.isdecimal()]
-            begin.append(i)
-            end.append(j + 1)
+            begin.append(i + at)
+            end.append(j + 1 + at)
             rows.append(
                 [
                     _row("bias"), _row("shape", *shape), _row("plain", *plain), _row("digits", min(n_digits, 20), gaps > 0),
@@ -176,11 +180,30 @@ def lattice(text: str) -> Lattice:
                     _row("size", j - i, kinds[i], kinds[j]), _row("sides", left, right, kinds[i][:1]),
                 ]
             )
+    return begin, end, rows
+
+
+def token_bounds(text: str) -> np.ndarray:
+    return np.fromiter((p for m in _TOKEN.finditer(text) for p in m.span()), np.int32).reshape(-1, 2)
+
+
+def window_of(text: str, bounds: np.ndarray, at: int, upto: int) -> tuple[list[str], list[bool]]:
+    """The tokens from ``at`` to ``upto``, and which of them touch the one before."""
+    part = bounds[at:upto].tolist()
+    before = bounds[at - 1, 1] if at else -1
+    return [text[a:b] for a, b in part], [a == e for (a, _), e in zip(part, [before, *(b for _, b in part)])]
+
+
+def lattice(text: str) -> Lattice:
+    """Candidates begin with a letter, digit, + or (, end with a letter or digit, and hold a digit or @."""
+    bounds = token_bounds(text)
+    n = len(bounds)
+    begin, end, rows = candidates(*window_of(text, bounds, 0, n), 0, 0, n)
     b, e = np.array(begin, np.int64), np.array(end, np.int64)
     order = np.argsort(e, kind="stable")
-    cuts = np.searchsorted(e[order], np.arange(len(tokens) + 2))
-    by_end = [order[cuts[t] : cuts[t + 1]] for t in range(len(tokens) + 1)]
-    return Lattice(spans, b, e, np.array(rows, np.int64).reshape(len(rows), 12), by_end)
+    cuts = np.searchsorted(e[order], np.arange(n + 2))
+    by_end = [order[cuts[t] : cuts[t + 1]] for t in range(n + 1)]
+    return Lattice([tuple(x) for x in bounds.tolist()], b, e, np.array(rows, np.int64).reshape(len(rows), 12), by_end)
 
 
 # -- the field ------------------------------------------------------------------------------------
@@ -265,6 +288,59 @@ class Field:
         return out[::-1]
 
 
+def entities(text: str, field: Field, block: int = BLOCK) -> list[tuple[int, int, int]]:
+    """(start, end, kind) of the best cut of a stretch of any length; the same as ``Field.best``.
+
+    Candidates are made for ``block`` tokens at a time and the sums are kept for the last places only, so a
+    token costs some twenty bytes: its bounds, and for each type the step that led there.
+    """
+    bounds, y, ring = token_bounds(text), len(KINDS) + 1, LONGEST + 4
+    n = len(bounds)
+    prev, came = np.zeros((n + 1, y), np.int8), np.zeros((n + 1, y - 1), np.int8)
+    into = np.full((ring, y), -np.inf)
+    top = np.full(y, -np.inf)
+    top[-1] = 0.0
+    later: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # candidates that end beyond their block
+    for lo in range(0, n + 1, block):
+        hi = min(n, lo + block)
+        at = max(0, lo - 2)
+        begin, end, rows = candidates(*window_of(text, bounds, at, min(n, hi + LONGEST + 1)), at, lo, hi)
+        score = field.weights[np.array(rows, np.int64)].sum(axis=1) if rows else np.zeros((0, y - 1))
+        later.append((np.array(begin, np.int64), np.array(end, np.int64), score))
+        b, e, score = (np.concatenate(x) for x in zip(*later))
+        order = np.argsort(e, kind="stable")
+        b, e, score = b[order], e[order], score[order]
+        upto = hi if hi < n else n + 1
+        cuts = np.searchsorted(e, np.arange(lo, upto + 1))
+        for t in range(lo, upto):
+            if t:
+                top = np.full(y, -np.inf)
+                top[-1] = into[(t - 1) % ring, -1]
+                s = slice(cuts[t - lo], cuts[t - lo + 1])
+                if s.stop > s.start:
+                    value = into[b[s] % ring, :-1] + score[s]
+                    k = value.argmax(0)
+                    top[:-1] = value[k, np.arange(y - 1)]
+                    came[t] = t - b[s][k]
+            joined = top[:, None] + field.joins
+            prev[t] = y - 1 - joined[::-1].argmax(0)
+            into[t % ring] = joined[prev[t], np.arange(y)]
+        left = slice(cuts[-1], None)
+        later = [(b[left], e[left], score[left])]
+        if hi == n:
+            break
+    out, t, kind = [], n, y - 1 - int(top[::-1].argmax())
+    while t:
+        if kind == y - 1:
+            t -= 1
+        else:
+            start = t - int(came[t, kind])
+            out.append((int(bounds[start, 0]), int(bounds[t - 1, 1]), kind))
+            t = start
+        kind = int(prev[t, kind]) if t else kind
+    return out[::-1]
+
+
 def fit_field(examples: list[tuple[str, list[tuple[str, int, int]]]]) -> Field:
     """Stochastic gradient steps (scaled by past gradients) on the log-likelihood of the labelled stretches."""
     y = len(KINDS) + 1
@@ -372,13 +448,19 @@ def learn(docs: DataFrame, text: str = "text") -> Field:
 def all_spans(text: str, field: Field) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """(base spans, spans that the field adds); an added span meets no base span."""
     base = base_spans(text)
+    lows, highs = [], []  # what the base spans cover, as ranges apart from each other
+    for _, a, b in sorted(base, key=lambda s: s[1:]):
+        if highs and a < highs[-1]:
+            highs[-1] = max(highs[-1], b)
+        else:
+            lows.append(a)
+            highs.append(b)
     added = []
     for a, b in stretches(text):
-        x = lattice(text[a:b])
-        for i, j, kind in field.best(x):
-            start, end = a + x.spans[i][0], a + x.spans[j - 1][1]
-            if all(end <= p or q <= start for _, p, q in base):
-                added.append((KINDS[kind], start, end))
+        for start, end, kind in entities(text[a:b], field):
+            near = bisect.bisect_left(lows, a + end) - 1
+            if near < 0 or highs[near] <= a + start:
+                added.append((KINDS[kind], a + start, a + end))
     return base, added
 
 
