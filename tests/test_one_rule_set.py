@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from civiltext.operators import joins, lexicon as lx, matching as mt
+from civiltext.operators import joins, lexicon as lx
 from civiltext.plans.config_rules import score_config
 from civiltext.plans.multilingual import score_multilingual, score_multilingual_joined
 
@@ -51,7 +51,6 @@ def test_multilingual_scores_do_not_depend_on_the_size_of_the_term_table(spark,
     assert rows_of(score_multilingual_joined(df, lex, gate=gate), COLUMNS) == want and len(want) == df.count()
     assert score_multilingual_joined(df, lex, gate=gate).columns == inline.columns
     if gate:
-        monkeypatch.setattr(mt, "fits", lambda *a, **k: False)
         monkeypatch.setattr(joins, "fits", lambda *a, **k: False)
         assert rows_of(score_multilingual_joined(df, lex), COLUMNS) == want
 
