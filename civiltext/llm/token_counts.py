@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from civiltext.llm.arrowtext import buffers, slices, tidied
-from civiltext.llm.wordtable import cut_for, hot_values, look_up, missing_pieces, named, piece_table, split_table
+from civiltext.llm.wordtable import cut_for, hot_values, long_salt, look_up, missing_pieces, named, piece_table, split_table, with_long_salts
 
 TOKEN_LIMIT = 1024
 
@@ -21,7 +21,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     Every distinct pre-token of all texts is tokenized once for its number of tokens. Documents are
     joined to that table by their pre-token frequencies and the products summed: frequent pre-tokens
-    in the task that reads the document, rare ones by a join. No list of ids exists at any time.
+    in the task that reads the document, rare ones by a join, in which very long ones, frequent or not,
+    are dealt out over several tasks. No list of ids exists at any time.
 
     A null text is empty and has no tokens. Rows keep their number: repeated rows give repeated
     results, null ids stay. An empty table gives an empty result; other columns are not read.
@@ -52,7 +53,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
 
     counted = named(docs, id_col, text).mapInArrow(tidied(count), f"id {id_type}, n_bytes long, found long, key binary")
     rare = (
-        missing_pieces(docs, id_col, text, cut, hot).select("key", "k", "times", "piece").join(others, "piece")
+        missing_pieces(docs, id_col, text, cut, hot).select("key", "k", "times", "piece", long_salt().alias("salt"))
+        .join(with_long_salts(others), ["piece", "salt"])
         .groupBy("key").agg(F.sum(F.col("times") * F.col("n_tokens")).alias("rest"), F.max("k").alias("last"), F.count(F.lit(1)).alias("rows"))
         # rows repeated as a whole share a key and each adds the same sum
         .select("key", (F.col("rest") / (F.col("rows") / (F.col("last") + 1))).cast("long").alias("rest"))

@@ -31,13 +31,13 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from civiltext.llm.arrowtext import buffers, joined, slices, tidied, words
+from civiltext.llm.arrowtext import SLICE_BYTES, buffers, joined, slices, tidied, words
 from civiltext.sources.storage import materialise, temporary
 
 HOT_ROWS = 1 << 20
 HOT_BYTES = 32 << 20
-#: A longer piece is never in the table of the frequent ones, however frequent. ``encoded_postings`` deals it out over
-#: several tasks; the joins of the token files and the token counts do not: one that is in many texts is one hot key there.
+#: A longer piece is never in the table of the frequent ones, however frequent. Joins deal it out over ``SALTS`` tasks
+#: (``encoded_postings``, ``long_salt``); the token files encode it where it stands.
 HOT_LENGTH = 4096
 SALTS = 64
 #: Distinct pieces that are encoded in one call.
@@ -118,11 +118,11 @@ def pieces(data: np.ndarray, offsets: np.ndarray, breaks: bytes = b".,;:!?") ->
 # -- the distinct table ------------------------------------------------------------------------
 
 
-def distinct_pieces(docs: DataFrame, text: str, cut: Cut) -> DataFrame:
-    """(piece, n): every piece of all texts with its number of occurrences."""
+def distinct_pieces(docs: DataFrame, text: str, cut: Cut, most: int = SLICE_BYTES) -> DataFrame:
+    """(piece, n): every piece of all texts with its number of occurrences, summed for slices of ``most`` bytes before the shuffle."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", most):
             found, _ = cut(*buffers(part.column("text")))
             counted = pc.value_counts(found)
             yield pa.record_batch({"piece": counted.field("values").cast(pa.string()), "n": counted.field("counts")})
@@ -213,18 +213,28 @@ def split_table(table: DataFrame) -> tuple[pa.Table, DataFrame]:
     return fetched(table.filter(hot)), table.filter(~hot)
 
 
-def hot_ids(docs: DataFrame, text: str, path: str) -> pa.Table:
+def hot_ids(docs: DataFrame, text: str, path: str, most: int = SLICE_BYTES) -> pa.Table:
     """The most frequent pieces of all texts with their ids; all pieces are counted, the rest isn't kept."""
-    with temporary(distinct_pieces(docs, text, cut_for(path)), "piece-counts") as counts:
+    with temporary(distinct_pieces(docs, text, cut_for(path), most), "piece-counts") as counts:
         return fetched(encoded_pieces(counts.filter(is_hot(counts)), path))
 
 
+def long_salt(key: str = "key") -> Column:
+    """The salt that a posting of a very long piece takes from its document; 0 for all other pieces."""
+    return F.when(F.octet_length("piece") > HOT_LENGTH, F.pmod(F.xxhash64(key), F.lit(SALTS))).otherwise(0).cast("int")
+
+
+def with_long_salts(table: DataFrame) -> DataFrame:
+    """A table of distinct pieces with a column ``salt``: one row for each salt that ``long_salt`` may give."""
+    every = F.array(*[F.lit(i) for i in range(SALTS)])
+    return table.select("*", F.explode(F.when(F.octet_length("piece") > HOT_LENGTH, every).otherwise(F.array(F.lit(0)))).alias("salt"))
+
+
 def encoded_postings(missing: DataFrame, path: str) -> DataFrame:
     """(key, k, ids) of (key, k, piece) rows: the distinct pieces with the places where they occur, each
     encoded once, and the ids handed back to the places. A piece outside the hot table has few places;
     very long ones, which may have many, are dealt out over ``SALTS`` rows."""
-    salt = F.when(F.octet_length("piece") > HOT_LENGTH, F.pmod(F.xxhash64("key"), F.lit(SALTS))).otherwise(0)
-    places = missing.groupBy("piece", salt.alias("salt")).agg(F.collect_set(F.struct("key", "k")).alias("places"))
+    places = missing.groupBy("piece", long_salt().alias("salt")).agg(F.collect_set(F.struct("key", "k")).alias("places"))
     place_type = places.schema["places"].dataType.simpleString()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -410,4 +420,3 @@ def resolve(numbers: np.ndarray, hot_ids: np.ndarray, hot_at: np.ndarray, own: l
     out[~from_own] = pool[source[~from_own]]
     out[from_own] = rest[source[from_own]]
     return out
-
