@@ -15,6 +15,7 @@ import math
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -22,9 +23,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from civiltext.llm.arrowtext import tidied
+from civiltext.llm.arrowtext import slices, tidied
 from civiltext.llm.files import Written, reading
-from civiltext.llm.wordtable import coded_documents, cut_for, flat_ids, hot_values, id_type_of, missing_pieces, piece_table, resolve, split_table, unpack, vocabulary_size
+from civiltext.llm.wordtable import ENCODE_ROWS, Looked, cut_for, flat_ids, hot_ids, hot_values, id_type_of, load_tokenizer, look_up, vocabulary_size
 from civiltext.sources.storage import materialise, scratch_path
 
 MAGIC = b"CTHF"
@@ -38,6 +39,10 @@ FILE_TOKENS = 32 << 20
 RANGE_TOKENS = 8 << 20
 #: Blocks that are decoded together.
 TOGETHER = 16
+#: Ids that are counted together.
+COUNT_TOKENS = 1 << 20
+#: Numbers that tell repeated rows apart in the order of documents.
+TURNS = 1 << 30
 U64 = np.uint64
 
 
@@ -220,23 +225,90 @@ def read_file(stream, size: int) -> Iterator[tuple[int | None, np.ndarray]]:
         raise ValueError("a token file with fewer ids than its index says")
 
 
-def token_counts(table: DataFrame, docs_n: int, end_id: int, vocabulary: int, kind: str) -> np.ndarray:
-    """Occurrences of every id in all documents, from the counts of the distinct pieces."""
+def pack_ids(ids: np.ndarray) -> bytes:
+    """Ids as compressed byte planes."""
+    planes = np.ascontiguousarray(ids).view(np.uint8).reshape(len(ids), ids.itemsize).T
+    return pa.compress(np.ascontiguousarray(planes).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpack_ids(packed: bytes, n: int, kind: str) -> np.ndarray:
+    width = np.dtype(kind).itemsize
+    raw = pa.decompress(packed, decompressed_size=width * n, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, n).T).view(kind).reshape(-1)
+
+
+def slice_ids(seen: Looked, hot: np.ndarray, hot_at: np.ndarray, path: str) -> tuple[np.ndarray, np.ndarray]:
+    """(ids of a slice of documents, each document's range in them); pieces outside the hot table are encoded here, each once."""
+    tokenizer, kind, numbers = load_tokenizer(path), id_type_of(path), seen.numbers.copy()
+    far = numbers < 0
+    distinct, back = np.unique(seen.codes[far], return_inverse=True)
+    numbers[far] = len(hot_at) - 1 + back
+    rare, parts, sizes = seen.own.take(pa.array(distinct)), [hot], [np.diff(hot_at)]
+    for at in range(0, len(rare), ENCODE_ROWS):
+        coded = [c.ids for c in tokenizer.encode_batch_fast(rare.slice(at, ENCODE_ROWS).to_pylist(), add_special_tokens=False)]
+        sizes.append(np.fromiter(map(len, coded), np.int64, len(coded)))
+        parts.append(np.fromiter(chain.from_iterable(coded), kind, int(sizes[-1].sum())))
+    pool, every = np.concatenate(parts), np.concatenate(sizes)
+    size = every[numbers]
+    ends = np.cumsum(size)
+    # the place in the pool, less the place in the slice
+    shift = (np.cumsum(every) - every)[numbers] - (ends - size)
+    ids = pool[np.repeat(shift, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
+    return ids, np.concatenate([[0], ends])[seen.rows]
+
+
+def encoded_documents(docs: DataFrame, tokenizer_path: str, end_id: int, kind: str) -> DataFrame:
+    """(id, key, turn, n, data): every document of (id, text) as packed ids with the end id behind them.
+
+    The frequent pieces of all texts are encoded once and given to every task; the others are encoded
+    where they stand, once for a slice of documents, since most of them stand in one place only.
+    """
+    spark = docs.sparkSession
+    cut = cut_for(tokenizer_path)
+    common = hot_ids(docs, "text", tokenizer_path)
+    shared = spark.sparkContext.broadcast((hot_values(common), *flat_ids(common, id_type_of(tokenizer_path))))
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        values, ids_of, ids_at = shared.value
+        turn = 0
+        for part in slices(batches, "text"):
+            seen = look_up(part, cut, values)
+            ids, bounds = slice_ids(seen, ids_of, ids_at, tokenizer_path)
+            ids = np.insert(ids.astype(kind), bounds[1:], end_id)
+            bounds = bounds + np.arange(len(bounds))
+            spans = list(zip(bounds[:-1].tolist(), bounds[1:].tolist()))
+            yield pa.record_batch(
+                {
+                    "id": part.column("id"), "key": pa.array(seen.keys, pa.binary()),
+                    "turn": pa.array(np.arange(turn, turn + len(spans)) % TURNS, pa.int32()),
+                    "n": pa.array(np.diff(bounds), pa.int64()),
+                    "data": pa.array([pack_ids(ids[a:b]) for a, b in spans], pa.binary()),
+                }
+            )
+            turn += len(spans)
+
+    return docs.mapInArrow(tidied(encode, load_tokenizer), "id long, key binary, turn int, n long, data binary")
+
+
+def token_counts(coded: DataFrame, vocabulary: int, kind: str) -> np.ndarray:
+    """Occurrences of every id in all encoded documents."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(vocabulary)
+        total, parts, held = np.zeros(vocabulary, np.int64), [np.zeros(0, kind)], 0
         for batch in batches:
-            raw = batch.column("ids").to_pylist()
-            ids = np.frombuffer(b"".join(raw), kind)
-            times = np.repeat(batch.column("n").to_numpy(), [len(x) // np.dtype(kind).itemsize for x in raw])
-            total += np.bincount(ids, times, vocabulary)
+            for data, n in zip(batch.column("data").to_pylist(), batch.column("n").to_pylist()):
+                parts.append(unpack_ids(data, n, kind))
+                held += n
+                if held >= COUNT_TOKENS:
+                    total += np.bincount(np.concatenate(parts), minlength=vocabulary)
+                    parts, held = [np.zeros(0, kind)], 0
+        total += np.bincount(np.concatenate(parts), minlength=vocabulary)
         seen = np.flatnonzero(total)
-        yield pa.record_batch({"token": pa.array(seen, pa.int32()), "n": pa.array(total[seen].astype(np.int64))})
+        yield pa.record_batch({"token": pa.array(seen, pa.int32()), "n": pa.array(total[seen])})
 
-    rows = table.mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
+    rows = coded.select("data", "n").mapInArrow(count, "token int, n long").groupBy("token").agg(F.sum("n").alias("n")).toArrow()  # at most the vocabulary
     out = np.zeros(vocabulary, np.int64)
     out[rows.column("token").to_numpy()] = rows.column("n").to_numpy()
-    out[end_id] += docs_n
     return out
 
 
@@ -245,58 +317,30 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
 
     Returns the list of files (place, seq, uri, docs, tokens, bytes); in the order of (place, seq) they
     are the whole stream. Ids must be whole numbers; null ids come first, equal ids in the order of
-    their texts' hashes. Code lengths come from the counts of all ids in all documents. Documents move
-    once, as packed piece numbers, to their range of ids, together with the codes of their rare pieces.
+    their texts' hashes. Texts are cut twice: to count their pieces and to encode them. Code lengths come
+    from the counts of all ids in the written table of encoded documents, which then move once, to
+    their range of ids; repeated rows may fill several ranges.
     """
     spark = docs.sparkSession
-    cut = cut_for(tokenizer_path)
     plain = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    table = piece_table(plain, "text", tokenizer_path)
     vocabulary = max(vocabulary_size(tokenizer_path), end_id + 1)
-    counts = token_counts(table, docs.count(), end_id, vocabulary, id_type_of(tokenizer_path))
+    kind = "<u2" if vocabulary <= 1 << 16 else "<u4"
+    coded = materialise(encoded_documents(plain, tokenizer_path, end_id, kind), "encoded-documents")
+    counts = token_counts(coded, vocabulary, kind)
     lengths = code_lengths(counts)
-    codes = canonical_codes(lengths)
-
-    common, others = split_table(table)
-    hot = spark.sparkContext.broadcast(hot_values(common))
-    shared = spark.sparkContext.broadcast((*flat_ids(common, id_type_of(tokenizer_path)), lengths, codes))
+    shared = spark.sparkContext.broadcast((lengths, canonical_codes(lengths)))
     ranges = max(2 * spark.sparkContext.defaultParallelism, int(counts.sum()) // RANGE_TOKENS)
-    steps = [i / ranges for i in range(1, ranges)]
-    bounds = sorted(set(plain.filter("id is not null").stat.approxQuantile("id", steps, 1 / (4 * ranges)))) if docs.count() else []
-    edges = np.array(bounds, np.float64)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("id").fill_null(-(2**63)).to_numpy().astype(np.float64)
-            place = pa.array(np.searchsorted(edges, ids, "right"), pa.int32())
-            yield pa.RecordBatch.from_arrays([*batch.columns, place], names=[*batch.schema.names, "place"])
-
-    none = F.lit(None)
-    coded = coded_documents(plain, "id", "text", cut, hot).select("id", "key", F.lit(1).alias("tag"), none.cast("int").alias("k"), "n", F.col("coded").alias("data"))
-    own = (
-        missing_pieces(plain, "id", "text", cut, hot).select("id", "key", "k", "piece").join(others.select("piece", "ids"), "piece")
-        .select("id", "key", F.lit(0).alias("tag"), "k", none.cast("int").alias("n"), F.col("ids").alias("data"))
-    )
-    schema = "id long, key binary, tag int, k int, n int, data binary, place int"
-    sorted_rows = coded.union(own).mapInArrow(placed, schema).repartitionById(len(edges) + 1, F.col("place")).sortWithinPartitions("id", "key", "tag", "k")
+    order = ("id", "key", "turn")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hot_ids, hot_at, sizes, words = shared.value
-        end = np.array([end_id], hot_ids.dtype)
-        out, seq, done, place = None, 0, [], 0
-        key, mine = None, {}
+        sizes, words = shared.value
+        place, attempt = TaskContext.get().partitionId(), TaskContext.get().attemptNumber()
+        out, seq, done = None, 0, []
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in ("id", "key", "tag", "k", "n", "data", "place")]
-            for doc, of, tag, k, n, data, place in zip(*cols):
-                if of != key:
-                    key, mine = of, {}
-                if tag == 0:
-                    mine[k] = data
-                    continue
+            for doc, n, data in zip(*(batch.column(c).to_pylist() for c in ("id", "n", "data"))):
                 if out is None:
-                    out = TokenFile(folder, f"tokens-{place:06d}-{seq:04d}-{TaskContext.get().attemptNumber()}.hft", sizes, words)
-                ids = resolve(unpack(data, n), hot_ids, hot_at, [mine[i] for i in range(len(mine))])
-                out.add(doc, np.concatenate([ids, end]))
+                    out = TokenFile(folder, f"tokens-{place:06d}-{seq:04d}-{attempt}.hft", sizes, words)
+                out.add(doc, unpack_ids(data, n, kind))
                 if out.tokens >= FILE_TOKENS:
                     done.append((place, seq, *out.close()))
                     out, seq = None, seq + 1
@@ -305,7 +349,8 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, folder: str, id_col:
         if done:
             yield pa.record_batch([pa.array(c) for c in zip(*done)], names=["place", "seq", "uri", "docs", "tokens", "bytes"])
 
-    listed = sorted_rows.mapInArrow(tidied(write), "place long, seq long, uri string, docs long, tokens long, bytes long")
+    placed = coded.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("id", "n", "data")
+    listed = placed.mapInArrow(tidied(write), "place long, seq long, uri string, docs long, tokens long, bytes long")
     return materialise(listed, "token-files")
 
 
