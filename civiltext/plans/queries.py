@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from civiltext.functions import features as feat
+from civiltext.functions import sql as sql_functions
 from civiltext.functions import text as tx
 from civiltext.functions.phrases import adaptive_matches
 from civiltext.functions.severity import sev_name, sev_rank
@@ -380,6 +381,20 @@ def normalise_config(spark, d):
     return digest(msgs(spark, d), tx.normalise("text", "config"))
 
 
+@register("sql_normalise_category", DIGEST.format("SELECT * FROM c_ncat"))
+def sql_normalise_category(spark, d):
+    """The category normaliser as a SQL function."""
+    sql_functions.register(spark)
+    return digest(msgs(spark, d), F.expr("normalise_category(text)"))
+
+
+@register("sql_normalise_config", DIGEST.format("SELECT * FROM c_ncfg"))
+def sql_normalise_config(spark, d):
+    """The config normaliser as a SQL function."""
+    sql_functions.register(spark)
+    return digest(msgs(spark, d), F.expr("normalise_config(text)"))
+
+
 @register(
     "mixed_case_words",
     """WITH c AS (SELECT msg_id, pos, length(word) AS n, regexp_extract_all(word, '(?s).') AS c FROM c_wswords),

@@ -254,6 +254,25 @@ def test_sql_normaliser_strips_like_the_column(spark):
     assert [r.a for r in got] == [r.b for r in got] and got[0].a == "hi there!"
 
 
+def test_sql_normalisers_and_word_table_equal_the_columns(spark):
+    import random
+
+    from civiltext.functions import sql
+
+    sql.register(spark)
+    draw = random.Random(5)
+    bits = ["fuk", "f**k", "sh1t", "a$$", "h8r", "||", "|\\", "\\/\\/", "><", "coool", "noooo", "!!!", "??", "....", "--", "a-b", " ", " ", "\n", "\x1c", "é", "नमस्ते", "'", "K1LL", "$1", "\\"]
+    texts = ["".join(draw.choice(bits) for _ in range(draw.randrange(14))) for _ in range(400)]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "", None])], "i int, t string")
+    for profile in ("category", "config"):
+        got = df.select("t", F.expr(f"normalise_{profile}(t)").alias("a"), tx.normalise("t", profile).alias("b")).collect()
+        assert [r for r in got if r.a != r.b] == []
+    df.createOrReplaceTempView("said")
+    places = spark.sql("SELECT i, place, word FROM said, LATERAL word_places(t)")
+    want = df.select("i", F.posexplode(tx.word_tokens("t")).alias("place", "word"))
+    assert sorted(map(tuple, places.collect())) == sorted(map(tuple, want.collect()))
+
+
 def test_repeated_and_empty_keywords_count_once_at_any_size(spark, monkeypatch):
     df = spark.createDataFrame([(1, ["you", "are", "dumb"], "you are dumb"), (2, ["fine"], "fine")], "msg_id long, tokens array<string>, norm string")
     table = spark.createDataFrame([("g", "dumb", "high"), ("g", "Dumb", "high"), ("g", "", "low"), ("h", "dumb", "low")], "indicator string, keyword string, severity string")
